@@ -31,5 +31,5 @@ def search_json(consignors: DataFrame, text: str) -> DataFrame:
     found = search_consignors(consignors, text)
     plain = F.regexp_replace("name", '"', "").alias("name")
     return found.select(
-        "ct_consign_id", F.to_json(F.struct(F.col("ct_consign_id").cast("string"), plain)).alias("json")
+        "ct_consign_id", F.to_json(F.struct(F.col("ct_consign_id").cast("string").alias("ct_consign_id"), plain)).alias("json")
     )

@@ -55,7 +55,7 @@ def balance_all_postings(postings: DataFrame) -> DataFrame:
 def balances_by_consignor(consignors: DataFrame, postings: DataFrame, posted_only: bool = True) -> DataFrame:
     """Consignors with their cash and credit balance, NULL where there are no postings.
 
-    Both balances come from one scan and one sum over the ledger.
+    The ledger is summed once for both sides; each consignor then looks up its two parties.
     """
     wanted = (F.col("account") == CONSIGNOR) & F.col("ref").isin("vendor", "customer")
     if posted_only:
@@ -63,13 +63,21 @@ def balances_by_consignor(consignors: DataFrame, postings: DataFrame, posted_onl
     sums = (
         postings.filter(wanted)
         .groupBy("ref", "ref_id")
-        .agg(total(F.col("credit") - F.col("debit")).alias("balance"))
+        .agg(total(F.col("credit") - F.col("debit")).alias("_balance"))
     )
-    def of(ref, key, out):
-        return sums.filter(F.col("ref") == ref).select(F.col("ref_id").alias(key), F.col("balance").alias(out))
-
-    return consignors.join(of("vendor", "vendor_id", "cash_balance"), "vendor_id", "left").join(
-        of("customer", "customer_id", "credit_balance"), "customer_id", "left"
+    sides = F.array(
+        F.struct(F.lit("vendor").alias("ref"), F.col("vendor_id").alias("ref_id")),
+        F.struct(F.lit("customer").alias("ref"), F.col("customer_id").alias("ref_id")),
+    )
+    own = consignors.columns
+    return (
+        consignors.select(*own, F.inline(sides))
+        .join(sums, ["ref", "ref_id"], "left")
+        .groupBy(*own)
+        .agg(
+            F.max(F.when(F.col("ref") == "vendor", F.col("_balance"))).alias("cash_balance"),
+            F.max(F.when(F.col("ref") == "customer", F.col("_balance"))).alias("credit_balance"),
+        )
     )
 
 
@@ -129,13 +137,14 @@ def ap_balance(postings: DataFrame, vendors: DataFrame) -> DataFrame:
     return open_ap.join(vendors.select("vendor_id"), "vendor_id", "left_semi")
 
 
-def store_credit_paid(payments: DataFrame, methods: DataFrame) -> DataFrame:
-    """Store credit already taken per order."""
-    store = methods.filter(is_true("store_credit")).select("payment_method_id")
+def paid_per_order(payments: DataFrame, methods: DataFrame) -> DataFrame:
+    """Payments taken per order, and the store credit among them."""
+    kinds = methods.select("payment_method_id", "store_credit")
+    by_credit = F.when(is_true("store_credit"), F.col("amount"))
     return (
-        payments.join(store, "payment_method_id", "left_semi")
+        payments.join(kinds, "payment_method_id")
         .groupBy("order_id")
-        .agg(total("amount").alias("store_credit_payments"))
+        .agg(total("amount").alias("paid"), total(by_credit).alias("store_credit_payments"))
     )
 
 
@@ -144,10 +153,11 @@ def store_credit_available(
 ) -> DataFrame:
     """Per order of a consignor: both balances, posted or not, less store credit on that order."""
     held = balances_by_consignor(consignors, postings, posted_only=False)
+    taken = paid_per_order(payments, methods).select("order_id", "store_credit_payments")
     return (
         orders.select("order_id", "customer_id")
         .join(held, "customer_id")
-        .join(store_credit_paid(payments, methods), "order_id", "left")
+        .join(taken, "order_id", "left")
         .select(
             "order_id", "ct_consign_id", "customer_id", "vendor_id", "cash",
             money(
@@ -159,38 +169,41 @@ def store_credit_available(
 
 def customer_positions(consignors: DataFrame, postings: DataFrame) -> DataFrame:
     """Per customer: own balance plus that of the vendor account the same consignor holds."""
-    own = customer_credit_balance(postings, posted_only=False)
-    linked = consignors.filter(F.col("customer_id").isNotNull()).select("vendor_id", "customer_id")
-    as_vendor = (
-        vendor_cash_balance(postings, posted_only=False)
-        .join(linked, "vendor_id")
-        .select("customer_id", "balance")
+    linked = consignors.filter(F.col("customer_id").isNotNull() & F.col("vendor_id").isNotNull()).select(
+        F.lit("vendor").alias("ref"), F.col("vendor_id").alias("ref_id"), F.col("customer_id").alias("_linked")
+    )
+    customer = F.when(F.col("ref") == "customer", F.col("ref_id")).otherwise(F.col("_linked"))
+    return (
+        balance_all_postings(postings)
+        .join(linked, ["ref", "ref_id"], "left")
+        .groupBy(customer.alias("customer_id"))
+        .agg(total("balance").alias("gl_credit_balance"))
+        .filter(F.col("customer_id").isNotNull())
     )
-    both = own.unionByName(as_vendor)
-    return both.groupBy("customer_id").agg(total("balance").alias("gl_credit_balance"))
 
 
 def order_credit_position(
     balances_due: DataFrame,
     consignors: DataFrame,
     postings: DataFrame,
-    payments: DataFrame,
-    methods: DataFrame,
     equal_applies: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per order: what is due, the customer's ledger credit, and how much of it would be applied.
 
-    Credit exactly equal to the amount due applies nothing, as in the original rule;
+    ``balances_due`` comes from ``order_balance_due``; ``keep`` names further columns of it to carry
+    along. Credit exactly equal to the amount due applies nothing, as in the original rule;
     ``equal_applies=True`` applies it in full.
     """
     due, free = F.col("order_balance"), F.col("gl_credit_balance") - F.col("store_credit_payments")
     covers = free >= due if equal_applies else free > due
     position = (
-        balances_due.select("order_id", "customer_id", F.col("balance_due").alias("order_balance"))
+        balances_due.select(
+            "order_id", "customer_id", F.col("balance_due").alias("order_balance"),
+            or_zero("store_credit_payments").alias("store_credit_payments"), *keep,
+        )
         .join(customer_positions(consignors, postings), "customer_id", "left")
-        .join(store_credit_paid(payments, methods), "order_id", "left")
         .withColumn("gl_credit_balance", or_zero("gl_credit_balance"))
-        .withColumn("store_credit_payments", or_zero("store_credit_payments"))
     )
     return position.select(
         "order_id", "customer_id", "order_balance", "gl_credit_balance", "store_credit_payments",
@@ -198,6 +211,7 @@ def order_credit_position(
             "apply_credit_balance"
         ),
         money(F.when(F.col("store_credit_payments") > 0, free)).alias("remaining_balance"),
+        *keep,
     )
 
 

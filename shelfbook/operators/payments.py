@@ -151,26 +151,31 @@ def till_running_balance(payments: DataFrame, methods: DataFrame, openings: Data
     )
 
 
-def reclass_store_credit_postings(postings: DataFrame, payments: DataFrame, consignors: DataFrame) -> DataFrame:
-    """Store-credit postings of cash consignors moved from their customer to their vendor account."""
-    spent = postings.filter((F.col("account") == CONSIGNOR) & (F.col("trans_ref") == "customer_payment"))
+def reclass_payment_postings(postings: DataFrame, payments: DataFrame, consignors: DataFrame) -> DataFrame:
+    """Payment postings with the store credit of cash consignors moved to their vendor account."""
     paid = payments.select(F.col("customer_payment_id").alias("trans_ref_id"), "customer_id")
     cash_accounts = consignors.filter(
         is_true("cash") & F.col("vendor_id").isNotNull() & F.col("customer_id").isNotNull()
     ).select("customer_id", F.col("vendor_id").alias("_vendor"))
-    moved = F.col("_vendor").isNotNull()
+    moved = (F.col("account") == CONSIGNOR) & F.col("_vendor").isNotNull()
     return (
-        spent.join(paid, "trans_ref_id")
+        postings.filter(F.col("trans_ref") == "customer_payment")
+        .join(paid, "trans_ref_id")
         .join(cash_accounts, "customer_id", "left")
         .select(
             F.col("trans_ref_id").alias("customer_payment_id"),
             F.when(moved, F.lit("vendor")).otherwise(F.col("ref")).alias("ref"),
-            F.coalesce("_vendor", "ref_id").alias("ref_id"),
+            F.when(moved, F.col("_vendor")).otherwise(F.col("ref_id")).alias("ref_id"),
             "account", "debit", "credit",
         )
     )
 
 
+def reclass_store_credit_postings(postings: DataFrame, payments: DataFrame, consignors: DataFrame) -> DataFrame:
+    """Only the store-credit side of payments, after the move."""
+    return reclass_payment_postings(postings.filter(F.col("account") == CONSIGNOR), payments, consignors)
+
+
 def allowed_payment_methods(
     employee_groups: DataFrame, method_groups: DataFrame, methods: DataFrame, employee_id: int | None = None
 ) -> DataFrame:
@@ -238,7 +243,8 @@ def cash_gift_to_account(
     ``requests`` (order_id, ct_consign_id, gift_card_id); ``cards`` from ``gift_card_balance``. Each
     row holds the gift line (item, amount) and the gift-card payment that settles it.
     """
-    empty = orders.select("order_id").join(lines.select("order_id"), "order_id", "left_anti")
+    filled_orders = lines.select("order_id").distinct()
+    empty = orders.select("order_id").join(filled_orders, "order_id", "left_anti")
     owners = consignors.select(
         "ct_consign_id", "customer_id",
         F.when(F.col("customer_id").isNotNull(), F.col("item_id")).alias("item_id"),
@@ -275,8 +281,12 @@ def payments_after_reassign(
         orders.join(moves.select("order_id", "new_customer_id"), "order_id")
         .filter(F.col("customer_id") != F.col("new_customer_id"))
         .join(walk_in.select("customer_id"), "customer_id", "left_anti")
-        .select("order_id")
+        .select("order_id", F.lit(True).alias("_changed"))
+    )
+    kinds = methods.select("payment_method_id", "store_credit")
+    return (
+        payments.join(kinds, "payment_method_id", "left")
+        .join(changed, "order_id", "left")
+        .filter(~(is_true("store_credit") & is_true("_changed")))
+        .select(*payments.columns)
     )
-    store = methods.filter(is_true("store_credit")).select("payment_method_id")
-    lost = payments.join(store, "payment_method_id", "left_semi").join(changed, "order_id", "left_semi")
-    return payments.join(lost.select("order_payment_id"), "order_payment_id", "left_anti")

@@ -9,47 +9,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import is_true, money, or_zero, total
-from .balances import ap_balance, vendor_cash_balance
-from .entries import CONSIGNOR, COST, credit, debit, emit
+from .balances import vendor_cash_balance
+from .entries import CONSIGNOR, COST, PAYABLE, credit, debit, emit
 from .sales import with_grand_total
 
 
-def payout_candidates(
-    postings: DataFrame, vendors: DataFrame, consignors: DataFrame, minimum: Decimal | str, pay_date: dt.date
-) -> DataFrame:
-    """Vendors whose balance before the pay date, less any debt as a customer, is above the minimum."""
-    wanted = (
-        (F.col("account") == CONSIGNOR)
-        & F.col("ref").isin("vendor", "customer")
-        & (F.col("post_date") < F.lit(pay_date))
+def _payable(postings, vendors, consignors, minimum, pay_date, with_ap: bool) -> DataFrame:
+    """Candidates from a single sum over the ledger, with open payables on request."""
+    side = F.col("ref").isin("vendor", "customer")
+    early = side & (F.col("account") == CONSIGNOR) & (F.col("post_date") < F.lit(pay_date))
+    open_ap = (F.col("ref") == "vendor") & (F.col("account") == PAYABLE) & F.col("post_date").isNotNull()
+    value = F.col("credit") - F.col("debit")
+    linked = consignors.filter(F.col("vendor_id").isNotNull() & F.col("customer_id").isNotNull()).select(
+        F.lit("customer").alias("ref"), F.col("customer_id").alias("ref_id"), F.col("vendor_id").alias("_linked")
     )
     sums = (
-        postings.filter(wanted)
+        postings.filter(early | open_ap if with_ap else early)
         .groupBy("ref", "ref_id")
-        .agg(total(F.col("credit") - F.col("debit")).alias("balance"))
+        .agg(total(F.when(early, value)).alias("balance"), total(F.when(open_ap, value)).alias("ap"))
+        .join(linked, ["ref", "ref_id"], "left")
     )
-    earned = sums.filter(F.col("ref") == "vendor").select(F.col("ref_id").alias("vendor_id"), "balance")
-    owed = sums.filter((F.col("ref") == "customer") & (F.col("balance") < 0)).select(
-        F.col("ref_id").alias("customer_id"), F.col("balance").alias("credit_balance")
-    )
-    linked = consignors.filter(F.col("vendor_id").isNotNull()).select("vendor_id", "customer_id")
-    debts = owed.join(linked, "customer_id")
-    amount = money(F.col("balance") + or_zero("credit_balance"))
+    vendor = F.col("ref") == "vendor"
+    debt = ~vendor & (F.col("balance") < 0)
     return (
-        earned.join(vendors.select("vendor_id", "name"), "vendor_id")
-        .join(debts, "vendor_id", "left")
-        .select("vendor_id", "name", amount.alias("amount"), "credit_balance", "customer_id")
+        sums.groupBy(F.when(vendor, F.col("ref_id")).otherwise(F.col("_linked")).alias("vendor_id"))
+        .agg(
+            F.max(F.when(vendor, F.col("balance"))).alias("earned"),
+            F.max(F.when(debt, F.col("balance"))).alias("credit_balance"),
+            F.max(F.when(debt, F.col("ref_id"))).alias("customer_id"),
+            F.max(F.when(vendor & (F.col("ap") != 0), F.col("ap"))).alias("ap_amount"),
+        )
+        .withColumn("amount", money(F.col("earned") + or_zero("credit_balance")))
         .filter(F.col("amount") > F.lit(str(minimum)).cast("decimal(20,2)"))
-        .orderBy("name")
+        .join(vendors.select("vendor_id", "name"), "vendor_id")
     )
 
 
-def payout_review(candidates: DataFrame, postings: DataFrame, vendors: DataFrame) -> DataFrame:
+def payout_candidates(
+    postings: DataFrame, vendors: DataFrame, consignors: DataFrame, minimum: Decimal | str, pay_date: dt.date
+) -> DataFrame:
+    """Vendors whose balance before the pay date, less any debt as a customer, is above the minimum."""
+    payable = _payable(postings, vendors, consignors, minimum, pay_date, with_ap=False)
+    return payable.select("vendor_id", "name", "amount", "credit_balance", "customer_id").orderBy("name")
+
+
+def payout_review(
+    postings: DataFrame, vendors: DataFrame, consignors: DataFrame, minimum: Decimal | str, pay_date: dt.date
+) -> DataFrame:
     """Candidates with their open payables and a total row; payables should be zero before a run."""
-    open_ap = ap_balance(postings, vendors).withColumnRenamed("balance", "ap_amount")
-    return with_grand_total(
-        candidates.join(open_ap, "vendor_id", "left"), ["vendor_id", "name", "ap_amount"], ["amount"]
-    )
+    payable = _payable(postings, vendors, consignors, minimum, pay_date, with_ap=True)
+    return with_grand_total(payable, ["vendor_id", "name", "ap_amount"], ["amount"])
 
 
 def voucher_number(vendor_id: Column, run_date: dt.date) -> Column:

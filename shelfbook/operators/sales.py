@@ -110,16 +110,22 @@ def with_grand_total(df: DataFrame, labels: list[str], measures: list[str]) -> D
     )
 
 
-def order_balance_due(orders: DataFrame, totals: DataFrame, payments: DataFrame) -> DataFrame:
-    """Order total less payments taken, for orders with and without payments."""
-    paid = payments.groupBy("order_id").agg(total("amount").alias("paid"))
+def order_balance_due(orders: DataFrame, totals: DataFrame, paid: DataFrame) -> DataFrame:
+    """Order total less payments taken, for orders with and without payments.
+
+    ``paid`` comes from ``balances.paid_per_order``. The flags tell whether the order has any lines
+    and any payments.
+    """
     return (
-        orders.select("order_id", "customer_id")
-        .join(totals.select("order_id", "total"), "order_id", "left")
+        orders.join(totals.select("order_id", "total"), "order_id", "left")
         .join(paid, "order_id", "left")
         .select(
-            "order_id", "customer_id", or_zero("total").alias("total"), or_zero("paid").alias("paid"),
+            "order_id", "customer_id", "order_status", "discount",
+            or_zero("total").alias("total"), or_zero("paid").alias("paid"),
             money(or_zero("total") - or_zero("paid")).alias("balance_due"),
+            "store_credit_payments",
+            F.col("total").isNotNull().alias("has_lines"),
+            F.col("paid").isNotNull().alias("has_payments"),
         )
     )
 
@@ -227,31 +233,26 @@ def remove_unprocessed_payments(payments: DataFrame, doomed: DataFrame) -> DataF
     return kept.filter(F.col("_doomed").isNull() | F.col("customer_payment_id").isNotNull()).drop("_doomed")
 
 
-def order_worklist(
-    orders: DataFrame, lines: DataFrame, payments: DataFrame, positions: DataFrame, walk_in: DataFrame
-) -> DataFrame:
+def order_worklist(positions: DataFrame, walk_in: DataFrame) -> DataFrame:
     """What can be done next with each open order.
 
-    ``positions`` comes from ``order_credit_position``; ``walk_in`` holds the cash customer's id.
+    ``positions`` comes from ``order_credit_position`` with the columns of ``WORKLIST_COLUMNS`` kept;
+    ``walk_in`` holds the cash customer's id.
     """
-    at_till = orders.filter(F.col("order_status") == "pos").select("order_id", "customer_id", "discount")
-    with_lines = lines.groupBy("order_id").agg(F.lit(True).alias("_lines"))
-    with_payments = payments.groupBy("order_id").agg(F.lit(True).alias("_paid"))
-    money_side = positions.select("order_id", "order_balance", "gl_credit_balance")
     anonymous = walk_in.select("customer_id", F.lit(True).alias("_walk_in"))
-    has_lines, has_payments = is_true("_lines"), is_true("_paid")
     due = F.col("order_balance") != 0
     return (
-        at_till.join(with_lines, "order_id", "left")
-        .join(with_payments, "order_id", "left")
-        .join(money_side, "order_id")
+        positions.filter(F.col("order_status") == "pos")
         .join(anonymous, "customer_id", "left")
         .select(
             "order_id", "order_balance",
-            (has_lines & due).alias("can_pay"),
-            (has_payments & ~due).alias("can_close"),
-            (has_lines & (F.coalesce("discount", F.lit(0)) == 0)).alias("can_discount"),
+            (F.col("has_lines") & due).alias("can_pay"),
+            (F.col("has_payments") & ~due).alias("can_close"),
+            (F.col("has_lines") & (F.coalesce("discount", F.lit(0)) == 0)).alias("can_discount"),
             (~is_true("_walk_in") & (F.col("gl_credit_balance") < 0)).alias("owes_account"),
-            (~has_lines).alias("can_apply_gift"),
+            (~F.col("has_lines")).alias("can_apply_gift"),
         )
     )
+
+
+WORKLIST_COLUMNS = ("order_status", "discount", "has_lines", "has_payments")

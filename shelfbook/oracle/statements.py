@@ -349,9 +349,9 @@ FROM m_lines l LEFT JOIN (
 ) d ON l.order_id = d.order_id"""
 FINALS["remove_order_discount"] = """
 SELECT l.order_id, l.line_number, l.item_id,
-  CASE WHEN o.order_id IS NOT NULL AND l.item_id IS NOT NULL
+  CAST(CASE WHEN o.order_id IS NOT NULL AND l.item_id IS NOT NULL
     THEN CAST((CAST(l.unit_price * 1000 AS BIGINT) + 4) // 8 AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2))
-    ELSE CAST(l.unit_price AS DECIMAL(20,2)) END AS unit_price,
+    ELSE l.unit_price END AS DECIMAL(20,2)) AS unit_price,
   CASE WHEN o.order_id IS NOT NULL AND l.item_id IS NOT NULL THEN NULL ELSE l.discounted END AS discounted
 FROM m_lines l LEFT JOIN m_orders o ON l.order_id = o.order_id AND o.order_status = 'pos' AND o.discount = 20"""
 FINALS["toggle_line_discount"] = """

@@ -231,9 +231,7 @@ def store_credit_available(s: Shop):
 
 @query
 def order_credit_position(s: Shop):
-    return balances.order_credit_position(
-        inputs.balances_due(s), s.consignors, s.postings, s.order_payments, s.methods
-    )
+    return balances.order_credit_position(inputs.balances_due(s), s.consignors, s.postings)
 
 
 @query
@@ -251,7 +249,7 @@ def payout_candidates(s: Shop):
 
 @query
 def payout_review(s: Shop):
-    return payouts.payout_review(payout_candidates(s), s.postings, s.vendors)
+    return payouts.payout_review(s.postings, s.vendors, s.consignors, inputs.PAYOUT_MINIMUM, inputs.PAY_DATE)
 
 
 @query
@@ -388,7 +386,7 @@ def order_totals(s: Shop):
 
 @query
 def order_balance_due(s: Shop):
-    return inputs.balances_due(s)
+    return inputs.balances_due(s).select("order_id", "customer_id", "total", "paid", "balance_due")
 
 
 @query
@@ -498,7 +496,10 @@ def cash_gift_to_account(s: Shop):
 
 @query
 def order_worklist(s: Shop):
-    return sales.order_worklist(s.orders, s.lines, s.order_payments, order_credit_position(s), s.walk_in)
+    positions = balances.order_credit_position(
+        inputs.balances_due(s), s.consignors, s.postings, keep=sales.WORKLIST_COLUMNS
+    )
+    return sales.order_worklist(positions, s.walk_in)
 
 
 @query

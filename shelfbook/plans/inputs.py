@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, PRICE, RATE, money
-from ..operators import accounts, sales
+from ..operators import accounts, balances, sales
 from ..session import shared_folder
 from ..sources.shop import Shop
 
@@ -105,7 +105,8 @@ def partly_billed_lines(shop: Shop) -> DataFrame:
 
 
 def balances_due(shop: Shop) -> DataFrame:
-    return sales.order_balance_due(shop.orders, sales.order_totals(shop.lines), shop.order_payments)
+    paid = balances.paid_per_order(shop.order_payments, shop.methods)
+    return sales.order_balance_due(shop.orders, sales.order_totals(shop.lines), paid)
 
 
 def tenders(shop: Shop) -> DataFrame:
@@ -116,8 +117,7 @@ def tenders(shop: Shop) -> DataFrame:
 
 def credit_requests(shop: Shop) -> DataFrame:
     """Every open order asks to be paid from store credit; each ninth is a refund."""
-    at_till = shop.orders.filter(C("order_status") == "pos").select("order_id")
-    due = balances_due(shop).join(at_till, "order_id", "left_semi")
+    due = balances_due(shop).filter(C("order_status") == "pos")
     asked = F.when(C("order_id") % 9 == 0, -C("balance_due")).otherwise(C("balance_due"))
     return due.select("order_id", money(asked).alias("requested"))
 

@@ -55,16 +55,13 @@ def close_sales(
         merged.select("order_payment_id", "gift_card_id"), "order_payment_id"
     )
     paid = ledger.payment_entries(processed, methods)
-    spent = payments.reclass_store_credit_postings(paid, processed, consignors)
-    others = paid.filter(F.col("account") != "cc").select(
-        F.col("trans_ref_id").alias("customer_payment_id"), "ref", "ref_id", "account", "debit", "credit"
-    )
+    settled = payments.reclass_payment_postings(paid, processed, consignors)
     sold = ledger.post_invoices(billed, invoices, consignors)
     columns = ["trans_ref", "trans_ref_id", "ref", "ref_id", "account", "debit", "credit"]
     postings = sold.select(
         F.lit("invoice").alias("trans_ref"), F.col("invoice_id").alias("trans_ref_id"), *columns[2:]
     ).unionByName(
-        spent.unionByName(others).select(
+        settled.select(
             F.lit("customer_payment").alias("trans_ref"),
             F.col("customer_payment_id").alias("trans_ref_id"), *columns[2:],
         )
