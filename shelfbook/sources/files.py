@@ -2,44 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Columns of the gift-card list, the row that ends the data and the NULL mark.
-GIFT_CARD_COLUMNS = "legacy_code string, name string, amount decimal(10,2), balance decimal(10,2)"
+# Columns of the gift-card list, the row that ends the data, the NULL mark and the
+# escapes of the tab-separated bulk format.
+GIFT_CARD_COLUMNS = {
+    "legacy_code": "string", "name": "string", "amount": "decimal(10,2)", "balance": "decimal(10,2)",
+}
 END_OF_DATA = "\\."
 NULL_MARK = "\\N"
+ESCAPES = {"\\b": "\b", "\\f": "\f", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\v": "\v"}
+HELD_BACKSLASH = "\x01"
+
+
+def _unescaped(text: Column) -> Column:
+    """A cell with its escapes resolved; a backslash before any other character is dropped."""
+    held = F.replace(text, F.lit("\\\\"), F.lit(HELD_BACKSLASH))
+    plain = reduce(lambda t, e: F.replace(t, F.lit(e), F.lit(ESCAPES[e])), ESCAPES, held)
+    return F.replace(F.replace(plain, F.lit("\\"), F.lit("")), F.lit(HELD_BACKSLASH), F.lit("\\"))
+
+
+def _escaped(text: Column) -> Column:
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return reduce(lambda t, e: F.replace(t, F.lit(ESCAPES[e]), F.lit(e)), ESCAPES, doubled)
 
 
 def read_gift_card_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a tab-separated gift-card list; a row that does not fit keeps its text in ``_corrupt_record``."""
-    rows = (
-        spark.read.schema(GIFT_CARD_COLUMNS + ", _corrupt_record string")
-        .option("sep", "\t")
-        .option("quote", "")
-        .option("escape", "")
-        .option("nullValue", NULL_MARK)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .csv(path)
-    )
-    return rows.filter(F.coalesce("legacy_code", F.lit("")) != END_OF_DATA)
+    """Rows of a tab-separated gift-card list; a row that does not fit keeps its text in ``rejected``."""
+    lines = spark.read.text(path).filter(F.col("value") != END_OF_DATA)
+    cells = F.split("value", "\t", -1)
+    fits, columns = F.size(cells) == len(GIFT_CARD_COLUMNS), []
+    for i, (name, kind) in enumerate(GIFT_CARD_COLUMNS.items()):
+        cell = F.get(cells, F.lit(i))
+        value = F.when(cell != NULL_MARK, _unescaped(cell)).try_cast(kind)
+        fits = fits & ((cell == NULL_MARK) | value.isNotNull())
+        columns.append(value.alias(name))
+    return lines.select(*columns, F.when(~F.coalesce(fits, F.lit(False)), F.col("value")).alias("rejected"))
 
 
 def load_gift_cards(spark: SparkSession, path: str) -> DataFrame:
     """The usable rows; codes stay text, so leading zeros survive."""
-    good = read_gift_card_rows(spark, path).filter(F.col("_corrupt_record").isNull())
-    return good.drop("_corrupt_record")
+    return read_gift_card_rows(spark, path).filter(F.col("rejected").isNull()).drop("rejected")
 
 
 def rejected_gift_cards(spark: SparkSession, path: str) -> DataFrame:
     """The text of rows that do not fit."""
-    return read_gift_card_rows(spark, path).select("_corrupt_record").filter(F.col("_corrupt_record").isNotNull())
+    return read_gift_card_rows(spark, path).select("rejected").filter(F.col("rejected").isNotNull())
 
 
 def save_gift_cards(cards: DataFrame, path: str) -> None:
     """Write cards as a tab-separated list in the form ``load_gift_cards`` reads."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in ("legacy_code", "name", "amount", "balance")]
+    cells = [F.coalesce(_escaped(F.col(c).cast("string")), F.lit(NULL_MARK)) for c in GIFT_CARD_COLUMNS]
     cards.select(F.concat_ws("\t", *cells)).write.mode("overwrite").text(path)
 
 
