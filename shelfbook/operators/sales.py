@@ -99,14 +99,24 @@ def payments_by_class(payments: DataFrame, methods: DataFrame, day: dt.date) ->
 
 
 def with_grand_total(df: DataFrame, labels: list[str], measures: list[str]) -> DataFrame:
-    """The rows plus one row of column sums, flagged ``is_total``, in one pass."""
+    """The rows plus one row of column sums, flagged ``is_total``, in one pass.
+
+    An extra row without values makes the total appear even when there is nothing to report.
+    """
+    columns = [*labels, *measures]
+    empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
+    extra = df.sparkSession.range(1).select(*empty, F.lit(False).alias("_real"))
     return (
-        df.groupingSets([[F.col(c) for c in labels], []], *labels)
+        df.select(*columns, F.lit(True).alias("_real"))
+        .unionByName(extra)
+        .groupingSets([[F.col(c) for c in labels], []], *labels)
         .agg(
             *[total(m).alias(m) for m in measures],
             (F.grouping_id() > 0).alias("is_total"),
+            F.bool_or("_real").alias("_real"),
         )
-        .select(*labels, *measures, "is_total")
+        .filter(F.col("is_total") | F.col("_real"))
+        .select(*columns, "is_total")
     )
 
 

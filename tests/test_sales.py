@@ -85,6 +85,9 @@ def test_zero_price_and_quantity_count_as_missing(spark):
 def test_grand_total_row(spark):
     df = spark.createDataFrame([("A", D("1.10")), ("B", D("2.20"))], "name string, amount decimal(20,2)")
     assert fx.rows(sales.with_grand_total(df, ["name"], ["amount"])) == [("A", "1.10", False), ("B", "2.20", False), (None, "3.30", True)]
+    unnamed = spark.createDataFrame([(None, D("1.10"))], "name string, amount decimal(20,2)")
+    assert fx.rows(sales.with_grand_total(unnamed, ["name"], ["amount"])) == [(None, "1.10", False), (None, "1.10", True)]
+    assert fx.rows(sales.with_grand_total(df.filter("false"), ["name"], ["amount"])) == [(None, None, True)]
 
 
 def test_change_is_taken_off_the_payment(spark):
