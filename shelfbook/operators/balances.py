@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import zero, is_true, money, or_zero, total
+from ..functions.money import is_true, money, or_zero, total, zero
 from .entries import CONSIGNOR, GIFT, PAYABLE
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import id_lists
 from ..functions.money import is_true
 from .accounts import backfill_customers
-from .entries import CONSIGNOR, COST, credit, debit, emit
+from .entries import (
+    CHECK_CONVERTED, CHECK_VOIDED, CONSIGNOR, COST, VOID_MEMO, credit, debit, emit,
+)
 
 
 def check_transactions(transactions: DataFrame) -> DataFrame:
@@ -82,12 +84,12 @@ def void_check_entries(voidable: DataFrame) -> DataFrame:
         {
             "trans_ref": F.lit("check"),
             "trans_ref_id": "check_id",
-            "description": F.lit("Void and cancel check"),
+            "description": F.lit(CHECK_VOIDED),
         },
         debit("vendor", vendor, F.col("account"), amount),
         credit("vendor", vendor, COST, amount),
     )
-    return rows.withColumn("memo", F.when(F.col("account") == COST, F.lit("void check")))
+    return rows.withColumn("memo", F.when(F.col("account") == COST, F.lit(VOID_MEMO)))
 
 
 def void_check_state(voidable: DataFrame, at: Column) -> DataFrame:
@@ -133,7 +135,7 @@ def check_to_store_credit(
             "check_id": "check_id",
             "trans_ref": F.lit("ct_consign"),
             "trans_ref_id": "ct_consign_id",
-            "description": F.lit("Convert Check to Customer Credit"),
+            "description": F.lit(CHECK_CONVERTED),
         },
         debit("vendor", F.col("vendor_id"), CONSIGNOR, F.col("amount")),
         credit("customer", F.col("customer_id"), CONSIGNOR, F.col("amount")),

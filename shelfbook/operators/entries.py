@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import zero, money
+from ..functions.money import money, zero
 
 # Account codes.
 CONSIGNOR, RECEIVABLE, PAYABLE, SALES = "cc", "ar", "ap", "sales"
 TAX, GIFT, COST, EARNINGS, CASH, BANK = "tax", "gift", "cogs", "earn", "cash", "bank"
 
+# Texts of the entries, lines and report rows made here.
+OPENING = "Initial Balance"
+SETUP = "Initial Setup"
+CARD_IMPORT = "Gift Card Import"
+TRANSFER = "Transfer account balance"
+CASH_ADJUSTED = "Manual Cash Adjustment"
+CREDIT_ADJUSTED = "Manual Credit Adjustment"
+CORRECTION = "Cash/Credit Adjustment"
+CHECK_VOIDED = "Void and cancel check"
+VOID_MEMO = "void check"
+CHECK_CONVERTED = "Convert Check to Customer Credit"
+PAYOUT = "Consignment"
+PAYOUT_OFFSET = "Consignment - Credit Transfer"
+GIFT_LINE = "GiftCard"
+ACCOUNT_LINE = "Account Payment"
+UNNAMED_CARD = "unknown"
+PREPAID = "Credit/Gift"
+PAID = "Cash/Check/CC"
+
 
 def _side(ref, ref_id, account, debit: Column, credit: Column) -> Column:
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)

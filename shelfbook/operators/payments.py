@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import id_lists, next_ids, running_totals
-from ..functions.money import zero, is_true, money, or_zero, total
-from .entries import CONSIGNOR
+from ..functions.money import is_true, money, total, zero
+from .entries import (
+    ACCOUNT_LINE, CONSIGNOR, GIFT_LINE, UNNAMED_CARD,
+)
 
 
 def cash_change(tenders: DataFrame, balances_due: DataFrame) -> DataFrame:
@@ -200,7 +202,7 @@ def allowed_payment_methods(
 def new_gift_cards(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """A numbered card per card request; a blank name becomes 'unknown'."""
     sold = requests.filter((F.col("kind") == "card") & (F.coalesce("amount", F.lit(0)) != 0))
-    named = sold.withColumn("name", F.coalesce(F.nullif(F.nullif(F.col("name"), F.lit("")), F.lit("0")), F.lit("unknown")))
+    named = sold.withColumn("name", F.coalesce(F.nullif(F.nullif(F.col("name"), F.lit("")), F.lit("0")), F.lit(UNNAMED_CARD)))
     return next_ids(cards, "gift_card_id", named, ["request_id"], "gift_card_id").select(
         "request_id", "order_id", "gift_card_id", "name", "amount"
     )
@@ -229,9 +231,9 @@ def issue_gift_lines(requests: DataFrame, cards: DataFrame, orders: DataFrame, c
     on_account = asked.filter(F.col("kind") == "payment")
     sold = new_gift_cards(requests, cards)
     return (
-        line(sold, "gift_card", F.concat(F.lit("GiftCard "), card.cast("string")), none, card)
-        .unionByName(line(to_account, "gift_card", F.lit("GiftCard"), F.col("item_id"), none))
-        .unionByName(line(on_account, "pay_account", F.lit("Account Payment"), none, none))
+        line(sold, "gift_card", F.concat(F.lit(GIFT_LINE + " "), card.cast("string")), none, card)
+        .unionByName(line(to_account, "gift_card", F.lit(GIFT_LINE), F.col("item_id"), none))
+        .unionByName(line(on_account, "pay_account", F.lit(ACCOUNT_LINE), none, none))
     )
 
 

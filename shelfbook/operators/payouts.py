@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.money import is_true, money, or_zero, total
 from .balances import vendor_cash_balance
-from .entries import CONSIGNOR, COST, PAYABLE, credit, debit, emit
+from .entries import (
+    CASH_ADJUSTED, CONSIGNOR, COST, CREDIT_ADJUSTED, PAYABLE, PAYOUT, PAYOUT_OFFSET, TRANSFER, credit, debit, emit,
+)
 from .sales import with_grand_total
 
 
@@ -87,10 +89,10 @@ def payout_voucher_lines(candidates: DataFrame, run_date: dt.date) -> DataFrame:
     offset = or_zero("credit_balance")
     lines = F.array_compact(
         F.array(
-            line(1, "Consignment", "vendor", F.col("vendor_id"), F.col("amount") - offset),
+            line(1, PAYOUT, "vendor", F.col("vendor_id"), F.col("amount") - offset),
             F.when(
                 offset != 0,
-                line(2, "Consignment - Credit Transfer", "customer", F.col("customer_id"), offset),
+                line(2, PAYOUT_OFFSET, "customer", F.col("customer_id"), offset),
             ),
         )
     )
@@ -107,7 +109,7 @@ def single_payout(chosen: DataFrame, postings: DataFrame, run_date: dt.date) ->
         "ct_consign_id", "vendor_id",
         F.lit(run_date).alias("voucher_date"),
         voucher_number(F.col("vendor_id"), run_date).alias("ref_num"),
-        F.lit("Consignment").alias("description"),
+        F.lit(PAYOUT).alias("description"),
         F.lit("vendor").alias("ref"),
         F.col("vendor_id").alias("ref_id"),
         F.lit(CONSIGNOR).alias("account"),
@@ -139,7 +141,7 @@ def manual_adjustment(adjustments: DataFrame, consignors: DataFrame) -> DataFram
         {
             "trans_ref": ref,
             "trans_ref_id": "party",
-            "description": F.when(cash, "Manual Cash Adjustment").otherwise("Manual Credit Adjustment"),
+            "description": F.when(cash, CASH_ADJUSTED).otherwise(CREDIT_ADJUSTED),
         },
         credit(ref, F.col("party"), CONSIGNOR, F.col("amount")),
         debit(ref, F.col("party"), COST, F.col("amount")),
@@ -189,7 +191,7 @@ def convert_account_type(changes: DataFrame, postings: DataFrame, unchanged_coun
         {
             "trans_ref": F.lit("ct_consign"),
             "trans_ref_id": "ct_consign_id",
-            "description": F.lit("Transfer account balance"),
+            "description": F.lit(TRANSFER),
         },
         debit(F.col("old_ref"), F.col("old_id"), CONSIGNOR, F.col("old_balance")),
         credit(F.col("new_ref"), F.col("new_id"), CONSIGNOR, F.col("new_balance")),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.money import is_true
 from .balances import balances_by_consignor
-from .entries import CONSIGNOR, EARNINGS, GIFT, RECEIVABLE, credit, debit, emit
+from .entries import (
+    CARD_IMPORT, CONSIGNOR, CORRECTION, EARNINGS, GIFT, OPENING, RECEIVABLE, SETUP, credit, debit, emit,
+)
 
 
 def name_drift(consignors: DataFrame, vendors: DataFrame, customers: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def misfiled_corrections(misfiled: DataFrame) -> DataFrame:
         {
             "trans_ref": F.lit("ct_consign"),
             "trans_ref_id": "ct_consign_id",
-            "description": F.lit("Cash/Credit Adjustment"),
+            "description": F.lit(CORRECTION),
         },
         F.when(to_customer, debit(*vendor, CONSIGNOR, as_vendor)),
         F.when(to_customer, credit(*customer, CONSIGNOR, as_vendor)),
@@ -142,7 +144,7 @@ def ar_reversal(transactions: DataFrame, postings: DataFrame) -> DataFrame:
             "trans_ref": F.lit("invoice"),
             "trans_ref_id": "trans_ref_id",
             "ref_date": "ref_date",
-            "description": F.lit("Initial Setup"),
+            "description": F.lit(SETUP),
         },
         credit(*party, RECEIVABLE, F.col("debit")),
         debit(*party, EARNINGS, F.col("debit")),
@@ -162,7 +164,7 @@ def opening_balances(staging: DataFrame, consignors: DataFrame) -> DataFrame:
         {
             "trans_ref": F.lit("ct_consign"),
             "trans_ref_id": "ct_consign_id",
-            "description": F.lit("Initial Balance"),
+            "description": F.lit(OPENING),
         },
         credit(ref, party, CONSIGNOR, F.col("balance")),
         debit(ref, party, EARNINGS, F.col("balance")),
@@ -178,7 +180,7 @@ def gift_opening(cards: DataFrame, staging: DataFrame) -> DataFrame:
         {
             "trans_ref": F.lit("gift_card"),
             "trans_ref_id": "gift_card_id",
-            "description": F.lit("Gift Card Import"),
+            "description": F.lit(CARD_IMPORT),
             "memo": "name",
         },
         credit(*party, GIFT, F.col("_balance")),

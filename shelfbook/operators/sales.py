@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import discounted, is_true, money, or_zero, total, undiscounted
+from .entries import PAID, PREPAID
 
 
 def on_day(column: str, day: dt.date) -> Column:
@@ -80,7 +81,7 @@ def sales_by_location(orders: DataFrame, lines: DataFrame, locations: DataFrame,
 
 def payment_class() -> Column:
     prepaid = is_true("store_credit") | is_true("gift_card")
-    return F.when(prepaid, "Credit/Gift").otherwise("Cash/Check/CC")
+    return F.when(prepaid, PREPAID).otherwise(PAID)
 
 
 def payments_by_class(payments: DataFrame, methods: DataFrame, day: dt.date) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, PRICE, RATE, money
 from ..operators import ledger, repairs
-from ..operators.entries import BANK, CASH, CONSIGNOR, EARNINGS, PAYABLE, credit, debit, emit
+from ..operators.entries import (
+    BANK, CASH, CONSIGNOR, EARNINGS, OPENING, PAYABLE, credit, debit, emit,
+)
 
-MANUAL_SALE = "Manual sale for unmatched square payment"
+MANUAL_SALE = "Manual card sale"
 OPENING_DAY = "1995-01-01"
 C = F.col
 
@@ -274,7 +276,7 @@ class Shop:
         parts = [
             self._transactions_of(self.invoices, "invoice", C("invoice_id"), 1, C("created_ts"), None),
             self._transactions_of(self.customer_payments, "customer_payment", C("customer_payment_id"), 2, C("process_ts"), None),
-            self._transactions_of(self.consignors, "ct_consign", C("ct_consign_id"), 3, first, "Initial Balance"),
+            self._transactions_of(self.consignors, "ct_consign", C("ct_consign_id"), 3, first, OPENING),
             self._transactions_of(booked, "check", C("check_id"), 4, C("check_date"), None),
             self._transactions_of(booked.filter(C("check_id") % 5 == 0), "check", C("check_id"), 8, C("check_date"), "Reissued"),
             self._transactions_of(self.consignors, "ct_consign", C("ct_consign_id"), 5, first, "Misfiled"),
