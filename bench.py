@@ -27,7 +27,7 @@ HEADLINES = [
     "merge_duplicate_payments",
     "open_checks",
     "convert_account_type",
-    "next_order_ids",
+    "next_ids",
 ]
 
 

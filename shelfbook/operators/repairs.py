@@ -212,22 +212,20 @@ def _logged_text(field: str) -> Column:
 
 def change_log(before: DataFrame, after: DataFrame) -> DataFrame:
     """One log row per account field changed between two snapshots."""
-    def spread(df, out):
-        pairs = F.array(
-            *[F.struct(F.lit(f).alias("field"), _logged_text(f).alias(out)) for f in LOGGED_FIELDS]
-        )
-        return df.select("ct_consign_id", F.explode(pairs).alias("_p")).select("ct_consign_id", "_p.*")
+    old = before.select("ct_consign_id", *[_logged_text(f).alias(f"_old_{f}") for f in LOGGED_FIELDS])
+    new = after.select("ct_consign_id", *[_logged_text(f).alias(f"_new_{f}") for f in LOGGED_FIELDS])
+
+    def change(field):
+        was, now = F.col(f"_old_{field}"), F.col(f"_new_{field}")
+        words = F.concat(F.lit(f"{field} changed from "), was, F.lit(" to "), now)
+        return F.when(was != now, F.struct(F.lit(field).alias("field"), words.alias("message")))
 
+    changes = F.array(*[change(f) for f in LOGGED_FIELDS])
     return (
-        spread(before, "old_value")
-        .join(spread(after, "new_value"), ["ct_consign_id", "field"])
-        .filter(F.col("old_value") != F.col("new_value"))
-        .select(
-            "ct_consign_id", "field",
-            F.concat(F.col("field"), F.lit(" changed from "), F.col("old_value"), F.lit(" to "), F.col("new_value")).alias(
-                "message"
-            ),
-        )
+        old.join(new, "ct_consign_id")
+        .select("ct_consign_id", F.explode(changes).alias("_c"))
+        .filter(F.col("_c").isNotNull())
+        .select("ct_consign_id", "_c.*")
     )
 
 

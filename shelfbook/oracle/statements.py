@@ -386,6 +386,7 @@ FINALS["allowed_payment_methods"] = """
 SELECT DISTINCT CAST(n.n_nationkey AS BIGINT) AS employee_id, m.payment_method_id, m.name
 FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
   JOIN m_methods m ON (m.payment_method_id + r.r_regionkey) % 2 = 0"""
+FINALS["allowed_payment_methods_of_one"] = FINALS["allowed_payment_methods"] + " WHERE n.n_nationkey = 3"
 FINALS["new_gift_cards"] = """
 SELECT request_id, order_id, CAST(gift_card_id AS BIGINT) AS gift_card_id, name, amount FROM m_new_cards"""
 FINALS["issue_gift_lines"] = """
@@ -433,6 +434,9 @@ WHERE order_id NOT IN (SELECT order_id FROM m_orders WHERE order_status = 'pos')
 FINALS["drop_orders_payments"] = """
 SELECT order_payment_id, order_id, amount FROM m_op
 WHERE order_id NOT IN (SELECT order_id FROM m_orders WHERE order_status = 'pos')"""
+FINALS["drop_orders_shipping"] = """
+SELECT o.order_id, CAST(0 AS DECIMAL(10,2)) AS cost, l.state, l.zipcode
+FROM m_orders o JOIN m_locations l ON o.location_id = l.location_id WHERE o.order_status <> 'pos'"""
 FINALS["remove_lines"] = """
 SELECT order_id, line_number, item_id, total_price FROM m_lines
 WHERE NOT (line_number = 1 AND order_id IN (SELECT order_id FROM m_orders WHERE order_status = 'pos'))"""
@@ -458,6 +462,13 @@ FINALS["apply_dates"] = """
 SELECT o.order_id, coalesce(r.d, o.created_ts) AS created_ts, coalesce(r.d, o.order_ts) AS order_ts,
   coalesce(r.d, o.close_ts) AS close_ts
 FROM m_orders o LEFT JOIN (SELECT order_id, min(payment_date) AS d FROM m_repair GROUP BY order_id) r ON o.order_id = r.order_id"""
+FINALS["apply_dates_invoices"] = """
+SELECT i.invoice_id, coalesce((SELECT min(r.payment_date) FROM m_repair r WHERE r.invoice_id = i.invoice_id), i.created_ts)
+  AS created_ts FROM m_invoices i"""
+FINALS["apply_dates_payments"] = """
+SELECT p.customer_payment_id,
+  coalesce((SELECT min(r.payment_date) FROM m_repair r WHERE r.customer_payment_id = p.customer_payment_id), p.process_ts)
+  AS process_ts FROM m_cp p"""
 FINALS["apply_dates_deposits"] = """
 SELECT o.deposit_id, coalesce(r.d, o.deposit_date) AS deposit_date, o.amount
 FROM m_deposits o LEFT JOIN (SELECT deposit_id, min(payment_date) AS d FROM m_repair GROUP BY deposit_id) r
@@ -511,16 +522,16 @@ SELECT CASE WHEN event_type = 'error' THEN 'note' ELSE 'log' END AS kind, user_i
 
 # Text, keys, validation
 
-FINALS["search_by_name"] = """
+FINALS["search_consignors"] = """
 SELECT ct_consign_id, name, customer_id, vendor_id FROM m_consign WHERE lower(name) SIMILAR TO '.*supplier#0000000(01|02).*'"""
-FINALS["search_by_id"] = "SELECT ct_consign_id, name, customer_id, vendor_id FROM m_consign WHERE ct_consign_id = 7"
-FINALS["search_as_json"] = """
+FINALS["search_consignors_by_id"] = "SELECT ct_consign_id, name, customer_id, vendor_id FROM m_consign WHERE ct_consign_id = 7"
+FINALS["search_json"] = """
 SELECT ct_consign_id, '{"ct_consign_id":"' || CAST(ct_consign_id AS VARCHAR) || '","name":"' || replace(name, '"', '') || '"}' AS json
 FROM m_consign WHERE regexp_matches(name, 'supplier#0000000(01|02)', 'i')"""
-FINALS["legal_names"] = """
+FINALS["legal_name"] = """
 SELECT request_id, name, CASE WHEN request_id % 5 > 1 THEN split_part(name, ', ', 2) || ' ' || split_part(name, ', ', 1) END AS legal_name
 FROM m_requests"""
-FINALS["next_order_ids"] = """
+FINALS["next_ids"] = """
 SELECT order_payment_id, CAST((SELECT max(order_id) FROM m_orders) + row_number() OVER (ORDER BY order_payment_id) AS BIGINT)
   AS order_id FROM m_op"""
 FINALS["validate_new_accounts"] = "SELECT request_id, name, cash, consign_percent, consign_fee, missing FROM m_valid"

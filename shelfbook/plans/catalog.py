@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import next_ids
-from ..functions.text import legal_name, search_consignors, search_json
+from ..functions import keys, text
 from ..operators import accounts, balances, checks, imports, ledger, payments, payouts, repairs, sales
 from ..session import tune
 from ..sources import files
@@ -477,6 +476,11 @@ def allowed_payment_methods(s: Shop):
     return payments.allowed_payment_methods(s.employee_groups, s.method_groups, s.methods)
 
 
+@query
+def allowed_payment_methods_of_one(s: Shop):
+    return payments.allowed_payment_methods(s.employee_groups, s.method_groups, s.methods, employee_id=3)
+
+
 @query
 def issue_gift_lines(s: Shop):
     return payments.issue_gift_lines(inputs.gift_requests(s), s.gift_cards, s.orders, s.consignors)
@@ -520,7 +524,7 @@ def reassign_customer_payments(s: Shop):
 
 
 def _without_till_orders(s: Shop):
-    tables = {"orders": s.orders, "lines": s.lines, "payments": s.order_payments}
+    tables = {"orders": s.orders, "lines": s.lines, "payments": s.order_payments, "shipping": s.shipping}
     return sales.drop_orders(tables, inputs.till_orders(s))
 
 
@@ -539,6 +543,11 @@ def drop_orders_payments(s: Shop):
     return _without_till_orders(s)["payments"].select("order_payment_id", "order_id", "amount")
 
 
+@query
+def drop_orders_shipping(s: Shop):
+    return _without_till_orders(s)["shipping"]
+
+
 @query
 def remove_lines(s: Shop):
     return sales.remove_lines(s.lines, inputs.doomed_lines(s)).select("order_id", "line_number", "item_id", "total_price")
@@ -586,6 +595,20 @@ def apply_dates(s: Shop):
     ).select("order_id", "created_ts", "order_ts", "close_ts")
 
 
+@query
+def apply_dates_invoices(s: Shop):
+    return repairs.apply_dates(
+        s.invoices, payment_date_repair_set(s).drop("created_ts"), "invoice_id", ["created_ts"]
+    ).select("invoice_id", "created_ts")
+
+
+@query
+def apply_dates_payments(s: Shop):
+    return repairs.apply_dates(
+        s.customer_payments, payment_date_repair_set(s), "customer_payment_id", ["process_ts"]
+    ).select("customer_payment_id", "process_ts")
+
+
 @query
 def apply_dates_deposits(s: Shop):
     return repairs.apply_dates(s.deposits, payment_date_repair_set(s), "deposit_id", ["deposit_date"])
@@ -624,7 +647,7 @@ def opening_balances(s: Shop):
 @query
 def gift_opening(s: Shop):
     staged = s.gift_cards.select("legacy_code", "name", "amount", "balance")
-    cards = next_ids(s.gift_cards, "gift_card_id", staged, ["legacy_code"], "gift_card_id")
+    cards = keys.next_ids(s.gift_cards, "gift_card_id", staged, ["legacy_code"], "gift_card_id")
     return repairs.gift_opening(cards.drop("balance"), staged)
 
 
@@ -659,30 +682,30 @@ def account_activity(s: Shop):
 
 
 @query
-def search_by_name(s: Shop):
-    return search_consignors(s.consignors, "supplier#0000000(01|02)")
+def search_consignors(s: Shop):
+    return text.search_consignors(s.consignors, "supplier#0000000(01|02)")
 
 
 @query
-def search_by_id(s: Shop):
-    return search_consignors(s.consignors, "7")
+def search_consignors_by_id(s: Shop):
+    return text.search_consignors(s.consignors, "7")
 
 
 @query
-def search_as_json(s: Shop):
-    return search_json(s.consignors, "supplier#0000000(01|02)")
+def search_json(s: Shop):
+    return text.search_json(s.consignors, "supplier#0000000(01|02)")
 
 
 @query
-def legal_names(s: Shop):
+def legal_name(s: Shop):
     named = inputs.account_requests(s).select("request_id", "name")
-    return named.withColumn("legal_name", legal_name(C("name")))
+    return named.withColumn("legal_name", text.legal_name(C("name")))
 
 
 @query
-def next_order_ids(s: Shop):
+def next_ids(s: Shop):
     new = s.order_payments.select("order_payment_id")
-    return next_ids(s.orders, "order_id", new, ["order_payment_id"], "order_id")
+    return keys.next_ids(s.orders, "order_id", new, ["order_payment_id"], "order_id")
 
 
 @query

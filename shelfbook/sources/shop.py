@@ -133,6 +133,13 @@ class Shop:
             F.when(C("o_orderpriority") == "1-URGENT", F.lit(20)).alias("discount"),
         )
 
+    @cached_property
+    def shipping(self) -> DataFrame:
+        places = self.locations.select("location_id", "state", "zipcode")
+        return self.orders.join(places, "location_id").select(
+            "order_id", F.lit(0).cast(PRICE).alias("cost"), "state", "zipcode"
+        )
+
     @cached_property
     def invoices(self) -> DataFrame:
         return self.orders.filter(C("order_status") == "closed").select(
