@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import accounts, balances, checks, imports, ledger, payments, payouts, repairs, sales
-from ..session import tune
+from ..session import size_shuffles, tune
 from ..sources import files
 from ..sources.shop import MANUAL_SALE, Shop
 from ..streaming import streams
@@ -27,7 +27,11 @@ def query(build: Callable[[Shop], DataFrame]) -> Callable[[Shop], DataFrame]:
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The catalog as functions of a session and a data folder."""
     def bind(build):
-        return lambda spark, sf_dir: build(Shop(tune(spark), sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            size_shuffles(tune(spark), sf_dir)
+            return build(Shop(spark, sf_dir))
+
+        return run
 
     return {name: bind(build) for name, build in QUERIES.items()}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators count on. Joins are left to the planner: a side is broadcast
 # only when its measured size is under spark.sql.autoBroadcastJoinThreshold, and a sort-merge join
@@ -26,6 +27,30 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Input bytes per shuffle partition before AQE packs small ones, and the most partitions asked for:
+# more of them would cost more in shuffle files than smaller tasks save.
+BYTES_PER_PARTITION = 1 << 30
+MOST_PARTITIONS = 100_000
+_sized: set[tuple[str, str]] = set()
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Raise the number of shuffle partitions to suit the size of the input files, once per folder.
+
+    Only file sizes are read. AQE can pack partitions but not split those of an aggregation, so a large
+    input needs many to begin with.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _sized:
+        return
+    _sized.add(key)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    size = listing.agg(F.sum("length")).first()[0] or 0
+    wanted = min(MOST_PARTITIONS, -(-size // BYTES_PER_PARTITION))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
 def local_session(cores: int | str = 8, app: str = "shelfbook") -> SparkSession:
     """A small local session for tests and benchmarks."""
     spark = (

@@ -62,10 +62,12 @@ def save_gift_cards(cards: DataFrame, path: str) -> None:
 def write_ledger(postings: DataFrame, path: str, mode: str = "append") -> None:
     """Store postings by post date; busy dates are split and small ones packed before the write.
 
-    With ``mode='overwrite'`` only the dates present in ``postings`` are replaced.
+    Within a file postings lie by account and party, so that a balance of one account skips most row
+    groups. With ``mode='overwrite'`` only the dates present in ``postings`` are replaced.
     """
     (
         postings.hint("rebalance", "post_date")
+        .sortWithinPartitions("post_date", "account", "ref", "ref_id")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("post_date")

@@ -12,6 +12,7 @@ from ..operators import ledger, repairs
 from ..operators.entries import (
     BANK, CASH, CONSIGNOR, EARNINGS, OPENING, PAYABLE, credit, debit, emit,
 )
+from .files import read_ledger
 
 MANUAL_SALE = "Manual card sale"
 OPENING_DAY = "1995-01-01"
@@ -376,3 +377,15 @@ class Shop:
             F.when(C("event_id") % 4 == 0, "check").otherwise("ct_consign").alias("ref"),
             (C("user_id") % 100).alias("ref_id"), C("ts").alias("created_ts"), C("props").alias("message"),
         )
+
+
+class StoredLedgerShop(Shop):
+    """The same shop with its ledger read back from storage instead of derived."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, ledger_path: str):
+        super().__init__(spark, sf_dir)
+        self.ledger_path = ledger_path
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return read_ledger(self.spark, self.ledger_path)

@@ -124,3 +124,17 @@ def test_ledger_overwrite_replaces_only_its_dates(spark, tmp_path):
     files.write_ledger(first, path)
     files.write_ledger(fx.postings(spark, (4, dt.date(2013, 1, 2), "vendor", 1, "cc", "0", "4")), path, mode="overwrite")
     assert fx.rows(files.read_ledger(spark, path), "trans_id", "post_date") == [(1, dt.date(2013, 1, 1)), (3, None), (4, dt.date(2013, 1, 2))]
+
+
+def test_balances_from_the_stored_ledger_read_only_their_dates_and_accounts(spark, shop, tmp_path):
+    from shelfbook.operators import balances, payouts
+    from shelfbook.sources.shop import StoredLedgerShop
+
+    month = shop.postings.filter("post_date IS NULL OR post_date BETWEEN '1998-12-01' AND '1999-01-31'")
+    files.write_ledger(month, str(tmp_path / "ledger"))
+    stored = StoredLedgerShop(spark, shop.sf_dir, str(tmp_path / "ledger"))
+    assert fx.rows(balances.account_list(stored.consignors, stored.postings)) == fx.rows(balances.account_list(shop.consignors, month))
+    report = payouts.payout_candidates(stored.postings, shop.vendors, shop.consignors, "100.00", dt.date(1999, 1, 1))
+    text = spark._jvm.PythonSQLUtils.explainString(report._jdf.queryExecution(), "formatted")
+    scan = next(part for part in text.split("\n\n") if "Scan parquet" in part and "ledger" in part)
+    assert "PartitionFilters: [isnotnull(post_date" in scan and "EqualTo(account,cc)" in scan
