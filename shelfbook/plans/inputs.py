@@ -6,14 +6,13 @@ All are expressions over whole tables, so they grow with the data.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, PRICE, RATE, money
 from ..operators import accounts, balances, sales
-from ..session import shared_folder
+from ..session import scratch_folder
 from ..sources.shop import Shop
 
 C = F.col
@@ -34,7 +33,7 @@ def now():
 
 def scratch(shop: Shop) -> str:
     """A fresh folder for one run under the cluster's shared folder."""
-    return f"{shared_folder(shop.spark)}/shelfbook-{uuid.uuid4().hex}"
+    return scratch_folder(shop.spark)
 
 
 def consignor_staging(shop: Shop) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,19 +67,33 @@ def local_session(cores: int | str = 8, app: str = "shelfbook") -> SparkSession:
     return tune(spark)
 
 
+# Used in local mode only, where the session names no checkpoint folder.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: the cluster's checkpoint folder, or a fresh one in local mode."""
+    """The folder all executors see: the cluster's checkpoint folder, or one for local mode where none is set."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="shelfbook-")
+    return LOCAL_FOLDER
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path under the shared folder that is removed when the application ends."""
+    path = f"{shared_folder(spark)}/shelfbook-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder once, so that every use sees the same partitions."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """Write the frame to the shared folder once, as compressed Parquet, so that every use sees the same rows.
+
+    The files survive the loss of executors and are removed when the application ends.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
