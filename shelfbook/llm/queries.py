@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, simhash, urls
+from . import bytenet, secrets, simhash, urls
 from .common import table
 
 
@@ -22,10 +22,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 # Where SQL is missing, the tests hold the query against a brute-force version.
