@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, secrets, simhash, urls
+from . import bytenet, hostrules, secrets, simhash, urls
 from .common import table
 
 
@@ -22,6 +22,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,10 +36,12 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op8_host_quality_rules": op8_host_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
 # Where SQL is missing, the tests hold the query against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
+    "op8_host_quality_rules": hostrules.judge_sql(),
     "op2_url_filter": urls.judge_sql(),
 }
