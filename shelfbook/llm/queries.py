@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, hostrules, secrets, simhash, urls
+from . import bytenet, hostrules, mixing, secrets, simhash, urls
 from .common import table
 
 
@@ -22,6 +22,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies"
+    )
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -36,6 +42,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
 }
