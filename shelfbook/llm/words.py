@@ -19,8 +19,10 @@ P1, P2, P3, P4, P5 = (
     U64(0x27D4EB2F165667C5),
 )
 PADDING = 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# All of ASCII but letters and digits.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -57,9 +59,9 @@ class Words:
     first: np.ndarray  # number of each text's first word, and of all words
 
 
-def split_words(raw: np.ndarray, rows: np.ndarray) -> Words:
-    """Words of the texts that begin at ``rows`` in ``raw``, with A-Z in lower case."""
-    word = ~_BLANK[raw]
+def split_words(raw: np.ndarray, rows: np.ndarray, blank: np.ndarray = BLANK) -> Words:
+    """Words of the texts that begin at ``rows`` in ``raw``, with A-Z in lower case; ``blank`` marks the bytes between."""
+    word = ~blank[raw]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
