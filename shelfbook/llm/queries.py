@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, decontaminate, hostrules, mixing, secrets, simhash, urls
+from . import bytenet, decontaminate, hostrules, mixing, secrets, simhash, tokens, urls
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_by_section(table(spark, sf_dir, "documents"))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op7_token_attribution": op7_token_attribution,
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
 }
