@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, decontaminate, hostrules, mixing, secrets, simhash, tokens, urls
+from . import bytenet, decontaminate, hostrules, mixing, secrets, sharding, simhash, tokens, urls, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+
+
 def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_by_section(table(spark, sf_dir, "documents"))
 
@@ -46,19 +50,27 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_sharding": op6_sharding,
     "op7_token_attribution": op7_token_attribution,
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }
 
 # Where SQL is missing, the tests hold the query against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
+    "op10_warc_round_trip": warc.round_trip_sql(),
     "op8_host_quality_rules": hostrules.judge_sql(),
     "op2_url_filter": urls.judge_sql(),
 }
