@@ -125,7 +125,8 @@ def mix(
     targets = pin(source_targets(sizes, weights, share, most))
     found = tilts(sizes, targets, most).withColumnRenamed("source", "_s")
     same = F.col("source").eqNullSafe(F.col("_s"))
-    by_source = targets.join(found, same, "left").select(F.col("source").alias("_source"), "source_size", "target", "mean", "tilt")
+    # Pinned, so that its true size is known and a small table is broadcast instead of shuffling all rows by source.
+    by_source = pin(targets.join(found, same, "left").select(F.col("source").alias("_source"), "source_size", "target", "mean", "tilt"))
     rated = sizes.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     taken = F.when(F.col("size") > 0, rate(F.col("tilt"), F.col("size"), F.col("mean"), most)).otherwise(1.0)
     rated = rated.withColumn("rate", taken).drop("mean", "tilt")
@@ -148,7 +149,7 @@ def whole_copies(rated: DataFrame, most: int) -> DataFrame:
     tail = rated.filter(~is_head)
     missed = heads.select(F.col("source").alias("_source"), F.col("done.missed").alias("_missed"))
     wanted = tail.groupBy("source").agg(F.sum(F.col("rate") * F.col("size")).alias("_tail")).withColumnRenamed("source", "_s")
-    missed = wanted.join(missed, F.col("_s").eqNullSafe(F.col("_source")), "left").select("_s", "_tail", F.coalesce("_missed", F.lit(0.0)).alias("_missed"))
+    missed = pin(wanted.join(missed, F.col("_s").eqNullSafe(F.col("_source")), "left").select("_s", "_tail", F.coalesce("_missed", F.lit(0.0)).alias("_missed")))
     scale = F.when(F.col("_tail") > 0, F.greatest(F.lit(0.0), 1 + F.col("_missed") / F.col("_tail"))).otherwise(1.0)
     # Rounded, so that the order of adding up does not show.
     units = F.round(F.least(F.lit(float(most)), F.col("rate") * F.round(scale, 9)) * UNIT).cast("bigint")
