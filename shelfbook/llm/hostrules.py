@@ -116,7 +116,8 @@ def judge(
 ) -> DataFrame:
     """One row per row: the id, the counts, ``base_failed``, ``failed``, the host's ``shrunk`` rate and ``kept``."""
     failed = pin(failures(counts(docs, id_column, host_column, text_column)))
-    rates = host_rates(failed).select(F.col("host").alias("_host"), "shrunk")
+    # Pinned, so that its true size is known and a small table is broadcast instead of shuffling all rows by host.
+    rates = pin(host_rates(failed).select(F.col("host").alias("_host"), "shrunk"))
     judged = failed.join(rates, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("shrunk") <= host_limit))
     return judged.withColumnRenamed("id", id_column)
