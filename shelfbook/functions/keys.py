@@ -1,4 +1,4 @@
-"""Ids, running totals and id lists that stay distributed however uneven the keys are."""
+"""Ids and running totals that stay distributed however uneven the keys are."""
 
 from __future__ import annotations
 
@@ -58,19 +58,3 @@ def next_ids(existing: DataFrame, key: str, new: DataFrame, order_by: Sequence[s
     highest = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
     numbered = number_rows(new, order_by, "_n")
     return numbered.withColumn(out, highest + F.col("_n")).drop("_n")
-
-
-def id_lists(df: DataFrame, keys: Sequence[str], id_column: str, out: str, size: int = 10000) -> DataFrame:
-    """Comma lists of ids per key, ascending, with ``list_part`` 0.
-
-    A key with more ids than ``size`` gets several rows, ``list_part`` 0, 1, 2…, which together hold
-    every id once, so that no key is gathered into one row or task however many ids it has.
-    """
-    keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(id_column).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(size))).cast("int")
-    split = df.join(counts, keys).withColumn(
-        "list_part", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(id_column), parts)).cast("int")
-    )
-    ordered = F.transform(F.sort_array(F.collect_list(id_column)), lambda x: x.cast("string"))
-    return split.groupBy(*keys, "list_part").agg(F.array_join(ordered, ",").alias(out))

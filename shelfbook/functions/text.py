@@ -18,9 +18,9 @@ def legal_name(name: Column) -> Column:
 
 
 def search_consignors(consignors: DataFrame, text: str) -> DataFrame:
-    """All digits: that consignor id; otherwise a case-insensitive pattern on the name."""
+    """All digits: that consignor id (none has a number beyond bigint); otherwise a case-insensitive pattern on the name."""
     wanted = (
-        F.col("ct_consign_id") == F.lit(int(text)) if text.isascii() and text.isdigit()
+        F.col("ct_consign_id") == F.lit(text).try_cast("bigint") if text.isascii() and text.isdigit()
         else F.col("name").rlike("(?i)" + text)
     )
     return consignors.filter(wanted).select("ct_consign_id", "name", "customer_id", "vendor_id").orderBy("name")

@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import id_lists
 from ..functions.money import is_true
 from .accounts import backfill_customers
 from .entries import (
@@ -16,6 +15,10 @@ from .entries import (
 )
 
 
+def or_zero_count(column: str):
+    return F.coalesce(column, F.lit(0)).cast("bigint").alias(column)
+
+
 def check_transactions(transactions: DataFrame) -> DataFrame:
     return transactions.filter(F.col("ref") == "check").select(
         F.col("ref_id").alias("check_id"), "trans_id", "post_date"
@@ -23,36 +26,49 @@ def check_transactions(transactions: DataFrame) -> DataFrame:
 
 
 def open_checks(checks: DataFrame, transactions: DataFrame, consignors: DataFrame) -> DataFrame:
-    """Uncleared checks of consignors with the ids of their ledger transactions."""
+    """Uncleared checks of consignors with the number of their ledger transactions."""
     mine = consignors.filter(F.col("vendor_id").isNotNull()).select("vendor_id")
     uncleared = checks.filter(F.col("cleared").isNull()).join(mine, "vendor_id", "left_semi")
-    listed = id_lists(check_transactions(transactions), ["check_id"], "trans_id", "trans_ids")
+    counted = check_transactions(transactions).groupBy("check_id").agg(F.count("*").alias("n_transactions"))
     return (
-        uncleared.join(listed, "check_id", "left")
-        .select("check_id", "vendor_id", "check_num", "check_date", "amount", "trans_ids", "list_part")
+        uncleared.join(counted, "check_id", "left")
+        .select("check_id", "vendor_id", "check_num", "check_date", "amount", or_zero_count("n_transactions"))
         .orderBy("vendor_id", "check_date", F.desc("check_id"))
     )
 
 
+def open_check_transactions(checks: DataFrame, transactions: DataFrame, consignors: DataFrame) -> DataFrame:
+    """The ledger transactions of uncleared checks of consignors, one row each."""
+    mine = consignors.filter(F.col("vendor_id").isNotNull()).select("vendor_id")
+    uncleared = checks.filter(F.col("cleared").isNull()).join(mine, "vendor_id", "left_semi")
+    return check_transactions(transactions).join(uncleared, "check_id", "left_semi").select("check_id", "trans_id")
+
+
 def find_check(
     checks: DataFrame, vendors: DataFrame, consignors: DataFrame, voucher_checks: DataFrame, numbers: DataFrame
 ) -> DataFrame:
-    """Checks by number with payee, consignor and the vouchers they paid."""
+    """Checks by number with payee, consignor and the number of vouchers they paid."""
     wanted = checks.join(numbers.select("check_num"), "check_num", "left_semi")
-    listed = id_lists(voucher_checks, ["check_id"], "voucher_id", "voucher_ids")
+    counted = voucher_checks.groupBy("check_id").agg(F.count("*").alias("n_vouchers"))
     payee = vendors.select("vendor_id", F.col("name").alias("payee"))
     owner = consignors.select("vendor_id", "ct_consign_id", "customer_id", F.col("name").alias("consignor"))
     return (
         wanted.join(payee, "vendor_id")
         .join(owner, "vendor_id")
-        .join(listed, "check_id", "left")
+        .join(counted, "check_id", "left")
         .select(
             "check_id", "check_num", "check_date", "amount", "vendor_id", "customer_id", "ct_consign_id",
-            "payee", "consignor", "voucher_ids", "list_part",
+            "payee", "consignor", or_zero_count("n_vouchers"),
         )
     )
 
 
+def found_check_vouchers(checks: DataFrame, voucher_checks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The vouchers that the checks of these numbers paid, one row each."""
+    wanted = checks.join(numbers.select("check_num"), "check_num", "left_semi")
+    return voucher_checks.join(wanted, "check_id", "left_semi").select("check_id", "voucher_id")
+
+
 def check_void_status(checks: DataFrame, transactions: DataFrame, close_date: dt.date) -> DataFrame:
     """Whether a check may be voided, and whether its posting lies in a closed period.
 

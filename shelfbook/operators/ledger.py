@@ -23,8 +23,11 @@ def invoice_headers(invoices: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def bill_lines(lines: DataFrame, invoices: DataFrame, rebill: bool = False) -> DataFrame:
-    """Put the order's invoice and the sales account on its unbilled lines (or on all, ``rebill``)."""
-    made = invoices.select("order_id", F.col("invoice_id").alias("_made"))
+    """Put the order's invoice and the sales account on its unbilled lines (or on all, ``rebill``).
+
+    Of several invoices of an order the last one counts.
+    """
+    made = invoices.groupBy("order_id").agg(F.max("invoice_id").alias("_made"))
     billed = F.col("_made").isNotNull() & (F.lit(rebill) | F.col("invoice_id").isNull())
     return lines.join(made, "order_id", "left").select(
         *[

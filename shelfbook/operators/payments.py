@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import id_lists, next_ids, running_totals
+from ..functions.keys import next_ids, running_totals
 from ..functions.money import is_true, money, total, zero
 from .entries import (
     ACCOUNT_LINE, CONSIGNOR, GIFT_LINE, UNNAMED_CARD,
@@ -62,18 +62,21 @@ def _mergeable(payments: DataFrame, methods: DataFrame) -> DataFrame:
 def merge_duplicate_payments(payments: DataFrame, methods: DataFrame) -> DataFrame:
     """Groups of unprocessed payments of one order and method that become one payment.
 
-    The merged payment keeps neither gift card nor change. The ids it replaces are listed; see
-    ``id_lists`` for groups too large for one list.
+    The merged payment keeps neither gift card nor change; ``merged_payment_ids`` has the ids it replaces.
     """
-    open_ones = _mergeable(payments, methods)
-    keys = ["order_id", "payment_method_id"]
-    groups = (
-        open_ones.groupBy(*keys)
+    return (
+        _mergeable(payments, methods)
+        .groupBy("order_id", "payment_method_id")
         .agg(total("amount").alias("amount"), F.count("order_payment_id").alias("idcount"))
         .filter(F.col("idcount") > 1)
     )
-    repeated = open_ones.join(groups.select(*keys), keys, "left_semi")
-    return groups.join(id_lists(repeated, keys, "order_payment_id", "ids"), keys)
+
+
+def merged_payment_ids(payments: DataFrame, methods: DataFrame) -> DataFrame:
+    """The payments that merged ones replace, one row each."""
+    keys = ["order_id", "payment_method_id"]
+    groups = merge_duplicate_payments(payments, methods)
+    return _mergeable(payments, methods).join(groups, keys, "left_semi").select(*keys, "order_payment_id")
 
 
 def payments_after_merge(payments: DataFrame, methods: DataFrame) -> DataFrame:
@@ -265,9 +268,16 @@ def cash_gift_to_account(
     )
 
 
+def one_move(moves: DataFrame) -> DataFrame:
+    return moves.groupBy("order_id").agg(F.min("new_customer_id").alias("new_customer_id"))
+
+
 def reassign_customer(orders: DataFrame, moves: DataFrame) -> DataFrame:
-    """Orders with the customer given in ``moves`` (order_id, new_customer_id)."""
-    return orders.join(moves.select("order_id", "new_customer_id"), "order_id", "left").select(
+    """Orders with the customer given in ``moves`` (order_id, new_customer_id).
+
+    Of several moves of an order the one to the smallest customer id counts.
+    """
+    return orders.join(one_move(moves), "order_id", "left").select(
         "order_id", F.coalesce("new_customer_id", "customer_id").alias("customer_id")
     )
 
@@ -280,7 +290,7 @@ def payments_after_reassign(
     An order that belonged to the walk-in customer keeps its payments.
     """
     changed = (
-        orders.join(moves.select("order_id", "new_customer_id"), "order_id")
+        orders.join(one_move(moves), "order_id")
         .filter(F.col("customer_id") != F.col("new_customer_id"))
         .join(walk_in.select("customer_id"), "customer_id", "left_anti")
         .select("order_id", F.lit(True).alias("_changed"))

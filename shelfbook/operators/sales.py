@@ -142,9 +142,13 @@ def order_balance_due(orders: DataFrame, totals: DataFrame, paid: DataFrame) ->
 
 
 def apply_order_discount(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """Discount every item line of the requested orders (order_id, percent)."""
+    """Discount every item line of the requested orders (order_id, percent).
+
+    Of several requests for an order the largest discount counts.
+    """
+    asked = requests.groupBy("order_id").agg(F.max("percent").alias("percent"))
     hit = F.col("percent").isNotNull() & F.col("item_id").isNotNull()
-    return lines.join(requests.select("order_id", "percent"), "order_id", "left").select(
+    return lines.join(asked, "order_id", "left").select(
         "order_id", "line_number", "item_id",
         F.when(hit, discounted(F.col("unit_price"), F.col("percent")))
         .otherwise(money("unit_price")).alias("unit_price"),

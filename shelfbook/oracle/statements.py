@@ -64,11 +64,14 @@ UNION ALL
 SELECT t.trans_id, r.payment_date FROM m_repair r JOIN m_trans t ON t.ref = 'customer_payment' AND t.ref_id = r.customer_payment_id
 UNION ALL
 SELECT t.trans_id, r.payment_date FROM m_repair r JOIN m_trans t ON t.ref = 'deposit' AND t.ref_id = r.deposit_id"""
-FINALS["repost_with_new_date"] = f"""
+FINALS["repost_with_new_date"] = """
 SELECT t.trans_id, coalesce(n.d, t.ref_date) AS ref_date, coalesce(n.d, t.post_date) AS post_date
 FROM m_trans t LEFT JOIN (
-  SELECT trans_id, CAST(min(payment_date) AS DATE) AS d FROM ({FINALS["affected_transactions"]}) GROUP BY trans_id
-) n ON t.trans_id = n.trans_id"""
+  SELECT ref, ref_id, CAST(min(payment_date) AS DATE) AS d FROM (
+    SELECT payment_date, unnest(['invoice', 'customer_payment', 'deposit']) AS ref,
+      unnest([invoice_id, customer_payment_id, deposit_id]) AS ref_id FROM m_repair
+  ) GROUP BY ref, ref_id
+) n ON t.ref = n.ref AND t.ref_id = n.ref_id"""
 FINALS["bill_lines"] = """
 SELECT l.order_id, l.line_number, l.item_type, l.total_price,
   CASE WHEN l.line_number = 7 THEN -1 ELSE i.invoice_id END AS invoice_id,
@@ -201,19 +204,22 @@ FINALS["convert_account_type_unedited_rate"] = _conversion(
 # Checks
 
 FINALS["open_checks"] = """
-SELECT c.check_id, c.vendor_id, c.check_num, c.check_date, c.amount, t.trans_ids,
-  CASE WHEN t.trans_ids IS NOT NULL THEN 0 END AS list_part
+SELECT c.check_id, c.vendor_id, c.check_num, c.check_date, c.amount, coalesce(t.n, 0) AS n_transactions
 FROM m_checks c LEFT JOIN (
-  SELECT ref_id, string_agg(CAST(trans_id AS VARCHAR), ',' ORDER BY trans_id) AS trans_ids
-  FROM m_trans WHERE ref = 'check' GROUP BY ref_id
+  SELECT ref_id, count(*) AS n FROM m_trans WHERE ref = 'check' GROUP BY ref_id
 ) t ON t.ref_id = c.check_id
 WHERE c.cleared IS NULL AND c.vendor_id IN (SELECT vendor_id FROM m_consign WHERE vendor_id IS NOT NULL)"""
+FINALS["open_check_transactions"] = """
+SELECT c.check_id, t.trans_id FROM m_checks c JOIN m_trans t ON t.ref = 'check' AND t.ref_id = c.check_id
+WHERE c.cleared IS NULL AND c.vendor_id IN (SELECT vendor_id FROM m_consign WHERE vendor_id IS NOT NULL)"""
+FINALS["find_check_vouchers"] = """
+SELECT v.check_id, v.voucher_id FROM m_vouchers v JOIN m_checks c ON c.check_id = v.check_id
+WHERE c.check_num IN (SELECT order_id + 5000 FROM m_orders)"""
 FINALS["find_check"] = """
 SELECT c.check_id, c.check_num, c.check_date, c.amount, c.vendor_id, o.customer_id, o.ct_consign_id,
-  v.name AS payee, o.name AS consignor, l.voucher_ids, 0 AS list_part
+  v.name AS payee, o.name AS consignor, l.n AS n_vouchers
 FROM m_checks c JOIN m_vendors v ON c.vendor_id = v.vendor_id JOIN m_consign o ON c.vendor_id = o.vendor_id
-  JOIN (SELECT check_id, string_agg(CAST(voucher_id AS VARCHAR), ',' ORDER BY voucher_id) AS voucher_ids
-    FROM m_vouchers GROUP BY check_id) l ON l.check_id = c.check_id"""
+  JOIN (SELECT check_id, count(*) AS n FROM m_vouchers GROUP BY check_id) l ON l.check_id = c.check_id"""
 FINALS["check_void_status"] = """
 SELECT check_id, vendor_id, amount, trans_id, status,
   CASE WHEN trans_id IS NOT NULL THEN coalesce(post_date <= DATE '1998-06-30', FALSE) END AS period_closed FROM m_void"""
@@ -305,10 +311,14 @@ FROM m_op WHERE payment_method_id = 3 GROUP BY order_id, payment_method_id
 UNION ALL
 SELECT order_payment_id, order_id, payment_method_id, amount FROM m_op WHERE payment_method_id <> 3"""
 FINALS["merge_duplicate_payments"] = """
-SELECT order_id, payment_method_id, CAST(sum(amount) AS DECIMAL(20,2)) AS amount, count(*) AS idcount, 0 AS list_part,
-  string_agg(CAST(order_payment_id AS VARCHAR), ',' ORDER BY order_payment_id) AS ids
+SELECT order_id, payment_method_id, CAST(sum(amount) AS DECIMAL(20,2)) AS amount, count(*) AS idcount
 FROM m_op WHERE customer_payment_id IS NULL AND payment_method_id IN (2, 3, 4)
 GROUP BY order_id, payment_method_id HAVING count(*) > 1"""
+FINALS["merge_duplicate_payment_ids"] = """
+SELECT order_id, payment_method_id, order_payment_id FROM (
+  SELECT *, count(*) OVER (PARTITION BY order_id, payment_method_id) AS n FROM m_op
+  WHERE customer_payment_id IS NULL AND payment_method_id IN (2, 3, 4)
+) WHERE n > 1"""
 FINALS["payments_after_merge"] = "SELECT * FROM m_merged"
 FINALS["payments_to_process"] = """
 SELECT p.order_payment_id, p.order_id, p.payment_method_id, p.amount, m.payment_processor_id, m.cash, m.till_method

@@ -297,6 +297,16 @@ def open_checks(s: Shop):
     return checks.open_checks(s.checks, s.transactions, s.consignors)
 
 
+@query
+def open_check_transactions(s: Shop):
+    return checks.open_check_transactions(s.checks, s.transactions, s.consignors)
+
+
+@query
+def find_check_vouchers(s: Shop):
+    return checks.found_check_vouchers(s.checks, s.voucher_checks, inputs.check_numbers(s))
+
+
 @query
 def find_check(s: Shop):
     return checks.find_check(s.checks, s.vendors, s.consignors, s.voucher_checks, inputs.check_numbers(s))
@@ -412,6 +422,11 @@ def merge_duplicate_payments(s: Shop):
     return payments.merge_duplicate_payments(s.order_payments, s.methods)
 
 
+@query
+def merge_duplicate_payment_ids(s: Shop):
+    return payments.merged_payment_ids(s.order_payments, s.methods)
+
+
 @query
 def payments_after_merge(s: Shop):
     return payments.payments_after_merge(s.order_payments, s.methods)

@@ -27,28 +27,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Input bytes per shuffle partition before AQE packs small ones, and the most partitions asked for:
-# more of them would cost more in shuffle files than smaller tasks save.
-BYTES_PER_PARTITION = 1 << 30
-MOST_PARTITIONS = 100_000
-_sized: set[tuple[str, str]] = set()
+# Input bytes per shuffle partition before AQE packs small ones.
+BYTES_PER_PARTITION = 1 << 28
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def size_shuffles(spark: SparkSession, folder: str) -> None:
-    """Raise the number of shuffle partitions to suit the size of the input files, once per folder.
+    """Raise the number of shuffle partitions to suit the size of the input files, once per session and folder.
 
     Only file sizes are read. AQE can pack partitions but not split those of an aggregation, so a large
     input needs many to begin with.
     """
-    key = (spark.sparkContext.applicationId, folder)
-    if key in _sized:
+    done = f"spark.shelfbook.sized.{folder}"
+    if spark.conf.get(done, None):
         return
-    _sized.add(key)
+    spark.conf.set(done, "true")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     size = listing.agg(F.sum("length")).first()[0] or 0
-    wanted = min(MOST_PARTITIONS, -(-size // BYTES_PER_PARTITION))
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    wanted = -(-size // BYTES_PER_PARTITION)
+    in_force = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL, None) or 0))
+    if wanted > in_force:
+        spark.conf.set(INITIAL, str(wanted))
 
 
 def local_session(cores: int | str = 8, app: str = "shelfbook") -> SparkSession:

@@ -59,6 +59,12 @@ def save_gift_cards(cards: DataFrame, path: str) -> None:
     cards.select(F.concat_ws("\t", *cells)).write.mode("overwrite").text(path)
 
 
+LEDGER = (
+    "trans_id bigint, trans_ref string, trans_ref_id bigint, ref string, ref_id bigint, account string, "
+    "debit decimal(20,2), credit decimal(20,2), post_date date"
+)
+
+
 def write_ledger(postings: DataFrame, path: str, mode: str = "append") -> None:
     """Store postings by post date; busy dates are split and small ones packed before the write.
 
@@ -75,5 +81,6 @@ def write_ledger(postings: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
+    """The stored postings. The schema is given, as a folder with open postings only does not tell the date's type."""
+    return spark.read.schema(schema).parquet(path)

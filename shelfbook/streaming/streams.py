@@ -20,15 +20,11 @@ from ..sources.shop import Shop
 
 
 class StreamShop(Shop):
-    """The shop's tables read as streams of files."""
+    """The shop's tables read as streams of files, each table being one file or a folder of them."""
 
     def table(self, name: str) -> DataFrame:
         schema = super().table(name).schema
-        return (
-            self.spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}*.parquet")
-            .parquet(self.sf_dir)
-        )
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parquet*")
 
 
 def run(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -46,24 +42,32 @@ def keep_batches(folder: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
 
-def latest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+def kept_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All written rows with their batch; none if no batch ran."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/rows/batch=-1")
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/rows")
+
+
+def latest_rows(spark: SparkSession, folder: str, keys: list[str], schema: str) -> DataFrame:
     """The newest version of each key among the written batches."""
-    rows = spark.read.parquet(f"{folder}/rows")
+    rows = kept_rows(spark, folder, schema)
     values = [c for c in rows.columns if c not in (*keys, "batch")]
     newest = rows.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("_v"))
     return newest.select(*keys, *[f"_v.{v}" for v in values])
 
 
-def daily_payments(payments: DataFrame, methods: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Running totals per day and payment class; payments later than the watermark are dropped."""
+DAILY = "day date, type string, total decimal(20,2)"
+NAMES = "ref string, ref_id bigint, new_name string"
+TILLS = "location_id bigint, process_ts timestamp_ntz, customer_payment_id bigint, payment_method_id bigint, cash_balance decimal(20,2)"
+
+
+def daily_payments(payments: DataFrame, methods: DataFrame) -> DataFrame:
+    """Running totals per day and payment class. However late, a payment counts: the state is two rows a day."""
     kinds = methods.select("payment_method_id", "store_credit", "gift_card")
     return (
-        payments.withColumn("paid_at", F.col("process_ts").cast("timestamp"))
-        .withWatermark("paid_at", lateness)
-        .join(kinds, "payment_method_id")
-        .groupBy(F.window("paid_at", "1 day").alias("day"), payment_class().alias("type"))
+        payments.join(kinds, "payment_method_id")
+        .groupBy(F.to_date("process_ts").alias("day"), payment_class().alias("type"))
         .agg(total("amount").alias("total"))
-        .select(F.to_date("day.start").alias("day"), "type", "total")
     )
 
 
@@ -71,19 +75,38 @@ def daily_payments_report(shop: Shop, folder: str) -> DataFrame:
     source = StreamShop(shop.spark, shop.sf_dir)
     stream = daily_payments(source.customer_payments, shop.methods)
     run(stream, folder, keep_batches(folder), mode="update").awaitTermination()
-    return latest_rows(shop.spark, folder, ["day", "type"])
+    return latest_rows(shop.spark, folder, ["day", "type"], DAILY)
+
 
+def name_sync(renamed: DataFrame, before: DataFrame, folder: str, edit_order: str | None = None) -> StreamingQuery:
+    """Names to write to vendors and customers as account edits arrive.
+
+    Each batch is compared with the names that the batches before it left, carried in the folder. Of several
+    edits of an account in one batch the last by ``edit_order`` (a time or sequence column) counts; without
+    such a column a batch must hold one edit per account.
+    """
+
+    def carry(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = before.select("ct_consign_id", "name")
+        if number:
+            known = spark.read.schema(known.schema).parquet(f"{folder}/state/batch={number - 1}")
+        if edit_order:
+            row = F.struct(*[c for c in batch.columns if c != "ct_consign_id"])
+            last = batch.groupBy("ct_consign_id").agg(F.max_by(row, edit_order).alias("_row"))
+            batch = last.select("ct_consign_id", "_row.*")
+        propagate_name_changes(known, batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        new = batch.filter(F.col("name").isNotNull()).select("ct_consign_id", F.col("name").alias("_new"))
+        left = known.join(new, "ct_consign_id", "full").select("ct_consign_id", F.coalesce("_new", "name").alias("name"))
+        left.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-def name_sync(renamed: DataFrame, before: DataFrame, folder: str) -> StreamingQuery:
-    """Names to write to vendors and customers as account edits arrive."""
-    rows = keep_batches(folder)
-    return run(renamed, folder, lambda batch, number: rows(propagate_name_changes(before, batch), number))
+    return run(renamed, folder, carry)
 
 
 def name_sync_report(shop: Shop, folder: str) -> DataFrame:
     source = StreamShop(shop.spark, shop.sf_dir)
     name_sync(source.consignors_edited, shop.consignors, folder).awaitTermination()
-    return latest_rows(shop.spark, folder, ["ref", "ref_id"])
+    return latest_rows(shop.spark, folder, ["ref", "ref_id"], NAMES)
 
 
 def till_balance(payments: DataFrame, methods: DataFrame, openings: DataFrame, folder: str) -> StreamingQuery:
@@ -116,4 +139,4 @@ def till_balance(payments: DataFrame, methods: DataFrame, openings: DataFrame, f
 def till_balance_report(shop: Shop, folder: str) -> DataFrame:
     source = StreamShop(shop.spark, shop.sf_dir)
     till_balance(source.customer_payments, shop.methods, shop.locations, folder).awaitTermination()
-    return shop.spark.read.parquet(f"{folder}/rows").drop("batch")
+    return kept_rows(shop.spark, folder, TILLS).drop("batch")

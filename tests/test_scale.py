@@ -9,7 +9,7 @@ import pytest
 from fixtures import D
 from pyspark.sql import functions as F
 
-from shelfbook.functions.keys import id_lists, next_ids, number_rows, running_totals
+from shelfbook.functions.keys import next_ids, number_rows, running_totals
 from shelfbook.operators import ledger, sales
 from shelfbook.plans.catalog import QUERIES
 
@@ -72,14 +72,20 @@ def test_ids_are_consecutive_and_follow_the_order(spark):
     assert number_rows(new.filter("false"), ["k"], "n").count() == 0
 
 
-def test_long_id_lists_are_split_without_loss(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("key"), "id")
-    parts = id_lists(df, ["key"], "id", "ids", size=50)
-    hot = parts.filter("key = 1").collect()
-    assert len(hot) == 14
-    assert sorted(int(i) for r in hot for i in r.ids.split(",")) == list(range(700))
-    assert all(r.list_part == 0 for r in parts.filter("key <> 1").collect())
-    assert len({r.list_part for r in hot}) == len(hot)
+def test_a_key_with_many_ids_is_one_header_and_all_its_links(spark):
+    methods = spark.createDataFrame([(2, None)], "payment_method_id bigint, till_method string")
+    rows = spark.range(25_000).select(
+        F.col("id").alias("order_payment_id"), F.lit(9).cast("bigint").alias("order_id"), F.lit(2).cast("bigint").alias("payment_method_id"),
+        F.lit("1.00").cast("decimal(20,2)").alias("amount"), F.lit(None).cast("bigint").alias("customer_payment_id"),
+    )
+    assert fx.rows(payments.merge_duplicate_payments(rows, methods)) == [(9, 2, "25000.00", 25_000)]
+    assert payments.merged_payment_ids(rows, methods).select("order_payment_id").distinct().count() == 25_000
+
+
+def test_repeated_requests_never_multiply_rows(spark):
+    orders = spark.createDataFrame([(1, 5)], "order_id bigint, customer_id bigint")
+    moves = spark.createDataFrame([(1, 8), (1, 7)], "order_id bigint, new_customer_id bigint")
+    assert fx.rows(payments.reassign_customer(orders, moves)) == [(1, 7)]
 
 
 def _skewed_sales(spark, hot_order, hot_item, n=120000):

@@ -52,13 +52,13 @@ def test_daily_payments_add_up_over_batches(spark, shop, payments, tmp_path):
     _split(payments, source, F.col("process_ts") >= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
     stream = streams.daily_payments(_stream(spark, source, PAYMENTS), shop.methods)
     streams.run(stream, out, streams.keep_batches(out), mode="update").awaitTermination()
-    got = streams.latest_rows(spark, out, ["day", "type"])
+    got = streams.latest_rows(spark, out, ["day", "type"], streams.DAILY)
     kinds = F.when(F.col("payment_method_id").isin(3, 4), "Credit/Gift").otherwise("Cash/Check/CC")
     expected = payments.groupBy(F.to_date("process_ts").alias("day"), kinds.alias("type")).agg(F.sum("amount").cast("decimal(20,2)").alias("total"))
     assert fx.rows(got) == fx.rows(expected)
 
 
-def test_payments_beyond_the_watermark_are_dropped(spark, shop, tmp_path):
+def test_late_payments_count(spark, shop, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     def arrive(key, when):
         spark.createDataFrame([(key, 0, 1, D("1.00"), when)], PAYMENTS).coalesce(1).write.mode("append").parquet(source)
@@ -68,8 +68,8 @@ def test_payments_beyond_the_watermark_are_dropped(spark, shop, tmp_path):
     arrive(1, dt.datetime(2024, 1, 10))
     arrive(2, dt.datetime(2024, 1, 20))
     arrive(3, dt.datetime(2024, 1, 10))  # ten days late
-    got = fx.rows(streams.latest_rows(spark, out, ["day", "type"]), "day", "total")
-    assert got == [(dt.date(2024, 1, 10), "1.00"), (dt.date(2024, 1, 20), "1.00")]
+    got = fx.rows(streams.latest_rows(spark, out, ["day", "type"], streams.DAILY), "day", "total")
+    assert got == [(dt.date(2024, 1, 10), "2.00"), (dt.date(2024, 1, 20), "1.00")]
 
 
 def test_name_sync_keeps_the_latest_name(spark, tmp_path):
@@ -79,6 +79,30 @@ def test_name_sync_keeps_the_latest_name(spark, tmp_path):
     for edits in ([(1, "A1", 101, 11), (2, "B", None, 12)], [(1, "A2", 101, 11)]):
         spark.createDataFrame(edits, schema).coalesce(1).write.mode("append").parquet(source)
         streams.name_sync(_stream(spark, source, schema), before, out).awaitTermination()
-    got = fx.rows(streams.latest_rows(spark, out, ["ref", "ref_id"]))
+    got = fx.rows(streams.latest_rows(spark, out, ["ref", "ref_id"], streams.NAMES))
     final = spark.createDataFrame([(1, "A2", 101, 11), (2, "B", None, 12)], schema)
     assert got == fx.rows(propagate_name_changes(before, final))
+
+
+def test_names_follow_every_edit_in_order(spark, tmp_path):
+    schema = "ct_consign_id bigint, name string, vendor_id bigint, customer_id bigint, edit_no int"
+    before = spark.createDataFrame([(1, "A", 101, None, 0), (2, "B", 102, None, 0)], schema)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, "A1", 101, None, 1), (2, "Z", 102, None, 2), (2, "B2", 102, None, 3)], [(1, "A", 101, None, 4)]]
+    for edits in batches:
+        spark.createDataFrame(edits, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.name_sync(_stream(spark, source, schema), before, out, "edit_no").awaitTermination()
+    got = fx.rows(streams.latest_rows(spark, out, ["ref", "ref_id"], streams.NAMES))
+    assert got == [("vendor", 101, "A"), ("vendor", 102, "B2")]
+
+
+def test_reports_read_tables_of_many_files_and_none(spark, shop, tmp_path):
+    from shelfbook.plans import catalog
+    from shelfbook.sources.shop import Shop
+
+    many = str(tmp_path / "many")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        spark.read.parquet(f"{shop.sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{many}/{name}.parquet")
+    for name in ("stream_daily_payments", "stream_name_sync", "stream_till_balance"):
+        assert fx.rows(catalog.QUERIES[name](Shop(spark, many))) == fx.rows(catalog.QUERIES[name](shop)), name
+    assert streams.latest_rows(spark, str(tmp_path / "none"), ["day", "type"], streams.DAILY).count() == 0
