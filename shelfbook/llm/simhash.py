@@ -153,13 +153,15 @@ def fingerprint_text(fp):
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Keep the document with the smallest id of each group; rows that repeat its id count once.
 
-    Rows without an id cannot be named as anyone's copy and stay.
+    Rows without an id cannot be named as anyone's copy and stay. The ids that go are fewer than those that
+    stay, so they are what the texts are joined with.
     """
-    groups = near_groups(docs, id_column)
-    kept = groups.filter(F.col("component_id") == F.col(id_column)).groupBy(id_column).agg(F.count("*").alias("_rows"))
-    kept = pin(kept)
-    repeats = not kept.filter("_rows > 1").isEmpty()
-    named = docs.join(kept.select(id_column), id_column, "left_semi").select(*docs.columns)
-    if repeats:
-        named = named.dropDuplicates([id_column])
-    return named.union(docs.filter(F.col(id_column).isNull()))
+    groups = near_groups(docs, id_column).filter(F.col(id_column).isNotNull())
+    stays = F.max(F.col("component_id") == F.col(id_column))
+    ids = pin(groups.groupBy(id_column).agg(stays.alias("_stays"), F.count("*").alias("_rows")))
+    gone = pin(ids.filter("not _stays").select(id_column))
+    kept = docs.join(gone, id_column, "left_anti").select(*docs.columns)
+    if ids.filter("_stays and _rows > 1").isEmpty():
+        return kept
+    nameless = F.col(id_column).isNull()
+    return kept.filter(~nameless).dropDuplicates([id_column]).union(kept.filter(nameless))
