@@ -10,7 +10,7 @@ from fixtures import D
 from pyspark.sql import functions as F
 
 from shelfbook.functions.keys import next_ids, number_rows, running_totals
-from shelfbook.operators import ledger, sales
+from shelfbook.operators import ledger, payments, sales
 from shelfbook.plans.catalog import QUERIES
 
 
