@@ -113,13 +113,32 @@ def validate_new_accounts(requests: DataFrame) -> DataFrame:
     )
 
 
+def taken_ids(requests: DataFrame, existing: Accounts) -> DataFrame:
+    """Valid requests whose own id is refused: an account has it, or a request before them asks for it too.
+
+    Of several requests for an id the one with the smallest request id gets it.
+    """
+    valid = validate_new_accounts(requests).filter((F.col("missing") == "") & F.col("ct_consign_id").isNotNull())
+    first = valid.groupBy("ct_consign_id").agg(F.min("request_id").alias("_first"))
+    held = existing.consignors.select("ct_consign_id").distinct().withColumn("_held", F.lit(True))
+    reason = F.when(F.col("_held"), "id exists").when(F.col("request_id") != F.col("_first"), "id asked for twice")
+    return (
+        valid.join(first, "ct_consign_id")
+        .join(held, "ct_consign_id", "left")
+        .select("request_id", "ct_consign_id", reason.alias("reason"))
+        .filter(F.col("reason").isNotNull())
+    )
+
+
 def create_accounts(requests: DataFrame, existing: Accounts) -> Accounts:
     """Accounts for all valid requests: consignor, item, and a vendor or a customer each.
 
-    A request may bring its own id; the others are numbered after the highest existing one.
+    A request may bring its own id; the others are numbered after the highest existing one. Requests with an
+    id that is taken make nothing; ``taken_ids`` lists them.
     """
     valid = validate_new_accounts(requests).filter(F.col("missing") == "").drop("missing")
-    own_id = valid.filter(F.col("ct_consign_id").isNotNull())
+    refused = taken_ids(requests, existing).select("request_id")
+    own_id = valid.filter(F.col("ct_consign_id").isNotNull()).join(refused, "request_id", "left_anti")
     highest = existing.consignors.select("ct_consign_id").unionByName(own_id.select("ct_consign_id"))
     numbered = next_ids(
         highest, "ct_consign_id", valid.filter(F.col("ct_consign_id").isNull()).drop("ct_consign_id"),

@@ -128,6 +128,7 @@ class StoreCreditFromChecks(NamedTuple):
     vouchers: DataFrame
     voucher_items: DataFrame
     consignors: DataFrame
+    owners: DataFrame
 
 
 def check_to_store_credit(
@@ -141,6 +142,7 @@ def check_to_store_credit(
     """Void checks and give their amount to the consignor as store credit.
 
     The vouchers a check paid are removed with their lines; a consignor without a customer gets one.
+    ``owners`` (check_id, customer_id) tells who got the credit of which check.
     """
     usable = voidable.filter(F.col("status") == "voidable")
     owners = backfill_customers(consignors, customers, usable.select("vendor_id").distinct())
@@ -163,17 +165,19 @@ def check_to_store_credit(
         vouchers.join(gone, "voucher_id", "left_anti"),
         voucher_items.join(gone, "voucher_id", "left_anti"),
         owners,
+        usable.join(party, "vendor_id").select("check_id", "customer_id"),
     )
 
 
 def orders_after_check(orders: DataFrame, walk_in: DataFrame, moves: DataFrame) -> DataFrame:
     """Orders of the walk-in customer move to the customer whose check was cashed on them.
 
-    ``moves`` (order_id, new_customer_id).
+    ``moves`` (order_id, new_customer_id); of several moves of an order the one to the smallest customer id counts.
     """
+    moves = moves.groupBy("order_id").agg(F.min("new_customer_id").alias("new_customer_id"))
     anonymous = walk_in.select("customer_id", F.lit(True).alias("_walk_in"))
     return (
-        orders.join(moves.select("order_id", "new_customer_id"), "order_id", "left")
+        orders.join(moves, "order_id", "left")
         .join(anonymous, "customer_id", "left")
         .select(
             "order_id",

@@ -63,6 +63,7 @@ def payees(consignors: DataFrame) -> DataFrame:
     return consignors.select(
         "item_id",
         F.col("customer_id").alias("owner_customer_id"),
+        F.col("vendor_id").alias("owner_vendor_id"),
         cash.alias("payee_is_vendor"),
         F.when(cash, F.col("vendor_id")).otherwise(F.col("customer_id")).alias("payee_id"),
         "consign_percent",
@@ -133,12 +134,19 @@ def _share(amount: Column, qty: Column) -> Column:
     return F.when(F.col("consign_fee").isNotNull(), flat).otherwise(money(amount * F.col("consign_percent")))
 
 
+# What tells the shares of an invoice apart.
+PAYEE = ("owner_vendor_id", "owner_customer_id", "payee_is_vendor", "payee_id", "consign_percent", "consign_fee")
+
+
 def consignor_share(lines: DataFrame, invoices: DataFrame, consignors: DataFrame, on: str = "invoice_id") -> DataFrame:
-    """What each consignor is owed per invoice; gift-card lines earn nothing."""
+    """What each consignor is owed per invoice; gift-card lines earn nothing.
+
+    Accounts are told apart by both their ids, also where the one they are paid under is unknown.
+    """
     sold = lines.filter(F.col("item_type") != "gift_card").join(payees(consignors), "item_id")
     return (
         with_invoice(sold, invoices, on)
-        .groupBy(*invoice_keys(on), "payee_is_vendor", "payee_id", "consign_percent", "consign_fee")
+        .groupBy(*invoice_keys(on), *PAYEE)
         .agg(F.sum("total_price").alias("amount"), F.sum("qty").alias("qty"))
         .select(
             "invoice_id", "ref_date", _payee_ref().alias("ref"), F.col("payee_id").alias("ref_id"),
@@ -164,14 +172,14 @@ def _line_parts() -> Column:
     def part(kind: int, *keys: str) -> Column:
         fields = {
             "account": "string", "item_id": "bigint", "item_type": "string", "gift_card_id": "bigint",
-            "owner_customer_id": "bigint", "payee_is_vendor": "boolean", "payee_id": "bigint",
+            "owner_customer_id": "bigint", "owner_vendor_id": "bigint", "payee_is_vendor": "boolean", "payee_id": "bigint",
             "consign_percent": "decimal(5,4)", "consign_fee": "decimal(10,2)",
         }
         cells = [(F.col(f) if f in keys else F.lit(None)).cast(t).alias(f) for f, t in fields.items()]
         return F.struct(F.lit(kind).cast("tinyint").alias("kind"), *cells)
 
     revenue = part(REVENUE, "account", "item_id", "item_type", "gift_card_id", "owner_customer_id")
-    share = part(SHARE, "payee_is_vendor", "payee_id", "consign_percent", "consign_fee")
+    share = part(SHARE, *PAYEE)
     earns = is_true("consigned") & (F.col("item_type") != "gift_card")
     return F.array(revenue, F.when(earns, share), part(WHOLE))
 

@@ -98,8 +98,10 @@ def misfiled_balances(consignors: DataFrame, postings: DataFrame) -> DataFrame:
     held = balances_by_consignor(both, postings, posted_only=False).filter(
         F.col("cash_balance").isNotNull() & F.col("credit_balance").isNotNull()
     )
-    wrong = F.when(is_true("cash"), F.col("credit_balance")).otherwise(F.col("cash_balance"))
-    return held.filter(wrong != 0).select(
+    as_vendor, as_customer = F.col("cash_balance") != 0, F.col("credit_balance") != 0
+    # An account of unknown type is listed when it holds any money.
+    wrong = F.when(F.col("cash"), as_customer).when(~F.col("cash"), as_vendor).otherwise(as_vendor | as_customer)
+    return held.filter(wrong).select(
         "ct_consign_id", "cash", "cash_balance", "credit_balance", "consign_percent", "vendor_id", "customer_id"
     )
 
@@ -124,22 +126,20 @@ def misfiled_corrections(misfiled: DataFrame) -> DataFrame:
     )
 
 
-def ar_reversal(transactions: DataFrame, postings: DataFrame) -> DataFrame:
+def ar_reversal(postings: DataFrame, batch: DataFrame | None = None) -> DataFrame:
     """Write receivables of posted invoices off to retained earnings, one new transaction each.
 
-    Every invoice transaction gets a set-up transaction dated by its post date; the postings pair the
-    posted invoice with the new transaction of the same document.
+    Every posted invoice gets a set-up transaction dated by its post date, which its postings carry.
+    ``batch`` (invoice_id) restricts the run to one batch of invoices.
     """
-    made = transactions.filter(F.col("ref") == "invoice").select(
-        F.col("ref_id").alias("trans_ref_id"), F.col("post_date").alias("ref_date")
-    )
     receivable = postings.filter((F.col("account") == RECEIVABLE) & (F.col("trans_ref") == "invoice")).filter(
         F.col("post_date").isNotNull()
-    ).select("trans_ref_id", "ref", "ref_id", "debit")
-    owed = receivable.join(made, "trans_ref_id")
+    ).select("trans_ref_id", "ref", "ref_id", "debit", F.col("post_date").alias("ref_date"))
+    if batch is not None:
+        receivable = receivable.join(batch.select(F.col("invoice_id").alias("trans_ref_id")), "trans_ref_id", "left_semi")
     party = (F.col("ref"), F.col("ref_id"))
     return emit(
-        owed,
+        receivable,
         {
             "trans_ref": F.lit("invoice"),
             "trans_ref_id": "trans_ref_id",
@@ -191,9 +191,10 @@ def gift_opening(cards: DataFrame, staging: DataFrame) -> DataFrame:
 
 def purge_by_ref(transactions: DataFrame, postings: DataFrame, ref: str) -> tuple[DataFrame, DataFrame]:
     """Transactions and postings without those of one kind of document."""
-    gone = transactions.filter(F.col("ref") == ref).select("trans_id")
-    keep = F.col("ref").isNull() | (F.col("ref") != ref)
-    return transactions.filter(keep), postings.join(gone, "trans_id", "left_anti")
+    def others(column: str) -> Column:
+        return ~F.col(column).eqNullSafe(F.lit(ref))
+
+    return transactions.filter(others("ref")), postings.filter(others("trans_ref"))
 
 
 def clear_links(records: DataFrame, column: str) -> DataFrame:

@@ -27,13 +27,18 @@ def order_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def open_orders(orders: DataFrame, totals: DataFrame, location_id: int | None = None) -> DataFrame:
+def totals_of(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Totals of these orders only; lines of other orders are left out before the sum."""
+    return order_totals(lines.join(orders.select("order_id"), "order_id", "left_semi"))
+
+
+def open_orders(orders: DataFrame, lines: DataFrame, location_id: int | None = None) -> DataFrame:
     """Orders still at the till with their totals, oldest first within a location."""
     at_till = orders.filter((F.col("order_type") == "order") & (F.col("order_status") == "pos"))
     if location_id is not None:
         at_till = at_till.filter(F.col("location_id") == location_id)
     return (
-        at_till.join(totals, "order_id", "left")
+        at_till.join(totals_of(at_till, lines), "order_id", "left")
         .select("order_id", "location_id", "customer_id", "created_ts", "total")
         .orderBy("location_id", "created_ts")
     )
@@ -46,14 +51,14 @@ def closed_orders(orders: DataFrame, column: str, day: dt.date) -> DataFrame:
 
 
 def closed_orders_on(
-    orders: DataFrame, totals: DataFrame, day: dt.date, location_id: int | None = None
+    orders: DataFrame, lines: DataFrame, day: dt.date, location_id: int | None = None
 ) -> DataFrame:
     """Orders closed on a day with their totals, newest first within a location."""
     kept = closed_orders(orders, "order_ts", day)
     if location_id is not None:
         kept = kept.filter(F.col("location_id") == location_id)
     return (
-        kept.join(totals, "order_id", "left")
+        kept.join(totals_of(kept, lines), "order_id", "left")
         .select("order_id", "location_id", "customer_id", "created_ts", "total")
         .orderBy("location_id", F.desc("created_ts"))
     )
@@ -156,6 +161,20 @@ def apply_order_discount(lines: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def orders_discounted(orders: DataFrame, requests: DataFrame) -> DataFrame:
+    """Orders with the discount of their request (order_id, percent), the largest of several."""
+    asked = requests.groupBy("order_id").agg(F.max("percent").alias("_percent"))
+    return orders.join(asked, "order_id", "left").select(
+        "order_id", F.coalesce("_percent", "discount").cast("int").alias("discount")
+    )
+
+
+def orders_without_discount(orders: DataFrame) -> DataFrame:
+    """Orders with the discount of open ones cleared."""
+    cleared = F.col("close_ts").isNull() & (F.col("discount") > 0)
+    return orders.select("order_id", F.when(~is_true(cleared), F.col("discount")).cast("int").alias("discount"))
+
+
 def remove_order_discount(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Undo the discount of open orders on all their item lines, marked as discounted or not."""
     given = orders.filter(F.col("close_ts").isNull() & (F.col("discount") > 0)).select(

@@ -307,7 +307,8 @@ m_fanned AS (
   FROM m_imported
 ),
 m_requests AS (
-  SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 = 0 THEN c_custkey + 2000000 END AS ct_consign_id,
+  SELECT c_custkey AS request_id, CASE WHEN c_custkey % 33 = 0 THEN c_custkey % 10
+      WHEN c_custkey % 22 = 0 THEN c_custkey // 44 * 44 + 2000000 WHEN c_custkey % 11 = 0 THEN c_custkey + 2000000 END AS ct_consign_id,
     CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN c_name ELSE c_mktsegment || ', ' || c_name END AS name,
     CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 2 = 0 END AS cash,
     CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 0.4 END AS DECIMAL(5,4)) AS consign_percent,
@@ -322,12 +323,18 @@ m_valid AS (
       CASE WHEN consign_percent = 0 AND coalesce(consign_fee, 0) = 0 THEN 'percent or fee' END) AS missing
   FROM m_requests
 ),
+m_taken AS (
+  SELECT request_id, ct_consign_id,
+    CASE WHEN ct_consign_id IN (SELECT ct_consign_id FROM m_consign) THEN 'id exists'
+      WHEN row_number() OVER (PARTITION BY ct_consign_id ORDER BY request_id) > 1 THEN 'id asked for twice' END AS reason
+  FROM m_valid WHERE missing = '' AND ct_consign_id IS NOT NULL
+),
 m_created AS (
   SELECT request_id, name, cash, consign_percent, consign_fee,
     CAST(coalesce(ct_consign_id, (SELECT greatest((SELECT max(ct_consign_id) FROM m_consign),
         coalesce(max(w.ct_consign_id), 0)) FROM m_valid w WHERE w.missing = '')
       + row_number() OVER (PARTITION BY ct_consign_id IS NULL ORDER BY request_id)) AS BIGINT) AS ct_consign_id
-  FROM m_valid WHERE missing = ''
+  FROM m_valid WHERE missing = '' AND request_id NOT IN (SELECT request_id FROM m_taken WHERE reason IS NOT NULL)
 ),
 m_accounts AS (
   SELECT *, ct_consign_id AS item_id,

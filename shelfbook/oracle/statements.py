@@ -237,16 +237,16 @@ SELECT check_id, vendor_id, amount, status = 'voidable' AS closed,
   CASE WHEN status <> 'voidable' THEN check_num END AS check_num
 FROM m_void"""
 # Only owners of voidable checks get a customer here, so they are numbered among themselves.
-FINALS["check_to_store_credit"] = """
+_OWNERS = """(
+  SELECT ct_consign_id, vendor_id, coalesce(customer_id, (SELECT max(customer_id) FROM m_customers)
+    + row_number() OVER (PARTITION BY customer_id IS NULL ORDER BY ct_consign_id)) AS customer_id
+  FROM m_consign WHERE vendor_id IN (SELECT vendor_id FROM m_void WHERE status = 'voidable'))"""
+FINALS["check_to_store_credit"] = f"""
 SELECT v.check_id, 'ct_consign' AS trans_ref, o.ct_consign_id AS trans_ref_id,
   'Convert Check to Customer Credit' AS description, e.ref,
   CAST(CASE WHEN e.ref = 'vendor' THEN o.vendor_id ELSE o.customer_id END AS BIGINT) AS ref_id, 'cc' AS account,
   CASE WHEN e.ref = 'vendor' THEN v.amount ELSE 0 END AS debit, CASE WHEN e.ref = 'customer' THEN v.amount ELSE 0 END AS credit
-FROM m_void v JOIN (
-  SELECT ct_consign_id, vendor_id, coalesce(customer_id, (SELECT max(customer_id) FROM m_customers)
-    + row_number() OVER (PARTITION BY customer_id IS NULL ORDER BY ct_consign_id)) AS customer_id
-  FROM m_consign WHERE vendor_id IN (SELECT vendor_id FROM m_void WHERE status = 'voidable')
-) o ON v.vendor_id = o.vendor_id, (VALUES ('vendor'), ('customer')) e(ref)
+FROM m_void v JOIN {_OWNERS} o ON v.vendor_id = o.vendor_id, (VALUES ('vendor'), ('customer')) e(ref)
 WHERE v.status = 'voidable'"""
 _GONE = """(
   SELECT v.voucher_id FROM m_vouchers v JOIN m_void c ON v.check_id = c.check_id
@@ -255,10 +255,12 @@ FINALS["check_to_store_credit_vouchers"] = f"""
 SELECT voucher_id, check_id, vendor_id, amount FROM m_vouchers WHERE voucher_id NOT IN {_GONE}"""
 FINALS["check_to_store_credit_items"] = f"""
 SELECT voucher_id, 1 AS line_number, amount AS unit_cost FROM m_vouchers WHERE voucher_id NOT IN {_GONE}"""
-FINALS["check_to_store_credit_orders"] = """
-SELECT o.order_id, CASE WHEN o.customer_id = 1 THEN coalesce(k.customer_id, 1) ELSE o.customer_id END AS customer_id
-FROM m_orders o LEFT JOIN m_checks c ON c.check_id = o.order_id
-  LEFT JOIN m_consign k ON k.vendor_id = c.vendor_id AND k.customer_id IS NOT NULL"""
+FINALS["check_to_store_credit_orders"] = f"""
+SELECT o.order_id, CAST(CASE WHEN o.customer_id = 1 THEN coalesce(k.customer_id, 1) ELSE o.customer_id END AS BIGINT) AS customer_id
+FROM m_orders o LEFT JOIN (
+  SELECT v.check_id, min(w.customer_id) AS customer_id FROM m_void v JOIN {_OWNERS} w ON v.vendor_id = w.vendor_id
+  WHERE v.status = 'voidable' GROUP BY v.check_id
+) k ON k.check_id = o.order_id"""
 
 # Orders, pricing, payments
 
@@ -357,6 +359,11 @@ SELECT l.order_id, l.line_number, l.item_id,
 FROM m_lines l LEFT JOIN (
   SELECT order_id, CAST(order_id % 50 AS INTEGER) AS percent FROM m_orders WHERE order_status = 'pos' AND discount IS NULL
 ) d ON l.order_id = d.order_id"""
+FINALS["apply_order_discount_orders"] = """
+SELECT order_id, CAST(CASE WHEN order_status = 'pos' AND discount IS NULL THEN order_id % 50 ELSE discount END AS INTEGER) AS discount
+FROM m_orders"""
+FINALS["remove_order_discount_orders"] = """
+SELECT order_id, CAST(CASE WHEN order_status = 'closed' THEN discount END AS INTEGER) AS discount FROM m_orders"""
 FINALS["remove_order_discount"] = """
 SELECT l.order_id, l.line_number, l.item_id,
   CAST(CASE WHEN o.order_id IS NOT NULL AND l.item_id IS NOT NULL
@@ -499,6 +506,8 @@ SELECT 'invoice' AS trans_ref, trans_ref_id, post_date AS ref_date, 'Initial Set
   CASE WHEN a.account = 'earn' THEN debit ELSE 0 END AS debit, CASE WHEN a.account = 'ar' THEN debit ELSE 0 END AS credit
 FROM m_post, (VALUES ('ar'), ('earn')) a(account)
 WHERE trans_ref = 'invoice' AND m_post.account = 'ar' AND post_date IS NOT NULL"""
+FINALS["ar_reversal_of_day"] = FINALS["ar_reversal"] + """
+  AND trans_ref_id IN (SELECT invoice_id FROM m_invoices WHERE CAST(created_ts AS DATE) = DATE '1998-10-03')"""
 FINALS["backfill_customers"] = """
 SELECT ct_consign_id, vendor_id, CAST(customer_id AS BIGINT) AS customer_id FROM m_filled"""
 FINALS["opening_balances"] = """
@@ -555,6 +564,8 @@ SELECT * FROM (
 FINALS["create_accounts"] = """
 SELECT request_id, ct_consign_id, name, cash, consign_percent, consign_fee, item_id, CAST(vendor_id AS BIGINT) AS vendor_id,
   CAST(customer_id AS BIGINT) AS customer_id FROM m_accounts"""
+FINALS["create_accounts_rejected"] = """
+SELECT request_id, ct_consign_id, reason FROM m_taken WHERE reason IS NOT NULL"""
 FINALS["create_accounts_vendors"] = """
 SELECT CAST(vendor_id AS BIGINT) AS vendor_id, name, CAST(ct_consign_id AS VARCHAR) AS account,
   CASE WHEN request_id % 5 > 1 THEN split_part(name, ', ', 2) || ' ' || split_part(name, ', ', 1) END AS legal_name
@@ -562,18 +573,25 @@ FROM m_accounts WHERE cash"""
 
 # Whole journeys. Closing bills the orders still at the till, so their invoices replace the stored ones.
 
-_NEW_INVOICES = """m_invoices AS (
+_PAYMENTS = PRELUDE[PRELUDE.index("m_op AS (") : PRELUDE.index("m_deposits AS (")]
+_NEW_INVOICES = _PAYMENTS + """m_refused AS (
+  SELECT DISTINCT o.order_id, o.location_id FROM m_op p JOIN m_orders o ON p.order_id = o.order_id
+  WHERE p.customer_payment_id IS NULL AND p.payment_method_id IN (1, 5) AND o.order_status = 'pos'
+    AND o.location_id NOT IN (SELECT location_id FROM m_cp WHERE payment_method_id IN (1, 5))
+),
+m_invoices AS (
   SELECT (SELECT max(order_id) FROM m_orders WHERE order_status = 'closed')
     + CAST(row_number() OVER (ORDER BY order_id) AS BIGINT) AS invoice_id,
-    order_id, customer_id, TIMESTAMP '2002-01-01 12:00:00' AS created_ts FROM m_orders WHERE order_status = 'pos'
+    order_id, customer_id, TIMESTAMP '2002-01-01 12:00:00' AS created_ts FROM m_orders
+  WHERE order_status = 'pos' AND order_id NOT IN (SELECT order_id FROM m_refused)
 )"""
 _START, _END = PRELUDE.index("m_invoices AS ("), PRELUDE.index("m_raw AS (")
-CLOSING = PRELUDE[:_START] + _NEW_INVOICES + ",\n" + PRELUDE[_END:]
+CLOSING = PRELUDE[:_START] + _NEW_INVOICES + ",\n" + PRELUDE[_END:].replace(_PAYMENTS, "")
 _PAID = """(
   SELECT (SELECT max(customer_payment_id) FROM m_cp) + CAST(row_number() OVER (ORDER BY m.order_payment_id) AS BIGINT) AS id,
     m.*, o.customer_id, o.location_id
   FROM m_merged m JOIN m_orders o ON m.order_id = o.order_id
-  WHERE m.customer_payment_id IS NULL AND o.order_status = 'pos')"""
+  WHERE m.customer_payment_id IS NULL AND o.order_status = 'pos' AND o.order_id NOT IN (SELECT order_id FROM m_refused))"""
 _CLOSING_FINALS = {
     "close_sales_postings": f"""
 SELECT 'invoice' AS trans_ref, invoice_id AS trans_ref_id, {POSTED_LINES} FROM m_inv
@@ -590,6 +608,12 @@ SELECT p.location_id, p.id AS customer_payment_id, p.payment_method_id,
     OVER (PARTITION BY p.location_id ORDER BY p.id ROWS UNBOUNDED PRECEDING) AS DECIMAL(20,2)) AS cash_balance
 FROM {_PAID} p JOIN ({FINALS["latest_till"]}) t ON t.location_id = p.location_id AND NOT t.must_balance_first
 WHERE p.payment_method_id IN (1, 5)""",
+    "close_sales_rejected": "SELECT order_id, location_id, 'Need to balance till first' AS reason FROM m_refused",
+    "close_sales_orders": """
+SELECT order_id, CASE WHEN order_id IN (SELECT order_id FROM m_refused) THEN order_status ELSE 'closed' END AS order_status,
+  CASE WHEN order_id IN (SELECT order_id FROM m_refused) THEN close_ts
+    ELSE coalesce(close_ts, TIMESTAMP '2002-01-01 12:00:00') END AS close_ts
+FROM m_orders""",
 }
 
 # Streams, by their batch meaning

@@ -350,7 +350,7 @@ def check_to_store_credit_items(s: Shop):
 
 @query
 def check_to_store_credit_orders(s: Shop):
-    return checks.orders_after_check(s.orders, s.walk_in, inputs.check_moves(s))
+    return checks.orders_after_check(s.orders, s.walk_in, inputs.check_moves(_store_credit(s).owners))
 
 
 # Orders, pricing, payments
@@ -358,12 +358,12 @@ def check_to_store_credit_orders(s: Shop):
 
 @query
 def open_orders(s: Shop):
-    return sales.open_orders(s.orders, sales.order_totals(s.lines))
+    return sales.open_orders(s.orders, s.lines)
 
 
 @query
 def closed_orders_on(s: Shop):
-    return sales.closed_orders_on(s.orders, sales.order_totals(s.lines), inputs.ORDER_DAY)
+    return sales.closed_orders_on(s.orders, s.lines, inputs.ORDER_DAY)
 
 
 @query
@@ -472,6 +472,16 @@ def remove_order_discount(s: Shop):
     return sales.remove_order_discount(s.lines, s.orders)
 
 
+@query
+def apply_order_discount_orders(s: Shop):
+    return sales.orders_discounted(s.orders, inputs.discount_requests(s))
+
+
+@query
+def remove_order_discount_orders(s: Shop):
+    return sales.orders_without_discount(s.orders)
+
+
 @query
 def toggle_line_discount(s: Shop):
     flag = F.when(C("line_number") % 2 == 0, "add").otherwise("remove")
@@ -650,7 +660,13 @@ def misfiled_corrections(s: Shop):
 
 @query
 def ar_reversal(s: Shop):
-    return repairs.ar_reversal(s.transactions, s.postings)
+    return repairs.ar_reversal(s.postings)
+
+
+@query
+def ar_reversal_of_day(s: Shop):
+    batch = s.invoices.filter(sales.on_day("created_ts", inputs.ORDER_DAY))
+    return repairs.ar_reversal(s.postings, batch)
 
 
 @query
@@ -749,6 +765,12 @@ def create_accounts(s: Shop):
     return _created(s).consignors
 
 
+@query
+def create_accounts_rejected(s: Shop):
+    existing = accounts.Accounts(s.consignors, None, s.vendors, s.customers)
+    return accounts.taken_ids(inputs.account_requests(s), existing)
+
+
 @query
 def create_accounts_vendors(s: Shop):
     return _created(s).vendors
@@ -775,6 +797,16 @@ def close_sales_tills(s: Shop):
     return _closed(s).tills.select("location_id", "customer_payment_id", "payment_method_id", "cash_balance")
 
 
+@query
+def close_sales_orders(s: Shop):
+    return _closed(s).orders.select("order_id", "order_status", "close_ts")
+
+
+@query
+def close_sales_rejected(s: Shop):
+    return _closed(s).rejected
+
+
 # Streams
 
 

@@ -229,18 +229,18 @@ def check_numbers(shop: Shop) -> DataFrame:
     return shop.orders.select((C("order_id") + 5000).alias("check_num"))
 
 
-def check_moves(shop: Shop) -> DataFrame:
-    """Checks cashed on the order of the same number, towards their consignor's customer."""
-    owner = shop.consignors.filter(C("customer_id").isNotNull()).select("vendor_id", C("customer_id").alias("new_customer_id"))
-    return shop.checks.join(owner, "vendor_id").select(C("check_id").alias("order_id"), "new_customer_id")
+def check_moves(owners: DataFrame) -> DataFrame:
+    """Voided checks were cashed on the order of the same number, which goes to whom the credit went."""
+    return owners.select(C("check_id").alias("order_id"), C("customer_id").alias("new_customer_id"))
 
 
 def account_requests(shop: Shop) -> DataFrame:
-    """Requests for new accounts, some incomplete, some with their own id."""
+    """Requests for new accounts, some incomplete, some with an id of their own, which may be taken."""
     key = C("c_custkey")
     return shop.table("customer").select(
         key.alias("request_id"),
-        F.when(key % 11 == 0, key + 2000000).alias("ct_consign_id"),
+        F.when(key % 33 == 0, key % 10).when(key % 22 == 0, F.expr("c_custkey div 44 * 44 + 2000000"))
+        .when(key % 11 == 0, key + 2000000).alias("ct_consign_id"),
         F.when(key % 5 == 0, "").when(key % 5 == 1, C("c_name")).otherwise(
             F.concat(C("c_mktsegment"), F.lit(", "), C("c_name"))
         ).alias("name"),

@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import next_ids
+from ..functions.money import is_true
 from ..operators import ledger, payments, payouts, repairs, sales
 
+# Fixed value: why an order is refused.
+MUST_BALANCE = "Need to balance till first"
+
 
 class ClosedSales(NamedTuple):
     """The tables a closing run writes."""
@@ -23,6 +27,18 @@ class ClosedSales(NamedTuple):
     allocations: DataFrame
     postings: DataFrame
     tills: DataFrame
+    rejected: DataFrame
+
+
+def unbalanced_orders(pending: DataFrame, orders: DataFrame, tills: DataFrame) -> DataFrame:
+    """Orders with a till payment at a location whose till has no balance yet."""
+    rung = pending.filter(is_true("till_method")).select("order_id").distinct()
+    return (
+        orders.select("order_id", "location_id")
+        .join(rung, "order_id", "left_semi")
+        .join(tills.select("location_id"), "location_id", "left_anti")
+        .select("order_id", "location_id", F.lit(MUST_BALANCE).alias("reason"))
+    )
 
 
 def close_sales(
@@ -40,16 +56,21 @@ def close_sales(
     """Close all ready orders (order_id) in one run.
 
     Duplicate payments are merged, invoices made and posted, payments processed, posted and allocated,
-    tills carried forward, and the orders marked closed.
+    tills carried forward, and the orders marked closed. Orders with till payments at a location without an opening
+    balance are refused as a whole (``rejected``).
     """
-    closing = orders.join(ready.select("order_id"), "order_id", "left_semi")
-    invoices = next_ids(
-        taken_invoices, "invoice_id", closing.select("order_id", "customer_id"), ["order_id"], "invoice_id"
-    ).withColumn("created_ts", at)
-    billed = ledger.bill_lines(lines.join(ready.select("order_id"), "order_id", "left_semi"), invoices)
+    asked = orders.join(ready.select("order_id"), "order_id", "left_semi")
     merged = payments.payments_after_merge(
         order_payments.join(ready.select("order_id"), "order_id", "left_semi"), methods
     )
+    rejected = unbalanced_orders(payments.payments_to_process(merged, methods), asked, tills)
+    ready = ready.select("order_id").join(rejected, "order_id", "left_anti")
+    closing = asked.join(rejected, "order_id", "left_anti")
+    invoices = next_ids(
+        taken_invoices, "invoice_id", closing.select("order_id", "customer_id"), ["order_id"], "invoice_id"
+    ).withColumn("created_ts", at)
+    billed = ledger.bill_lines(lines.join(ready, "order_id", "left_semi"), invoices)
+    merged = merged.join(rejected, "order_id", "left_anti")
     pending = payments.payments_to_process(merged, methods)
     processed = payments.customer_payments(pending, closing, taken_payments, at).join(
         merged.select("order_payment_id", "gift_card_id"), "order_payment_id"
@@ -75,6 +96,7 @@ def close_sales(
         payments.invoice_payments(processed, invoices),
         postings,
         payments.till_running_balance(processed, methods, openings),
+        rejected,
     )
 
 

@@ -15,14 +15,31 @@ GIFT_CARD_COLUMNS = {
 END_OF_DATA = "\\."
 NULL_MARK = "\\N"
 ESCAPES = {"\\b": "\b", "\\f": "\f", "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\v": "\v"}
-HELD_BACKSLASH = "\x01"
+
+
+# A byte of one to three octal digits, or of x and one or two hex digits; any other character stands for itself.
+PIECE = r"(?s)(\\(?:[0-7]{1,3}|x[0-9A-Fa-f]{1,2}|.)|[^\\]+|\\$)"
 
 
 def _unescaped(text: Column) -> Column:
-    """A cell with its escapes resolved; a backslash before any other character is dropped."""
-    held = F.replace(text, F.lit("\\\\"), F.lit(HELD_BACKSLASH))
-    plain = reduce(lambda t, e: F.replace(t, F.lit(e), F.lit(ESCAPES[e])), ESCAPES, held)
-    return F.replace(F.replace(plain, F.lit("\\"), F.lit("")), F.lit(HELD_BACKSLASH), F.lit("\\"))
+    """A cell with its escapes resolved, piece by piece from the left; a backslash before any other character is dropped.
+
+    Bytes given as numbers are joined to the bytes around them, so that several may make up one character.
+    """
+
+    def plain(piece: Column) -> Column:
+        body = F.substring(piece, 2, 1 << 30)
+        value = F.when(~piece.startswith("\\"), F.encode(piece, "UTF-8"))
+        octal = F.conv(body, 8, 10).cast("int") % 256
+        value = value.when(body.rlike("^[0-7]{1,3}$"), F.unhex(F.lpad(F.hex(octal), 2, "0")))
+        value = value.when(body.rlike("^x[0-9A-Fa-f]{1,2}$"), F.unhex(F.lpad(F.substring(body, 2, 2), 2, "0")))
+        for written, meant in ESCAPES.items():
+            value = value.when(piece == written, F.encode(F.lit(meant), "UTF-8"))
+        return value.otherwise(F.encode(body, "UTF-8"))
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECE), 1), plain)
+    whole = F.decode(F.aggregate(pieces, F.lit(b""), lambda a, p: F.concat(a, p)), "UTF-8")
+    return F.when(F.instr(text, "\\") > 0, whole).otherwise(text)
 
 
 def _escaped(text: Column) -> Column:
@@ -65,11 +82,12 @@ LEDGER = (
 )
 
 
-def write_ledger(postings: DataFrame, path: str, mode: str = "append") -> None:
+def write_ledger(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store postings by post date; busy dates are split and small ones packed before the write.
 
     Within a file postings lie by account and party, so that a balance of one account skips most row
-    groups. With ``mode='overwrite'`` only the dates present in ``postings`` are replaced.
+    groups. Only the dates present in ``postings`` are replaced, so a repeated run leaves the ledger as it is;
+    ``mode='append'`` adds to the dates instead.
     """
     (
         postings.hint("rebalance", "post_date")
