@@ -138,3 +138,31 @@ def test_balances_from_the_stored_ledger_read_only_their_dates_and_accounts(spar
     text = spark._jvm.PythonSQLUtils.explainString(report._jdf.queryExecution(), "formatted")
     scan = next(part for part in text.split("\n\n") if "Scan parquet" in part and "ledger" in part)
     assert "PartitionFilters: [isnotnull(post_date" in scan and "EqualTo(account,cc)" in scan
+
+
+def test_numbered_escapes_and_the_lowest_bytes_survive_the_load(spark, tmp_path):
+    cells = r"\101\x42c\q\\n" + "\x01" + r"\303\244"
+    (tmp_path / "cards.tsv").write_text("1\t" + cells + "\t2\t3\n")
+    (row,) = fx.rows(files.load_gift_cards(spark, str(tmp_path / "cards.tsv")), "name")
+    assert row == ("ABcq\\n\x01ä",)
+
+
+def test_a_repeated_write_leaves_the_ledger_as_it_is(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    postings = fx.postings(spark, (1, dt.date(2013, 1, 1), "vendor", 1, "cc", "0", "1"), (3, None, "vendor", 1, "cc", "0", "3"))
+    files.write_ledger(postings, path)
+    files.write_ledger(postings, path)
+    assert fx.rows(files.read_ledger(spark, path), "trans_id", "post_date") == [(1, dt.date(2013, 1, 1)), (3, None)]
+
+
+def test_accounts_with_taken_ids_are_refused(spark):
+    requests = spark.createDataFrame(
+        [(1, 9, "A", True), (2, 50, "B", True), (3, 50, "C", True), (4, None, "D", True)],
+        "request_id bigint, ct_consign_id bigint, name string, cash boolean",
+    ).selectExpr("*", "cast(0.4 as decimal(5,4)) as consign_percent", "cast(null as decimal(10,2)) as consign_fee")
+    existing = accounts.Accounts(
+        spark.createDataFrame([(9,)], "ct_consign_id bigint"), None,
+        spark.createDataFrame([(100,)], "vendor_id bigint"), spark.createDataFrame([(10,)], "customer_id bigint"),
+    )
+    assert fx.rows(accounts.taken_ids(requests, existing), "request_id", "reason") == [(1, "id exists"), (3, "id asked for twice")]
+    assert fx.rows(accounts.create_accounts(requests, existing).consignors, "request_id", "ct_consign_id") == [(2, 50), (4, 51)]

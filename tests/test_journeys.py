@@ -81,3 +81,21 @@ def test_cashing_a_card_needs_an_empty_order_and_a_balance(spark):
     assert fx.rows(got, "order_id", "customer_id", "item_id", "unit_price", "payment_amount") == [
         (1, 77, 7, "9.00", "9.00"), (4, None, None, "9.00", "9.00")
     ]
+
+
+def test_orders_at_an_unbalanced_till_stay_open(shop):
+    ready = inputs.till_orders(shop)
+    latest = payments.latest_till(shop.tills, shop.locations).filter(~F.col("must_balance_first"))
+    open_payments = shop.order_payments.filter("customer_payment_id IS NULL").join(ready, "order_id", "left_semi")
+    rung = open_payments.filter(F.col("payment_method_id").isin(1, 5)).join(shop.orders.select("order_id", F.col("location_id").alias("at")), "order_id")
+    place = rung.agg(F.min("at")).first()[0]
+    closed = journeys.close_sales(
+        ready, shop.orders, shop.lines, shop.order_payments, shop.customer_payments, shop.invoices, shop.consignors,
+        shop.methods, latest.filter(F.col("location_id") != place), inputs.now(),
+    )
+    refused = {r.order_id for r in closed.rejected.collect()}
+    assert {r.order_id for r in rung.filter(F.col("at") == place).collect()} <= refused
+    still = {r.order_id for r in closed.orders.filter("order_status <> 'closed'").collect()}
+    assert still == refused
+    assert not refused & {r.order_id for r in closed.invoices.collect()}
+    assert not refused & {r.order_id for r in closed.payments.collect()}

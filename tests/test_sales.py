@@ -8,6 +8,7 @@ from fixtures import D
 from pyspark.sql import functions as F
 
 from shelfbook.operators import checks, payments, sales
+from shelfbook.plans import inputs
 
 METHODS = (
     "payment_method_id bigint, name string, cash boolean, till_method boolean, store_credit boolean, gift_card boolean"
@@ -167,3 +168,23 @@ def test_check_void_rules(spark):
     listed = checks.open_checks(held, trans, owners)
     assert fx.rows(listed, "check_id", "n_transactions") == [(2, 0), (4, 2)]
     assert fx.rows(checks.open_check_transactions(held, trans, owners)) == [(4, 14), (4, 15)]
+
+
+def test_only_the_lines_of_reported_orders_are_summed(shop):
+    for report in (sales.open_orders(shop.orders, shop.lines), sales.closed_orders_on(shop.orders, shop.lines, inputs.ORDER_DAY)):
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan.split("Aggregate", 1)[1]
+
+
+def test_orders_move_only_with_voided_checks_and_also_to_new_customers(spark):
+    voidable = spark.createDataFrame(
+        [(1, 7, "voidable"), (2, 7, "cleared"), (3, 8, "voidable"), (4, 7, "voidable")], "check_id bigint, vendor_id bigint, status string"
+    ).selectExpr("*", "cast(5 as decimal(20,2)) as amount")
+    people = fx.consignors(spark, (1, True, 7, None, "0.5", None), (2, True, 8, 30, "0.5", None))
+    customers = spark.createDataFrame([(30,)], "customer_id bigint")
+    vouchers = spark.createDataFrame([], "voucher_id bigint, check_id bigint")
+    made = checks.check_to_store_credit(voidable, people, customers, vouchers, vouchers, vouchers)
+    orders = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 99)], "order_id bigint, customer_id bigint")
+    walk_in = spark.createDataFrame([(1,)], "customer_id bigint")
+    moved = checks.orders_after_check(orders, walk_in, inputs.check_moves(made.owners))
+    assert fx.rows(moved, "order_id", "customer_id") == [(1, 31), (2, 1), (3, 30), (4, 99)]
