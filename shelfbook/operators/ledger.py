@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,8 +169,14 @@ def consignor_entries(shares: DataFrame) -> DataFrame:
 REVENUE, SHARE, WHOLE = 1, 2, 3
 
 
-def _line_parts() -> Column:
-    """A line as keys of the sums it takes part in; fields that do not matter to a sum are NULL."""
+def _line_parts(accounts: Sequence[str] | None) -> Column:
+    """A line as keys of the sums it takes part in; fields that do not matter to a sum are NULL.
+
+    With ``accounts``, only sums that can give a posting of one of them.
+    """
+    def gives(*made: str) -> bool:
+        return accounts is None or not set(made).isdisjoint(accounts)
+
     def part(kind: int, *keys: str) -> Column:
         fields = {
             "account": "string", "item_id": "bigint", "item_type": "string", "gift_card_id": "bigint",
@@ -181,38 +189,45 @@ def _line_parts() -> Column:
     revenue = part(REVENUE, "account", "item_id", "item_type", "gift_card_id", "owner_customer_id")
     share = part(SHARE, *PAYEE)
     earns = is_true("consigned") & (F.col("item_type") != "gift_card")
-    return F.array(revenue, F.when(earns, share), part(WHOLE))
-
-
-def post_invoices(lines: DataFrame, invoices: DataFrame, consignors: DataFrame, on: str = "invoice_id") -> DataFrame:
+    parts = [revenue if accounts is None else F.when(_revenue_target()[2].isin(*accounts), revenue)]
+    if gives(CONSIGNOR, COST):
+        parts.append(F.when(earns, share))
+    if gives(TAX, RECEIVABLE):
+        parts.append(part(WHOLE))
+    return F.array(*parts)
+
+
+def post_invoices(
+    lines: DataFrame, invoices: DataFrame, consignors: DataFrame, on: str = "invoice_id",
+    accounts: Sequence[str] | None = None,
+) -> DataFrame:
     """Every posting of every invoice in one pass.
 
     Each line is split into the sums it takes part in (revenue group, payee share, invoice total) and
     one aggregation serves all of them. Lines are joined to consignors first, so a consignor with a
     large part of all sales is split by AQE, and the aggregation reuses the invoice join's
-    partitioning unless that join was itself split.
+    partitioning unless that join was itself split. ``accounts`` restricts the result to postings of these
+    accounts; sums that give none of them are not made.
     """
     sold = with_invoice(lines.join(payees(consignors), "item_id", "left"), invoices, on)
     keys, measures = invoice_keys(on), ["total_price", "tax_amount", "qty"]
-    parts = sold.select(*keys, *measures, F.explode(_line_parts()).alias("part")).filter(F.col("part").isNotNull())
+    parts = sold.select(*keys, *measures, F.explode(_line_parts(accounts)).alias("part")).filter(F.col("part").isNotNull())
     split = parts.select(*keys, *measures, "part.*")
     sums = split.groupBy(*[c for c in split.columns if c not in measures]).agg(
         F.sum("total_price").alias("amount"), F.sum("tax_amount").alias("tax"), F.sum("qty").alias("qty")
     )
     kind, customer = F.col("kind"), ("customer", F.col("invoice_customer_id"))
     payee, owed = (_payee_ref(), F.col("payee_id")), _share(F.col("amount"), F.col("qty"))
-    return emit(
-        sums,
-        BOOKED,
-        F.when(kind == REVENUE, credit(*_revenue_target(), F.col("amount"))),
-        F.when(kind == SHARE, credit(*payee, CONSIGNOR, owed)),
-        F.when(kind == SHARE, debit(*payee, COST, owed)),
-        F.when((kind == WHOLE) & (F.col("tax") != 0), credit(None, None, TAX, F.col("tax"))),
-        F.when(
-            kind == WHOLE,
-            debit(*customer, RECEIVABLE, F.col("amount") + F.coalesce(F.col("tax"), F.lit(0).cast(MONEY))),
-        ),
-    )
+    whole = F.col("amount") + F.coalesce(F.col("tax"), F.lit(0).cast(MONEY))
+    sides = {
+        CONSIGNOR: F.when(kind == SHARE, credit(*payee, CONSIGNOR, owed)),
+        COST: F.when(kind == SHARE, debit(*payee, COST, owed)),
+        TAX: F.when((kind == WHOLE) & (F.col("tax") != 0), credit(None, None, TAX, F.col("tax"))),
+        RECEIVABLE: F.when(kind == WHOLE, debit(*customer, RECEIVABLE, whole)),
+    }
+    made = [side for account, side in sides.items() if accounts is None or account in accounts]
+    revenue = F.when(kind == REVENUE, credit(*_revenue_target(), F.col("amount")))
+    return emit(sums, BOOKED, revenue, *made)
 
 
 def ledger_balance_check(postings: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import accounts, balances, checks, imports, ledger, payments, payouts, repairs, sales
+from ..operators.entries import CONSIGNOR, GIFT, PAYABLE, RECEIVABLE
 from ..session import size_shuffles, tune
 from ..sources import files
 from ..sources.shop import MANUAL_SALE, Shop
@@ -184,37 +185,37 @@ def voucher_entries(s: Shop):
 
 @query
 def vendor_cash_balance(s: Shop):
-    return balances.vendor_cash_balance(s.postings)
+    return balances.vendor_cash_balance(s.postings_of(CONSIGNOR))
 
 
 @query
 def customer_credit_balance(s: Shop):
-    return balances.customer_credit_balance(s.postings)
+    return balances.customer_credit_balance(s.postings_of(CONSIGNOR))
 
 
 @query
 def balance_all_postings(s: Shop):
-    return balances.balance_all_postings(s.postings)
+    return balances.balance_all_postings(s.postings_of(CONSIGNOR))
 
 
 @query
 def account_list(s: Shop):
-    return balances.account_list(s.consignors, s.postings)
+    return balances.account_list(s.consignors, s.postings_of(CONSIGNOR))
 
 
 @query
 def account_list_active(s: Shop):
-    return balances.account_list(s.consignors, s.postings, show_all=False)
+    return balances.account_list(s.consignors, s.postings_of(CONSIGNOR), show_all=False)
 
 
 @query
 def account_statement_total(s: Shop):
-    return balances.account_statement_total(s.consignors, s.postings)
+    return balances.account_statement_total(s.consignors, s.postings_of(CONSIGNOR))
 
 
 @query
 def gift_card_balance(s: Shop):
-    return balances.gift_card_balance(s.gift_cards, s.postings, inputs.CARD_AMOUNT)
+    return balances.gift_card_balance(s.gift_cards, s.postings_of(GIFT), inputs.CARD_AMOUNT)
 
 
 @query
@@ -224,17 +225,17 @@ def gift_card_lookup(s: Shop):
 
 @query
 def ap_balance(s: Shop):
-    return balances.ap_balance(s.postings, s.vendors)
+    return balances.ap_balance(s.postings_of(PAYABLE), s.vendors)
 
 
 @query
 def store_credit_available(s: Shop):
-    return balances.store_credit_available(s.orders, s.consignors, s.postings, s.order_payments, s.methods)
+    return balances.store_credit_available(s.orders, s.consignors, s.postings_of(CONSIGNOR), s.order_payments, s.methods)
 
 
 @query
 def order_credit_position(s: Shop):
-    return balances.order_credit_position(inputs.balances_due(s), s.consignors, s.postings)
+    return balances.order_credit_position(inputs.balances_due(s), s.consignors, s.postings_of(CONSIGNOR))
 
 
 @query
@@ -247,12 +248,12 @@ def consignor_item_revenue(s: Shop):
 
 @query
 def payout_candidates(s: Shop):
-    return payouts.payout_candidates(s.postings, s.vendors, s.consignors, inputs.PAYOUT_MINIMUM, inputs.PAY_DATE)
+    return payouts.payout_candidates(s.postings_of(CONSIGNOR), s.vendors, s.consignors, inputs.PAYOUT_MINIMUM, inputs.PAY_DATE)
 
 
 @query
 def payout_review(s: Shop):
-    return payouts.payout_review(s.postings, s.vendors, s.consignors, inputs.PAYOUT_MINIMUM, inputs.PAY_DATE)
+    return payouts.payout_review(s.postings_of(CONSIGNOR, PAYABLE), s.vendors, s.consignors, inputs.PAYOUT_MINIMUM, inputs.PAY_DATE)
 
 
 @query
@@ -267,7 +268,7 @@ def payout_voucher_lines(s: Shop):
 
 @query
 def single_payout(s: Shop):
-    return payouts.single_payout(s.consignors, s.postings, inputs.RUN_DATE)
+    return payouts.single_payout(s.consignors, s.postings_of(CONSIGNOR), inputs.RUN_DATE)
 
 
 @query
@@ -277,12 +278,12 @@ def manual_adjustment(s: Shop):
 
 @query
 def convert_account_type(s: Shop):
-    return payouts.convert_account_type(inputs.type_changes(s), s.postings)
+    return payouts.convert_account_type(inputs.type_changes(s), s.postings_of(CONSIGNOR))
 
 
 @query
 def convert_account_type_unedited_rate(s: Shop):
-    return payouts.convert_account_type(inputs.type_changes(s), s.postings, unchanged_counts_as_zero=True)
+    return payouts.convert_account_type(inputs.type_changes(s), s.postings_of(CONSIGNOR), unchanged_counts_as_zero=True)
 
 
 # Checks
@@ -459,7 +460,7 @@ def till_running_balance(s: Shop):
 
 @query
 def reclass_store_credit_postings(s: Shop):
-    return payments.reclass_store_credit_postings(s.postings, s.customer_payments, s.consignors)
+    return payments.reclass_store_credit_postings(s.postings_of(CONSIGNOR), s.customer_payments, s.consignors)
 
 
 @query
@@ -530,7 +531,7 @@ def cash_gift_to_account(s: Shop):
 @query
 def order_worklist(s: Shop):
     positions = balances.order_credit_position(
-        inputs.balances_due(s), s.consignors, s.postings, keep=sales.WORKLIST_COLUMNS
+        inputs.balances_due(s), s.consignors, s.postings_of(CONSIGNOR), keep=sales.WORKLIST_COLUMNS
     )
     return sales.order_worklist(positions, s.walk_in)
 
@@ -650,7 +651,7 @@ def affected_transactions(s: Shop):
 
 @query
 def misfiled_balances(s: Shop):
-    return repairs.misfiled_balances(s.consignors, s.postings)
+    return repairs.misfiled_balances(s.consignors, s.postings_of(CONSIGNOR))
 
 
 @query
@@ -660,13 +661,13 @@ def misfiled_corrections(s: Shop):
 
 @query
 def ar_reversal(s: Shop):
-    return repairs.ar_reversal(s.postings)
+    return repairs.ar_reversal(s.postings_of(RECEIVABLE))
 
 
 @query
 def ar_reversal_of_day(s: Shop):
     batch = s.invoices.filter(sales.on_day("created_ts", inputs.ORDER_DAY))
-    return repairs.ar_reversal(s.postings, batch)
+    return repairs.ar_reversal(s.postings_of(RECEIVABLE), batch)
 
 
 @query

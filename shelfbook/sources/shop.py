@@ -322,6 +322,14 @@ class Shop:
     @cached_property
     def postings(self) -> DataFrame:
         """The whole ledger, each posting with its transaction's keys and post date."""
+        return self._booked(self.invoice_postings)
+
+    def postings_of(self, *accounts: str) -> DataFrame:
+        """The ledger's postings of some accounts; of invoices, only the sums behind these are made."""
+        made = ledger.post_invoices(self.sold_lines, self.invoices, self.consignors, on="order_id", accounts=accounts)
+        return self._booked(made).filter(C("account").isin(*accounts))
+
+    def _booked(self, invoice_postings: DataFrame) -> DataFrame:
         def stored(df, kind, ref_date, trans_ref=None, trans_ref_id=None):
             key = trans_ref_id if trans_ref_id is not None else C("trans_ref_id")
             return df.select(
@@ -352,7 +360,7 @@ class Shop:
             credit(None, None, CASH, C("amount")),
         )
         parts = [
-            stored(self.invoice_postings, 1, C("ref_date"), "invoice", C("invoice_id")),
+            stored(invoice_postings, 1, C("ref_date"), "invoice", C("invoice_id")),
             stored(ledger.payment_entries(self.customer_payments, self.methods), 2, C("ref_date")),
             stored(repairs.opening_balances(self.opening_staging, self.consignors.drop("name")), 3, first),
             stored(self.misfiled_postings, 5, first),
@@ -389,3 +397,6 @@ class StoredLedgerShop(Shop):
     @cached_property
     def postings(self) -> DataFrame:
         return read_ledger(self.spark, self.ledger_path)
+
+    def postings_of(self, *accounts: str) -> DataFrame:
+        return self.postings.filter(C("account").isin(*accounts))

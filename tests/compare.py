@@ -64,6 +64,7 @@ def keep_ledger(spark, sf_dir: str):
     shop = Shop(spark, sf_dir)
     for name in ("invoice_postings", "postings", "transactions"):
         shop.__dict__[name] = getattr(shop, name).persist()
+    shop.postings_of = lambda *accounts: shop.postings.filter(shop.postings.account.isin(*accounts))
     return {name: lambda _spark, _dir, build=build: build(shop) for name, build in QUERIES.items()}
 
 

@@ -28,4 +28,5 @@ def shop(spark):
     shop = Shop(spark, SF_DIR)
     for name in ("invoice_postings", "postings", "transactions"):
         shop.__dict__[name] = getattr(shop, name).persist()
+    shop.postings_of = lambda *accounts: shop.postings.filter(shop.postings.account.isin(*accounts))
     return shop

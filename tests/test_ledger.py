@@ -155,3 +155,18 @@ def test_conversion_scales_by_the_change_in_rate(spark):
     )
     odd = fx.rows(payouts.convert_account_type(changes, held, unchanged_counts_as_zero=True).filter("trans_ref_id = 3"), "ref", "debit", "credit")
     assert odd == fx.rows_like(("customer", "10.00", "0.00"), ("vendor", "0.00", "7.14"), (None, "-2.86", "0.00"))
+
+
+@pytest.mark.parametrize("accounts", [("cc",), ("cc", "ap"), ("gift",), ("ar",), ("sales", "tax"), ("cogs",), ("none",)])
+def test_postings_of_some_accounts_are_those_of_the_whole_ledger(shop, accounts):
+    whole = shop.postings.filter(shop.postings.account.isin(*accounts))
+    some = type(shop)(shop.spark, shop.sf_dir).postings_of(*accounts)
+    assert some.columns == whole.columns
+    assert some.exceptAll(whole).isEmpty() and whole.exceptAll(some).isEmpty()
+
+
+def test_accounts_that_need_no_invoice_totals_make_none(shop):
+    fresh = type(shop)(shop.spark, shop.sf_dir)
+    plan = lambda *accounts: fresh.postings_of(*accounts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tax_amount" not in plan("cc")
+    assert "tax_amount" in plan("ar")
