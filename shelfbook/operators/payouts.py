@@ -148,13 +148,13 @@ def manual_adjustment(adjustments: DataFrame, consignors: DataFrame) -> DataFram
     )
 
 
-def convert_account_type(changes: DataFrame, postings: DataFrame, unchanged_counts_as_zero: bool = False) -> DataFrame:
-    """Move balances when accounts change between cash and credit, scaled by the change in rate.
+def converted_balances(changes: DataFrame, postings: DataFrame, unchanged_counts_as_zero: bool = False) -> DataFrame:
+    """Balances to move when accounts change between cash and credit, scaled by the change in rate.
 
     ``changes`` (ct_consign_id, vendor_id, customer_id, new_cash, old_percent, new_percent), with both
     ids filled where the account will need them. A rate gain of d multiplies the balance by 1 + d, a
-    loss divides it by 1 + d; the difference goes to cost. ``unchanged_counts_as_zero`` keeps the
-    original's behaviour of taking a rate that was not edited as a new rate of zero.
+    loss divides it by 1 + d. ``unchanged_counts_as_zero`` keeps the original's behaviour of taking a rate
+    that was not edited as a new rate of zero.
     """
     to_cash = F.col("new_cash")
     old_ref = F.when(to_cash, "customer").otherwise("vendor")
@@ -183,11 +183,15 @@ def convert_account_type(changes: DataFrame, postings: DataFrame, unchanged_coun
     scaled = money(
         F.when(F.col("rate") > 0, F.col("old_balance") * factor).otherwise(F.col("old_balance") / factor)
     )
-    valued = moved.withColumn("new_balance", scaled).withColumn(
+    return moved.withColumn("new_balance", scaled).withColumn(
         "difference", money(F.col("new_balance") - F.col("old_balance"))
     )
+
+
+def convert_account_type(changes: DataFrame, postings: DataFrame, unchanged_counts_as_zero: bool = False) -> DataFrame:
+    """The postings that move ``converted_balances``; the difference goes to cost."""
     return emit(
-        valued,
+        converted_balances(changes, postings, unchanged_counts_as_zero),
         {
             "trans_ref": F.lit("ct_consign"),
             "trans_ref_id": "ct_consign_id",
@@ -197,3 +201,16 @@ def convert_account_type(changes: DataFrame, postings: DataFrame, unchanged_coun
         credit(F.col("new_ref"), F.col("new_id"), CONSIGNOR, F.col("new_balance")),
         F.when(F.col("difference") != 0, debit(None, None, COST, F.col("difference"))),
     )
+
+
+def conversion_log(converted: DataFrame) -> DataFrame:
+    """(ct_consign_id, message) of every ``converted_balances`` row."""
+    side = lambda ref: F.when(F.col(ref) == "vendor", "cash").otherwise("credit")
+    text = lambda column: F.col(column).cast("string")
+    return converted.select(
+        "ct_consign_id",
+        F.format_string(
+            "Converted %s balance of %s to %s balance of %s (change of %s)",
+            side("old_ref"), text("old_balance"), side("new_ref"), text("new_balance"), text("difference"),
+        ).alias("message"),
+    )

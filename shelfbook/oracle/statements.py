@@ -163,12 +163,17 @@ FROM (
 ) x, (VALUES ('cc'), ('cogs')) a(account)"""
 
 
-def _conversion(new_rate: str) -> str:
+# Every account, with the ids it will have once it changes its type.
+ALL_CONVERTED = """(
+        SELECT m.*, coalesce(m.vendor_id, (SELECT max(vendor_id) FROM m_vendors)
+          + row_number() OVER (PARTITION BY m.vendor_id IS NULL ORDER BY m.ct_consign_id)) AS full_vendor
+        FROM m_filled m
+      )"""
+
+
+def _converted(new_rate: str, accounts: str) -> str:
     """Balances in whole cents and rates in ten-thousandths, so that rounding is exact."""
-    return f"""
-SELECT 'ct_consign' AS trans_ref, ct_consign_id AS trans_ref_id, 'Transfer account balance' AS description,
-  e.ref, e.ref_id, e.account, CAST(e.debit AS DECIMAL(20,2)) AS debit, CAST(e.credit AS DECIMAL(20,2)) AS credit
-FROM (
+    return f"""(
   SELECT *, CAST(sign(old_cents) * ((2 * abs(old_cents) * num + den) // (2 * den)) AS DECIMAL(20,0)) * 0.01 AS new_balance
   FROM (
     SELECT *, CAST(old_balance * 100 AS HUGEINT) AS old_cents,
@@ -176,16 +181,19 @@ FROM (
     FROM (
       SELECT f.*, b.ref AS old_ref, b.held AS old_balance,
         CAST(({new_rate}) * 10000 AS INTEGER) - CAST(f.consign_percent * 10000 AS INTEGER) AS d
-      FROM (
-        SELECT m.*, coalesce(m.vendor_id, (SELECT max(vendor_id) FROM m_vendors)
-          + row_number() OVER (PARTITION BY m.vendor_id IS NULL ORDER BY m.ct_consign_id)) AS full_vendor
-        FROM m_filled m
-      ) f JOIN m_bal b ON b.account = 'cc' AND b.ref = CASE WHEN f.cash THEN 'vendor' ELSE 'customer' END
+      FROM {accounts} f JOIN m_bal b ON b.account = 'cc' AND b.ref = CASE WHEN f.cash THEN 'vendor' ELSE 'customer' END
         AND b.ref_id = CASE WHEN f.cash THEN f.full_vendor ELSE f.customer_id END
       WHERE b.held <> 0
     )
   )
-) x, LATERAL (
+)"""
+
+
+def _conversion(new_rate: str, accounts: str = ALL_CONVERTED) -> str:
+    return f"""
+SELECT 'ct_consign' AS trans_ref, ct_consign_id AS trans_ref_id, 'Transfer account balance' AS description,
+  e.ref, e.ref_id, e.account, CAST(e.debit AS DECIMAL(20,2)) AS debit, CAST(e.credit AS DECIMAL(20,2)) AS credit
+FROM {_converted(new_rate, accounts)} x, LATERAL (
   SELECT old_ref AS ref, CASE WHEN cash THEN full_vendor ELSE customer_id END AS ref_id, 'cc' AS account,
     old_balance AS debit, 0 AS credit
   UNION ALL SELECT CASE WHEN cash THEN 'customer' ELSE 'vendor' END,
@@ -201,6 +209,46 @@ FINALS["convert_account_type_unedited_rate"] = _conversion(
     "CASE f.ct_consign_id % 3 WHEN 0 THEN f.consign_percent + 0.025 WHEN 1 THEN f.consign_percent - 0.025 ELSE 0 END"
 )
 
+# The forms typed by rule: a fee for each 13th account, other types for each 7th, rates for each 11th, names for each 5th.
+EDITS = """, m_forms AS (
+  SELECT ct_consign_id, cash, consign_percent, vendor_id, customer_id,
+    ct_consign_id % 7 = 0 AS retyped, ct_consign_id % 11 = 0 AS rerated,
+    ct_consign_id % 13 = 0 AS fee_set, name AS old_name,
+    ct_consign_id % 5 = 0 OR ct_consign_id % 7 = 0 OR ct_consign_id % 11 = 0 OR ct_consign_id % 13 = 0 AS edited, consign_fee
+  FROM m_consign
+), m_kept AS (
+  SELECT f.*, e.name AS new_name, e.cash AS new_cash,
+    CASE WHEN fee_set THEN CAST(0 AS DECIMAL(5,4)) ELSE e.consign_percent END AS new_percent,
+    CASE WHEN fee_set THEN e.consign_fee WHEN NOT edited THEN f.consign_fee END AS new_fee,
+    coalesce(f.vendor_id, CASE WHEN retyped AND NOT f.cash THEN (SELECT max(vendor_id) FROM m_vendors)
+      + row_number() OVER (PARTITION BY f.vendor_id IS NULL AND retyped AND NOT f.cash ORDER BY f.ct_consign_id) END) AS full_vendor,
+    coalesce(f.customer_id, CASE WHEN retyped AND f.cash THEN (SELECT max(customer_id) FROM m_customers)
+      + row_number() OVER (PARTITION BY f.customer_id IS NULL AND retyped AND f.cash ORDER BY f.ct_consign_id) END) AS full_customer
+  FROM m_forms f JOIN m_edited e ON f.ct_consign_id = e.ct_consign_id
+), m_turned AS (
+  SELECT ct_consign_id, cash, consign_percent, new_percent, full_vendor, full_customer AS customer_id FROM m_kept WHERE retyped
+)"""
+FINALS["edit_accounts"] = f"""{EDITS}
+SELECT ct_consign_id, new_name AS name, new_cash AS cash, new_percent AS consign_percent, new_fee AS consign_fee,
+  full_vendor AS vendor_id, full_customer AS customer_id FROM m_kept"""
+FINALS["edit_accounts_vendors"] = f"""{EDITS}
+SELECT full_vendor AS vendor_id, old_name AS name, CAST(ct_consign_id AS VARCHAR) AS account
+FROM m_kept WHERE vendor_id IS NULL AND full_vendor IS NOT NULL"""
+FINALS["edit_accounts_customers"] = f"""{EDITS}
+SELECT full_customer AS customer_id, old_name AS company FROM m_kept WHERE customer_id IS NULL AND full_customer IS NOT NULL"""
+FINALS["edit_accounts_entries"] = EDITS + _conversion("f.new_percent", "m_turned")
+FINALS["edit_accounts_entries_unedited_rate"] = EDITS + _conversion(
+    "CASE WHEN f.ct_consign_id % 11 = 0 THEN f.new_percent ELSE 0 END", "m_turned"
+)
+FINALS["edit_accounts_log"] = f"""{EDITS}
+SELECT ct_consign_id, 'Converted ' || CASE WHEN cash THEN 'cash' ELSE 'credit' END || ' balance of '
+  || CAST(CAST(old_balance AS DECIMAL(20,2)) AS VARCHAR) || ' to ' || CASE WHEN cash THEN 'credit' ELSE 'cash' END || ' balance of '
+  || CAST(CAST(new_balance AS DECIMAL(20,2)) AS VARCHAR) || ' (change of '
+  || CAST(CAST(new_balance - old_balance AS DECIMAL(20,2)) AS VARCHAR) || ')' AS message
+FROM {_converted("f.new_percent", "m_turned")}
+UNION ALL
+SELECT ct_consign_id, message FROM ({{changes}})"""
+
 # Checks
 
 FINALS["open_checks"] = """
@@ -624,6 +672,8 @@ SELECT CAST(process_ts AS DATE) AS day, CASE WHEN payment_method_id IN (3, 4) TH
 FINALS["stream_name_sync"] = FINALS["propagate_name_changes"]
 FINALS["stream_till_balance"] = FINALS["till_running_balance"]
 
+FINALS["edit_accounts_log"] = FINALS["edit_accounts_log"].replace("{changes}", FINALS["change_log"])
+
 STATEMENTS = {name: PRELUDE + final for name, final in FINALS.items()} | {
     name: CLOSING + final for name, final in _CLOSING_FINALS.items()
 }

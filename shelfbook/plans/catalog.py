@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import accounts, balances, checks, imports, ledger, payments, payouts, repairs, sales
+from ..operators import accounts, balances, checks, edits, imports, ledger, payments, payouts, repairs, sales
 from ..operators.entries import CONSIGNOR, GIFT, PAYABLE, RECEIVABLE
 from ..session import size_shuffles, tune
 from ..sources import files
@@ -286,6 +286,43 @@ def convert_account_type_unedited_rate(s: Shop):
     return payouts.convert_account_type(inputs.type_changes(s), s.postings_of(CONSIGNOR), unchanged_counts_as_zero=True)
 
 
+def _edited(s: Shop):
+    return edits.apply_edits(inputs.account_edits(s), s.consignors, s.vendors, s.customers)
+
+
+@query
+def edit_accounts(s: Shop):
+    return _edited(s).consignors.select(
+        "ct_consign_id", "name", "cash", "consign_percent", "consign_fee", "vendor_id", "customer_id"
+    )
+
+
+@query
+def edit_accounts_vendors(s: Shop):
+    return _edited(s).vendors
+
+
+@query
+def edit_accounts_customers(s: Shop):
+    return _edited(s).customers
+
+
+@query
+def edit_accounts_entries(s: Shop):
+    return payouts.convert_account_type(_edited(s).type_changes, s.postings_of(CONSIGNOR))
+
+
+@query
+def edit_accounts_entries_unedited_rate(s: Shop):
+    return payouts.convert_account_type(_edited(s).type_changes, s.postings_of(CONSIGNOR), unchanged_counts_as_zero=True)
+
+
+@query
+def edit_accounts_log(s: Shop):
+    converted = payouts.converted_balances(_edited(s).type_changes, s.postings_of(CONSIGNOR))
+    return edits.edit_log(inputs.account_edits(s), s.consignors, converted)
+
+
 # Checks
 
 
