@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.money import is_true
 from .accounts import backfill_customers
 from .entries import (
-    CHECK_CONVERTED, CHECK_VOIDED, CONSIGNOR, COST, VOID_MEMO, credit, debit, emit,
+    CHECK_CONVERTED, CHECK_LOG, CHECK_VOIDED, CONSIGNOR, COST, VOID_MEMO, credit, debit, emit,
 )
 
 
@@ -108,6 +108,21 @@ def void_check_entries(voidable: DataFrame) -> DataFrame:
     return rows.withColumn("memo", F.when(F.col("account") == COST, F.lit(VOID_MEMO)))
 
 
+def void_check_log(voidable: DataFrame) -> DataFrame:
+    """The log row of every check that is voided."""
+    return voidable.filter(F.col("status") == "voidable").select(
+        F.lit("check").alias("ref"), F.col("check_id").alias("ref_id"), F.lit(CHECK_LOG).alias("message")
+    )
+
+
+def checks_to_cancel(checks: DataFrame, transactions: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Checks by number, of consignors and of others, with each ledger transaction of theirs (none: a NULL one)."""
+    wanted = checks.join(numbers.select("check_num"), "check_num", "left_semi")
+    return wanted.join(check_transactions(transactions).drop("post_date"), "check_id", "left").select(
+        "check_id", "check_num", "check_date", "vendor_id", "amount", "trans_id"
+    )
+
+
 def void_check_state(voidable: DataFrame, at: Column) -> DataFrame:
     """Checks after voiding: closed, stripped of their number, which is kept aside."""
     void = F.col("status") == "voidable"

@@ -28,6 +28,9 @@ GIFT_LINE = "GiftCard"
 ACCOUNT_LINE = "Account Payment"
 UNNAMED_CARD = "unknown"
 PREPAID = "Credit/Gift"
+NO_CONSIGNOR = "Please enter store credit customer"
+NO_CREDIT = "does not have a credit balance"
+CHECK_LOG = "Check voided and canceled"
 PAID = "Cash/Check/CC"
 
 

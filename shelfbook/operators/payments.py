@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import next_ids, running_totals
-from ..functions.money import is_true, money, total, zero
+from ..functions.money import is_true, money, or_zero, total, zero
+from .balances import balances_by_consignor, paid_per_order
 from .entries import (
-    ACCOUNT_LINE, CONSIGNOR, GIFT_LINE, UNNAMED_CARD,
+    ACCOUNT_LINE, CONSIGNOR, GIFT_LINE, NO_CONSIGNOR, NO_CREDIT, UNNAMED_CARD,
 )
 
 
@@ -23,11 +26,12 @@ def cash_change(tenders: DataFrame, balances_due: DataFrame) -> DataFrame:
     )
 
 
-def split_store_credit(requests: DataFrame, available: DataFrame) -> DataFrame:
+def split_store_credit(requests: DataFrame, available: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """How much of a requested store-credit payment the account can bear.
 
     ``requests`` (order_id, requested) meets ``store_credit_available``. Negative requests pass
-    unchanged; cash accounts may never overdraw, credit accounts may on request.
+    unchanged; cash accounts may never overdraw, credit accounts may on request. ``keep`` names further columns
+    of ``available`` to carry along.
     """
     held, asked = F.col("balance"), F.col("requested")
     bearable = money(F.when(held < 0, zero()).when(held >= asked, asked).when(held < asked, held))
@@ -38,6 +42,73 @@ def split_store_credit(requests: DataFrame, available: DataFrame) -> DataFrame:
         money(held - asked).alias("end_balance"),
         short.alias("insufficient"),
         (short & ~is_true("cash")).alias("may_overdraw"),
+        *keep,
+    )
+
+
+class NamedCredit(NamedTuple):
+    """Store credit asked for by the consignor's id: payments, customers made, orders moved, requests refused."""
+
+    payments: DataFrame
+    customers: DataFrame
+    moves: DataFrame
+    rejected: DataFrame
+
+
+def named_store_credit(
+    requests: DataFrame, orders: DataFrame, consignors: DataFrame, customers: DataFrame, walk_in: DataFrame,
+    postings: DataFrame, payments: DataFrame, methods: DataFrame,
+) -> NamedCredit:
+    """Pay orders from the credit of a consignor who is named at the till.
+
+    ``requests`` (request_id, order_id, ct_consign_id, requested, use_amount); of several for an order the one with
+    the highest request id counts. Only an order of the walk-in customer takes the named consignor, others use the
+    one behind their own customer. A consignor with only a vendor gets a customer. The order moves to that customer
+    unless the credit falls short; ``use_amount``, where given, is then paid instead (from a cash account
+    no more than it holds).
+    """
+    last = requests.groupBy("order_id").agg(F.max(F.struct("request_id", "ct_consign_id", "requested", "use_amount")).alias("_r"))
+    behind = consignors.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.min("ct_consign_id").alias("_own"))
+    anonymous = walk_in.select("customer_id").distinct().withColumn("_walk_in", F.lit(True))
+    named = (
+        orders.select("order_id", "customer_id")
+        .join(last, "order_id")
+        .join(anonymous, "customer_id", "left")
+        .join(behind, "customer_id", "left")
+        .select(
+            "order_id", "_r.requested", "_r.use_amount",
+            F.when(is_true("_walk_in"), F.col("_r.ct_consign_id")).otherwise(F.col("_own")).alias("ct_consign_id"),
+        )
+    )
+    held = balances_by_consignor(consignors.select("ct_consign_id", "vendor_id", "customer_id"), postings, posted_only=False).select(
+        "ct_consign_id", money(or_zero("cash_balance") + or_zero("credit_balance")).alias("_held")
+    )
+    # Who is asked needs no ledger; only the balances do.
+    found = named.join(consignors.select("ct_consign_id", "vendor_id", "customer_id", "cash"), "ct_consign_id", "left")
+    no_party = F.col("vendor_id").isNull() & F.col("customer_id").isNull()
+    reason = F.when(F.col("ct_consign_id").isNull(), NO_CONSIGNOR).when(no_party, NO_CREDIT)
+    accepted = found.filter(reason.isNull())
+    lacking = accepted.filter(F.col("customer_id").isNull()).select("ct_consign_id").distinct()
+    made = next_ids(customers, "customer_id", lacking, ["ct_consign_id"], "_made")
+    taken = paid_per_order(payments, methods).select("order_id", "store_credit_payments")
+    available = (
+        accepted.join(held, "ct_consign_id")
+        .join(made, "ct_consign_id", "left")
+        .join(taken, "order_id", "left")
+        .select(
+            "order_id", "ct_consign_id", "cash", "use_amount", F.coalesce("customer_id", "_made").alias("customer_id"),
+            money(F.col("_held") - or_zero("store_credit_payments")).alias("balance"),
+        )
+    )
+    split = split_store_credit(accepted.select("order_id", "requested"), available, keep=("customer_id", "use_amount"))
+    chosen = F.when(is_true("cash"), F.least("use_amount", "amount")).otherwise(F.col("use_amount"))
+    paid = split.withColumn("amount", money(F.when(F.col("insufficient") & chosen.isNotNull(), chosen).otherwise(F.col("amount"))))
+    moves = paid.filter(~F.col("insufficient") | F.col("use_amount").isNotNull())
+    return NamedCredit(
+        paid.drop("use_amount"),
+        made.select(F.col("_made").alias("customer_id"), "ct_consign_id"),
+        moves.select("order_id", F.col("customer_id").alias("new_customer_id")),
+        found.select("order_id", "ct_consign_id", reason.alias("reason")).filter(F.col("reason").isNotNull()),
     )
 
 

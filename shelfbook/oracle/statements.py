@@ -277,6 +277,11 @@ SELECT 'check' AS trans_ref, check_id AS trans_ref_id, 'Void and cancel check' A
   CASE WHEN a.account = 'cogs' THEN amount ELSE 0 END AS credit,
   CASE WHEN a.account = 'cogs' THEN 'void check' END AS memo
 FROM m_void, (VALUES ('bank'), ('cogs')) a(account) WHERE status = 'voidable'"""
+FINALS["void_check_log"] = """
+SELECT 'check' AS ref, check_id AS ref_id, 'Check voided and canceled' AS message FROM m_void WHERE status = 'voidable'"""
+FINALS["checks_to_cancel"] = """
+SELECT c.check_id, c.check_num, c.check_date, c.vendor_id, c.amount, t.trans_id
+FROM m_checks c LEFT JOIN m_trans t ON t.ref = 'check' AND t.ref_id = c.check_id"""
 FINALS["void_check_state"] = """
 SELECT check_id, vendor_id, amount, status = 'voidable' AS closed,
   CASE WHEN status = 'voidable' THEN NULL ELSE cleared END AS cleared,
@@ -355,6 +360,38 @@ FROM (
     FROM m_due m JOIN m_orders o ON m.order_id = o.order_id WHERE o.order_status = 'pos'
   ) d ON a.order_id = d.order_id
 )"""
+NAMED = """, m_asked AS (
+  SELECT d.order_id, CAST(CASE WHEN d.order_id % 9 = 0 THEN -d.balance_due ELSE d.balance_due END AS DECIMAL(20,2)) AS requested,
+    CASE WHEN d.order_id % 2 = 0 THEN 25 END AS use_amount,
+    CASE WHEN d.customer_id % 4 = 1 THEN CASE d.order_id % 12 WHEN 0 THEN NULL WHEN 11 THEN -1 ELSE d.order_id % 60 + 1 END
+      ELSE (SELECT min(c.ct_consign_id) FROM m_consign c WHERE c.customer_id = d.customer_id) END AS ct_consign_id
+  FROM m_due d WHERE d.order_id IN (SELECT order_id FROM m_orders WHERE order_status = 'pos')
+), m_answer AS (
+  SELECT a.*, c.cash, c.vendor_id, c.customer_id,
+    coalesce(c.v_held, 0) + coalesce(c.c_held, 0) - coalesce(s.taken, 0) AS balance,
+    CASE WHEN a.ct_consign_id IS NULL THEN 'Please enter store credit customer'
+      WHEN c.vendor_id IS NULL AND c.customer_id IS NULL THEN 'does not have a credit balance' END AS reason
+  FROM m_asked a LEFT JOIN m_side c ON a.ct_consign_id = c.ct_consign_id LEFT JOIN m_store s ON a.order_id = s.order_id
+), m_named_new AS (
+  SELECT ct_consign_id, (SELECT max(customer_id) FROM m_customers) + row_number() OVER (ORDER BY ct_consign_id) AS customer_id
+  FROM (SELECT DISTINCT ct_consign_id FROM m_answer WHERE reason IS NULL AND customer_id IS NULL)
+), m_borne AS (
+  SELECT a.order_id, a.ct_consign_id, a.cash, a.requested, a.balance, a.use_amount, coalesce(a.customer_id, n.customer_id) AS customer_id,
+    CASE WHEN a.requested < 0 THEN a.requested WHEN a.balance < 0 THEN 0 ELSE least(a.balance, a.requested) END AS bears
+  FROM m_answer a LEFT JOIN m_named_new n ON a.ct_consign_id = n.ct_consign_id WHERE a.reason IS NULL
+)"""
+FINALS["named_store_credit"] = f"""{NAMED}
+SELECT order_id, ct_consign_id, cash, requested, CAST(balance AS DECIMAL(20,2)) AS balance,
+  CAST(CASE WHEN bears >= requested OR use_amount IS NULL THEN bears WHEN cash AND use_amount > bears THEN bears
+    ELSE use_amount END AS DECIMAL(20,2)) AS amount,
+  CAST(balance - requested AS DECIMAL(20,2)) AS end_balance, bears < requested AS insufficient,
+  bears < requested AND NOT cash AS may_overdraw, customer_id
+FROM m_borne"""
+FINALS["named_store_credit_customers"] = f"{NAMED} SELECT customer_id, ct_consign_id FROM m_named_new"
+FINALS["named_store_credit_orders"] = f"""{NAMED}
+SELECT o.order_id, coalesce(b.customer_id, o.customer_id) AS customer_id FROM m_orders o
+  LEFT JOIN m_borne b ON o.order_id = b.order_id AND (b.bears >= b.requested OR b.use_amount IS NOT NULL)"""
+FINALS["named_store_credit_rejected"] = f"{NAMED} SELECT order_id, ct_consign_id, reason FROM m_answer WHERE reason IS NOT NULL"
 FINALS["accumulate_store_credit"] = """
 SELECT min(order_payment_id) AS order_payment_id, order_id, payment_method_id, CAST(sum(amount) AS DECIMAL(20,2)) AS amount
 FROM m_op WHERE payment_method_id = 3 GROUP BY order_id, payment_method_id

@@ -360,6 +360,16 @@ def void_check_entries(s: Shop):
     return checks.void_check_entries(_void_status(s))
 
 
+@query
+def void_check_log(s: Shop):
+    return checks.void_check_log(_void_status(s))
+
+
+@query
+def checks_to_cancel(s: Shop):
+    return checks.checks_to_cancel(s.checks, s.transactions, inputs.check_numbers(s))
+
+
 @query
 def void_check_state(s: Shop):
     return checks.void_check_state(_void_status(s), inputs.now())
@@ -450,6 +460,33 @@ def split_store_credit(s: Shop):
     return payments.split_store_credit(inputs.credit_requests(s), store_credit_available(s))
 
 
+def _named_credit(s: Shop):
+    return payments.named_store_credit(
+        inputs.named_credit_requests(s), s.orders, s.consignors, s.customers, inputs.walk_ins(s),
+        s.postings_of(CONSIGNOR), s.order_payments, s.methods,
+    )
+
+
+@query
+def named_store_credit(s: Shop):
+    return _named_credit(s).payments
+
+
+@query
+def named_store_credit_customers(s: Shop):
+    return _named_credit(s).customers
+
+
+@query
+def named_store_credit_orders(s: Shop):
+    return payments.reassign_customer(s.orders, _named_credit(s).moves)
+
+
+@query
+def named_store_credit_rejected(s: Shop):
+    return _named_credit(s).rejected
+
+
 @query
 def accumulate_store_credit(s: Shop):
     return payments.accumulate_store_credit(s.order_payments, s.methods)

@@ -121,6 +121,26 @@ def credit_requests(shop: Shop) -> DataFrame:
     return due.select("order_id", money(asked).alias("requested"))
 
 
+def walk_ins(shop: Shop) -> DataFrame:
+    """Every fourth customer stands for a till's walk-in customer, so that many orders have one."""
+    return shop.customers.filter(C("customer_id") % 4 == 1).select("customer_id")
+
+
+def named_credit_requests(shop: Shop) -> DataFrame:
+    """Open orders asked to be paid by a consignor's id: known, unknown or none; some settle for less.
+
+    Each fifth order is asked for twice; the later request counts.
+    """
+    key = C("order_id")
+    named = F.when(key % 12 == 0, F.lit(None)).when(key % 12 == 11, F.lit(-1)).otherwise(key % 60 + 1).cast("bigint")
+    later = credit_requests(shop).select(
+        (key * 2).alias("request_id"), "order_id", named.alias("ct_consign_id"), "requested",
+        F.when(key % 2 == 0, money(25)).alias("use_amount"),
+    )
+    earlier = later.filter(key % 5 == 0).withColumns({"request_id": C("request_id") - 1, "requested": money(1)})
+    return later.unionByName(earlier)
+
+
 def discount_requests(shop: Shop) -> DataFrame:
     """Open undiscounted orders get between 0 and 49 percent off."""
     return shop.orders.filter((C("order_status") == "pos") & C("discount").isNull()).select(
