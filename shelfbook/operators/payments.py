@@ -173,10 +173,11 @@ def payments_after_merge(payments: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def payments_to_process(payments: DataFrame, methods: DataFrame) -> DataFrame:
-    """Unprocessed payments with what their method needs: processor, cash drawer, till."""
+    """Unprocessed payments with what they need: gift card, processor, cash drawer, till."""
     needs = methods.select("payment_method_id", "payment_processor_id", "cash", "till_method")
     return payments.filter(F.col("customer_payment_id").isNull()).join(needs, "payment_method_id").select(
-        "order_payment_id", "order_id", "payment_method_id", "amount", "payment_processor_id", "cash", "till_method"
+        "order_payment_id", "order_id", "payment_method_id", "amount", "gift_card_id", "payment_processor_id", "cash",
+        "till_method",
     )
 
 
@@ -186,7 +187,15 @@ def customer_payments(pending: DataFrame, orders: DataFrame, taken: DataFrame, a
     ready = pending.join(owners, "order_id")
     return next_ids(taken, "customer_payment_id", ready, ["order_payment_id"], "customer_payment_id").select(
         "customer_payment_id", "order_payment_id", "order_id", "customer_id", "location_id",
-        "payment_method_id", "amount", at.alias("process_ts"),
+        "payment_method_id", "amount", "payment_processor_id", "gift_card_id", at.alias("process_ts"),
+    )
+
+
+def link_processed(payments: DataFrame, processed: DataFrame) -> DataFrame:
+    """Order payments with the id of the processed payment made from each."""
+    made = processed.select("order_payment_id", F.col("customer_payment_id").alias("_made"))
+    return payments.join(made, "order_payment_id", "left").select(
+        *[F.coalesce(c, "_made").alias(c) if c == "customer_payment_id" else F.col(c) for c in payments.columns]
     )
 
 

@@ -408,14 +408,15 @@ SELECT order_id, payment_method_id, order_payment_id FROM (
 ) WHERE n > 1"""
 FINALS["payments_after_merge"] = "SELECT * FROM m_merged"
 FINALS["payments_to_process"] = """
-SELECT p.order_payment_id, p.order_id, p.payment_method_id, p.amount, m.payment_processor_id, m.cash, m.till_method
+SELECT p.order_payment_id, p.order_id, p.payment_method_id, p.amount, p.gift_card_id, m.payment_processor_id, m.cash, m.till_method
 FROM m_op p JOIN m_methods m ON p.payment_method_id = m.payment_method_id WHERE p.customer_payment_id IS NULL"""
 FINALS["customer_payments"] = """
 SELECT CAST((SELECT max(customer_payment_id) FROM m_cp) + row_number() OVER (ORDER BY p.order_payment_id) AS BIGINT)
     AS customer_payment_id,
   p.order_payment_id, p.order_id, o.customer_id, o.location_id, p.payment_method_id, p.amount,
-  TIMESTAMP '2002-01-01 12:00:00' AS process_ts
-FROM m_op p JOIN m_orders o ON p.order_id = o.order_id WHERE p.customer_payment_id IS NULL"""
+  m.payment_processor_id, p.gift_card_id, TIMESTAMP '2002-01-01 12:00:00' AS process_ts
+FROM m_op p JOIN m_orders o ON p.order_id = o.order_id JOIN m_methods m ON p.payment_method_id = m.payment_method_id
+WHERE p.customer_payment_id IS NULL"""
 FINALS["invoice_payments"] = f"""
 SELECT i.invoice_id, c.amount, 'customer_payment' AS ref, c.customer_payment_id AS ref_id
 FROM ({FINALS["customer_payments"]}) c JOIN m_invoices i ON c.order_id = i.order_id"""
@@ -688,11 +689,21 @@ SELECT 'customer_payment', p.id,
   CASE p.payment_method_id WHEN 3 THEN 'cc' WHEN 4 THEN 'gift' ELSE 'cash' END, p.amount, 0
 FROM {_PAID} p LEFT JOIN m_consign c ON c.customer_id = p.customer_id AND c.cash AND c.vendor_id IS NOT NULL""",
     "close_sales_tills": f"""
-SELECT p.location_id, p.id AS customer_payment_id, p.payment_method_id,
+SELECT (SELECT max(customer_payment_id) FROM m_cp WHERE payment_method_id IN (1, 5))
+    + CAST(row_number() OVER (ORDER BY p.id) AS BIGINT) AS till_transaction_id, p.location_id, p.id AS customer_payment_id, p.payment_method_id,
   CAST(t.cash_balance + sum(CASE WHEN p.payment_method_id = 1 THEN p.amount ELSE 0 END)
     OVER (PARTITION BY p.location_id ORDER BY p.id ROWS UNBOUNDED PRECEDING) AS DECIMAL(20,2)) AS cash_balance
 FROM {_PAID} p JOIN ({FINALS["latest_till"]}) t ON t.location_id = p.location_id AND NOT t.must_balance_first
 WHERE p.payment_method_id IN (1, 5)""",
+    "close_sales_payments": f"""
+SELECT p.id AS customer_payment_id, p.order_payment_id, p.customer_id, p.payment_method_id, p.amount, m.payment_processor_id,
+  p.gift_card_id, CASE WHEN p.payment_method_id IN (1, 5) THEN (SELECT max(customer_payment_id) FROM m_cp WHERE payment_method_id IN (1, 5))
+    + CAST(row_number() OVER (PARTITION BY p.payment_method_id IN (1, 5) ORDER BY p.id) AS BIGINT) END AS till_transaction_id
+FROM {_PAID} p JOIN m_methods m ON p.payment_method_id = m.payment_method_id""",
+    "close_sales_order_payments": f"""
+SELECT m.order_payment_id, m.order_id, m.amount, coalesce(m.customer_payment_id, p.id) AS customer_payment_id
+FROM m_merged m JOIN m_orders o ON m.order_id = o.order_id LEFT JOIN {_PAID} p ON p.order_payment_id = m.order_payment_id
+WHERE o.order_status = 'pos' AND o.order_id NOT IN (SELECT order_id FROM m_refused)""",
     "close_sales_rejected": "SELECT order_id, location_id, 'Need to balance till first' AS reason FROM m_refused",
     "close_sales_orders": """
 SELECT order_id, CASE WHEN order_id IN (SELECT order_id FROM m_refused) THEN order_status ELSE 'closed' END AS order_status,

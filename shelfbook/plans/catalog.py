@@ -858,7 +858,7 @@ def _closed(s: Shop):
     latest = payments.latest_till(s.tills, s.locations).filter(~C("must_balance_first"))
     return journeys.close_sales(
         inputs.till_orders(s), s.orders, s.lines, s.order_payments, s.customer_payments, s.invoices, s.consignors,
-        s.methods, latest, inputs.now(),
+        s.methods, latest, inputs.now(), s.tills,
     )
 
 
@@ -869,7 +869,22 @@ def close_sales_postings(s: Shop):
 
 @query
 def close_sales_tills(s: Shop):
-    return _closed(s).tills.select("location_id", "customer_payment_id", "payment_method_id", "cash_balance")
+    return _closed(s).tills.select(
+        "till_transaction_id", "location_id", "customer_payment_id", "payment_method_id", "cash_balance"
+    )
+
+
+@query
+def close_sales_payments(s: Shop):
+    return _closed(s).payments.select(
+        "customer_payment_id", "order_payment_id", "customer_id", "payment_method_id", "amount", "payment_processor_id",
+        "gift_card_id", "till_transaction_id",
+    )
+
+
+@query
+def close_sales_order_payments(s: Shop):
+    return _closed(s).order_payments.select("order_payment_id", "order_id", "amount", "customer_payment_id")
 
 
 @query

@@ -24,6 +24,7 @@ class ClosedSales(NamedTuple):
     invoices: DataFrame
     lines: DataFrame
     payments: DataFrame
+    order_payments: DataFrame
     allocations: DataFrame
     postings: DataFrame
     tills: DataFrame
@@ -52,11 +53,13 @@ def close_sales(
     methods: DataFrame,
     tills: DataFrame,
     at: Column,
+    taken_tills: DataFrame | None = None,
 ) -> ClosedSales:
     """Close all ready orders (order_id) in one run.
 
     Duplicate payments are merged, invoices made and posted, payments processed, posted and allocated,
-    tills carried forward, and the orders marked closed. Orders with till payments at a location without an opening
+    tills carried forward, and the orders marked closed. Order payments are linked to what was made of them, payments
+    to the till row they gave; till rows are numbered after ``taken_tills`` (else after ``tills``). Orders with till payments at a location without an opening
     balance are refused as a whole (``rejected``).
     """
     asked = orders.join(ready.select("order_id"), "order_id", "left_semi")
@@ -72,9 +75,7 @@ def close_sales(
     billed = ledger.bill_lines(lines.join(ready, "order_id", "left_semi"), invoices)
     merged = merged.join(rejected, "order_id", "left_anti")
     pending = payments.payments_to_process(merged, methods)
-    processed = payments.customer_payments(pending, closing, taken_payments, at).join(
-        merged.select("order_payment_id", "gift_card_id"), "order_payment_id"
-    )
+    processed = payments.customer_payments(pending, closing, taken_payments, at)
     paid = ledger.payment_entries(processed, methods)
     settled = payments.reclass_payment_postings(paid, processed, consignors)
     sold = ledger.post_invoices(billed, invoices, consignors)
@@ -88,14 +89,20 @@ def close_sales(
         )
     )
     openings = tills.select("location_id", F.col("cash_balance").alias("opening_balance"))
+    carried = next_ids(
+        tills if taken_tills is None else taken_tills, "till_transaction_id",
+        payments.till_running_balance(processed, methods, openings), ["customer_payment_id"], "till_transaction_id",
+    )
+    till_of = carried.select("customer_payment_id", "till_transaction_id")
     return ClosedSales(
         sales.close_orders(orders, ready, at),
         invoices,
         billed,
-        processed,
+        processed.join(till_of, "customer_payment_id", "left"),
+        payments.link_processed(merged, processed),
         payments.invoice_payments(processed, invoices),
         postings,
-        payments.till_running_balance(processed, methods, openings),
+        carried,
         rejected,
     )
 
