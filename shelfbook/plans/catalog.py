@@ -98,6 +98,13 @@ def write_ledger(s: Shop):
     )
 
 
+@query
+def write_transactions(s: Shop):
+    path = inputs.scratch(s)
+    files.write_transactions(s.transactions, path)
+    return files.read_transactions(s.spark, path)
+
+
 # Ledger
 
 

@@ -82,21 +82,51 @@ LEDGER = (
 )
 
 
+TRANSACTIONS = "trans_id bigint, ref string, ref_id bigint, ref_date date, description string, post_date date"
+
+# Shuffled bytes that go to one file of a stored table.
+FILE_BYTES = 256 << 20
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str) -> None:
+    """Store by a period of posting; busy periods are split and small ones packed, and files are sorted."""
+    conf = df.sparkSession.conf
+    before = conf.get(ADVISORY)
+    conf.set(ADVISORY, str(FILE_BYTES))
+    try:
+        (
+            df.hint("rebalance", period)
+            .sortWithinPartitions(period, *order)
+            .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(period)
+            .parquet(path)
+        )
+    finally:
+        conf.set(ADVISORY, before)
+
+
 def write_ledger(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store postings by post date; busy dates are split and small ones packed before the write.
+    """Store postings by post date.
 
     Within a file postings lie by account and party, so that a balance of one account skips most row
     groups. Only the dates present in ``postings`` are replaced, so a repeated run leaves the ledger as it is;
     ``mode='append'`` adds to the dates instead.
     """
-    (
-        postings.hint("rebalance", "post_date")
-        .sortWithinPartitions("post_date", "account", "ref", "ref_id")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("post_date")
-        .parquet(path)
-    )
+    _write_by("post_date", postings, path, mode, "account", "ref", "ref_id")
+
+
+def write_transactions(transactions: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store the headers of the ledger beside its postings, by month, as they are few; files lie by document.
+
+    Only the months present in ``transactions`` are replaced.
+    """
+    _write_by("post_month", transactions.withColumn("post_month", F.trunc("post_date", "month")), path, mode, "ref", "ref_id")
+
+
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{TRANSACTIONS}, post_month date").parquet(path).drop("post_month")
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:

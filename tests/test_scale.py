@@ -136,7 +136,7 @@ def test_large_inputs_need_one_shuffle_of_the_lines_per_join(spark, settings):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream_", "write_ledger"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream_", "write_"))])
 def test_plans_have_no_cross_joins_or_python(name, shop):
     plan = QUERIES[name](shop)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
