@@ -3,8 +3,10 @@
 A seed is a fixed mask over ``SPAN`` words that ignores some places, so a window hashes alike where only ignored
 words differ. Windows of benchmark items and of documents are joined on (mask, hash), and every hit is
 verified on the words around it: it counts if some ``OVERLAP`` aligned words (or a whole item that has
-fewer) hold at least ``MATCH`` percent equal words. Items shorter than the span are looked up by all their
-words in a row; items under ``FEWEST`` words are too short to tell a leak from common speech and are left out.
+fewer) hold at least ``MATCH`` percent equal words. The masks leave out every pair of places of a window of
+``OVERLAP`` words at some shift, and items with fewer words have masks of their own that leave out as many places as
+may differ there, so no pattern of changes that counts can hide a hit. Items under ``FEWEST`` words are
+too short to tell a leak from common speech and are left out.
 
 Few document windows share a hash with the benchmark, so a Bloom filter of the benchmark's hashes, of
 bounded size however large the benchmark is, goes to all tasks and lets the others drop out before the join.
@@ -30,9 +32,17 @@ from ..session import pin
 from . import words
 from .common import small_batches
 
-# Places of 11 words that count (1) or are ignored (0).
-MASKS = ("11101001111", "11011110011", "10110111101", "11110010111")
-SPAN = 11
+# Places of 10 words that count (1) or are ignored (0): any two of 13 words fall on ignored or outer places of some mask.
+MASKS = ("1101010111", "1100111101", "1110110011", "1010011111")
+SPAN = 10
+# The same for whole items of fewer words: any two places of 10 to 12 words, any one of 8 or 9.
+SHORT = {
+    8: ("1111101", "1101111", "10110111"),
+    9: ("1101111", "111010011"),
+    10: ("1111011", "11001111", "110101011", "110110011", "111111"),
+    11: ("1110111", "110100111", "11101011", "1010010111"),
+    12: ("11101011", "1101000111", "110000011101"),
+}
 OVERLAP = 13
 MATCH = 80  # percent
 FEWEST = 8
@@ -40,7 +50,7 @@ AROUND = SPAN + 2 * (OVERLAP - 1)  # words that travel with a hit
 LEAST_BITS, MOST_BITS = 20, 28  # of the filter: 128 KB to 32 MB
 _WORD_SEED = 11
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = np.random.default_rng(5).integers(0, 1 << 63, SPAN, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, OVERLAP, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _hashes(word: np.ndarray, start: np.ndarray, mask: str) -> np.ndarray:
@@ -88,7 +98,7 @@ def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_col
                 word = words.xxh64(found.data, found.start, found.end, _WORD_SEED)
                 sizes = np.diff(found.first)
                 for n in np.unique(sizes[sizes >= FEWEST]):
-                    for mask in MASKS if n >= SPAN else ("1" * int(n),):
+                    for mask in SHORT.get(int(n), MASKS):
                         start = _starts(found.first, len(mask))
                         text = np.searchsorted(found.first, start, "right") - 1
                         start, text = start[sizes[text] == n], text[sizes[text] == n]
@@ -192,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> D
     tests = pin(benchmark_windows(benchmark))
     filled, bits = bloom(tests)
     short = {row.needed for row in tests.select("needed").distinct().collect()}  # OVERLAP values at most
-    masks = [*MASKS, *("1" * n for n in range(FEWEST, SPAN) if _needed(n) in short)]
+    masks = sorted({m for n in range(FEWEST, OVERLAP + 1) if _needed(n) in short for m in SHORT.get(n, MASKS)})
     hits = candidates(docs, filled, bits, masks, id_column).join(tests.withColumnRenamed("around", "item_around"), "hash")
     found = verified(hits)
     by_item = found.groupBy("id", "item").agg(F.min("place").alias("place"), F.max("equal").alias("equal"))

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,20 @@ def test_two_changed_words_in_twenty_never_hide_a_leak():
             )
 
 
+def test_no_accepted_pattern_of_changes_hides_a_leak(spark):
+    texts, items = [], []
+    for n in range(decontaminate.FEWEST, 17):
+        items.append((n, " ".join(f"w{n}x{k}" for k in range(n))))
+        size = min(n, decontaminate.OVERLAP)
+        for many in range(4):
+            for places in combinations(range(n), many):
+                if any(100 * sum(k not in places for k in range(at, at + size)) >= decontaminate.MATCH * size for at in range(n - size + 1)):
+                    texts.append(" ".join("other" if k in places else w for k, w in enumerate(items[-1][1].split())))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.doc_id for r in found.collect()} == set(range(len(texts)))
+
+
 # SimHash
 
 
