@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from . import bktree, words
+from . import bktree, nearcopies, words
 from .common import small_batches
 from .components import components
 
@@ -55,12 +55,7 @@ def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def simhash(column: pa.Array) -> np.ndarray:
     """Fingerprints of texts: majority bits of the XXH64 of all their three-word shingles."""
-    found = words.split_words(*words.text_bytes(column))
-    many = np.diff(found.first)
-    count = np.where(many >= SHINGLE, many - SHINGLE + 1, np.minimum(many, 1))
-    head = np.repeat(found.first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    tail = head + np.repeat(np.minimum(many, SHINGLE) - 1, count)
-    return majority_bits(words.xxh64(found.data, found.start[head], found.end[tail], SEED), count)
+    return majority_bits(*words.shingles(words.split_words(*words.text_bytes(column)), SHINGLE, SEED))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -151,17 +146,25 @@ def fingerprint_text(fp):
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Keep the document with the smallest id of each group; rows that repeat its id count once.
+    """Keep one row of each group of near copies (``nearcopies``, not the fingerprints): the smallest id with, among its texts, the smallest hash.
 
-    Rows without an id cannot be named as anyone's copy and stay. The ids that go are fewer than those that
-    stay, so they are what the texts are joined with.
+    Rows are told apart by id and text, so texts that are no copies of each other stay under one id; rows that repeat both
+    count once. Rows without an id cannot be named as anyone's copy and stay. The rows that go are fewer than
+    those that stay, so they are what the texts are joined with.
     """
-    groups = near_groups(docs, id_column).filter(F.col(id_column).isNotNull())
-    stays = F.max(F.col("component_id") == F.col(id_column))
-    ids = pin(groups.groupBy(id_column).agg(stays.alias("_stays"), F.count("*").alias("_rows")))
-    gone = pin(ids.filter("not _stays").select(id_column))
-    kept = docs.join(gone, id_column, "left_anti").select(*docs.columns)
-    if ids.filter("_stays and _rows > 1").isEmpty():
+    rows = pin(nearcopies.signatures(docs, id_column))
+    roots = nearcopies.text_groups(docs, rows)
+    named = rows.filter("id is not null").groupBy("id", "text_hash").agg(F.any_value("key").alias("key"), F.count("*").alias("n"))
+    named = pin(named.join(roots, named.key == roots.node, "left").select("id", "text_hash", F.coalesce("root", "key").alias("root"), "n"))
+    first = named.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    stays = F.struct("id", "text_hash") == F.col("first")
+    judged = named.join(first, "root").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text"), stays.alias("stays"), "n")
+    judged = pin(judged.filter("not stays or n > 1"))
+    here = (F.col(id_column) == F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    kept = docs.join(judged.drop("stays", "n"), here, "left_anti")
+    twice = judged.filter("stays")
+    if twice.isEmpty():
         return kept
-    nameless = F.col(id_column).isNull()
-    return kept.filter(~nameless).dropDuplicates([id_column]).union(kept.filter(nameless))
+    whole = F.struct(*docs.columns).alias("whole")
+    once = docs.join(twice, here).groupBy("_id", "_text").agg(F.min(whole).alias("whole"))
+    return kept.union(once.select("whole.*"))

@@ -106,3 +106,12 @@ def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np
     for i in np.flatnonzero(size >= 32):
         h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), seed)
     return h
+
+
+def shingles(found: Words, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of ``size`` words, and how many each text has; a text of fewer words is one shingle."""
+    many = np.diff(found.first)
+    count = np.where(many >= size, many - size + 1, np.minimum(many, 1))
+    head = np.repeat(found.first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    tail = head + np.repeat(np.minimum(many, size) - 1, count)
+    return xxh64(found.data, found.start[head], found.end[tail], seed), count

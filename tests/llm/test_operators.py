@@ -224,6 +224,64 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "9", "None", "None"]
 
 
+def shingled(text):
+    w = [x.encode().lower() for x in WORD.findall(text or "")]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(texts):
+    """Group of each text, trying every pair for a Jaccard similarity of 0.8."""
+    sets, top = [shingled(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 10 * len(x & y) >= 8 * len(x | y):
+                old, new = top[i], top[j]
+                top = [new if t == old else t for t in top]
+    return top
+
+
+def test_near_copies_of_the_stage_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = [None, "", "one two", "One  two", "one two three"]
+    for i, n in enumerate([5, 20, 60, 60, 200, 700]):
+        base = prose(100 + i, n).split()
+        texts.append(" ".join(base))
+        for many in range(1, 14):
+            near = list(base)
+            for _ in range(max(1, many * n // 200)):
+                near[r.randrange(n)] = f"x{r.random()}"
+            texts.append(" ".join(near))
+    chain = prose(200, 100).split()
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 40, 3)]
+    top = alike(texts)
+    assert len(set(top)) < len(texts) - 30
+    kept = simhash.drop_near_copies(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(top.index(t) for t in set(top))
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark):
+    r, base, texts = random.Random(9), prose(300, 120).split(), []
+    for _ in range(300):
+        near = list(base)
+        for _ in range(2):
+            near[r.randrange(120)] = f"x{r.random()}"
+        texts.append(" ".join(near))
+    top = alike(texts)
+    kept = simhash.drop_near_copies(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(top.index(t) for t in set(top))
+
+
+def test_near_copies_of_the_test_table_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    top = alike([x.text for x in rows])
+    first = {}
+    for x, t in zip(rows, top, strict=True):
+        first.setdefault(t, x.doc_id)
+    kept = [x.doc_id for x in simhash.drop_near_copies(docs).select("doc_id").collect()]
+    assert sorted(kept) == sorted(first.values()) and not {145, 177} & set(kept)
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = components.components(chain)
