@@ -213,6 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> D
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents without benchmark text. Rows without an id share one fate, as their ids do."""
-    bad = pin(leaks(docs, benchmark, id_column).select(F.col(id_column).alias("_id")))
-    return docs.join(bad, F.col(id_column).eqNullSafe(F.col("_id")), "left_anti")
+    """The rows without benchmark text. Each row is judged by its own text, whatever its id or other rows of that id."""
+    texts = docs.select(F.xxhash64("text").alias("_text_hash"), "text")
+    bad = pin(leaks(texts, benchmark, "_text_hash").select("_text_hash"))
+    return docs.join(bad, F.xxhash64("text") == F.col("_text_hash"), "left_anti")

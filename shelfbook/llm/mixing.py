@@ -38,10 +38,12 @@ HEADS = 256
 UNIT = 1 << 30  # rates are rounded in whole parts of 1 / UNIT
 
 
-def sized(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """(id, source, size): words of every whole text."""
+def sized(
+    docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", row_columns: Sequence[str] = ()
+) -> DataFrame:
+    """(id, source, size) and the ``row_columns``: words of every whole text."""
     size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"))
+    return docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), *row_columns)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -119,9 +121,13 @@ def mix(
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     most: int = MOST,
+    row_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """(id column, source, size, source_size, target, rate, copies) per row."""
-    sizes = pin(sized(docs, id_column, source_column, text_column))
+    """(id column, source, size, source_size, target, rate, copies) per row.
+
+    ``row_columns`` are kept behind the size; they order rows of one size and id.
+    """
+    sizes = pin(sized(docs, id_column, source_column, text_column, row_columns))
     targets = pin(source_targets(sizes, weights, share, most))
     found = tilts(sizes, targets, most).withColumnRenamed("source", "_s")
     same = F.col("source").eqNullSafe(F.col("_s"))
@@ -130,15 +136,15 @@ def mix(
     rated = sizes.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     taken = F.when(F.col("size") > 0, rate(F.col("tilt"), F.col("size"), F.col("mean"), most)).otherwise(1.0)
     rated = rated.withColumn("rate", taken).drop("mean", "tilt")
-    return whole_copies(rated, most).withColumnRenamed("id", id_column)
+    return whole_copies(rated, most, row_columns).withColumnRenamed("id", id_column)
 
 
-def whole_copies(rated: DataFrame, most: int) -> DataFrame:
+def whole_copies(rated: DataFrame, most: int, row_columns: Sequence[str] = ()) -> DataFrame:
     """``copies`` of every row, 0 to ``most``, from its rate."""
     is_head = F.col("size") * HEADS > F.col("source_size")
     kept = rated.columns
-    heads = rated.filter(is_head).groupBy("source").agg(F.sort_array(F.collect_list(F.expr(
-        "struct(-size as minus, id, size, source_size, target, rate)"))).alias("heads"))
+    head = F.struct((-F.col("size")).alias("minus"), "id", *row_columns, "size", "source_size", "target", "rate")
+    heads = rated.filter(is_head).groupBy("source").agg(F.sort_array(F.collect_list(head)).alias("heads"))
     rounded = F.expr(f"""aggregate(heads, struct(cast(0 as double) as missed, cast(array() as array<int>) as copies), (a, h) -> transform(
         array(cast(greatest(0, least({most}, round(h.rate + a.missed / h.size))) as int)),
         k -> struct(a.missed + (h.rate - k) * h.size as missed, concat(a.copies, array(k)) as copies))[0])""")
@@ -154,15 +160,19 @@ def whole_copies(rated: DataFrame, most: int) -> DataFrame:
     # Rounded, so that the order of adding up does not show.
     units = F.round(F.least(F.lit(float(most)), F.col("rate") * F.round(scale, 9)) * UNIT).cast("bigint")
     tail = tail.join(missed, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_units", units).select(*kept, "_units")
-    summed = running_totals(tail, ["size", "id"], {"_upto": "_units"}, ["source"], "bigint")
+    summed = running_totals(tail, ["size", "id", *row_columns], {"_upto": "_units"}, ["source"], "bigint")
     whole = lambda c: F.shiftright(c + UNIT // 2, 30)
     copies = (whole(F.col("_upto")) - whole(F.col("_upto") - F.col("_units"))).cast("int")
     return summed.select(*kept, copies.alias("copies")).union(head_rows.select(*kept, "copies"))
 
 
 def take_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as many times as it is taken. Rows that share an id share their copies."""
-    copies = mix(docs).groupBy("doc_id").agg(F.min("copies").alias("_copies"))
-    copies = copies.filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """The mix itself: every row as many times as it is taken, rows that share an id each by their own copies.
+
+    The rows are numbered and pinned, so that both uses see the same numbers.
+    """
+    numbered = pin(docs.withColumns({"_text_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}))
+    copies = mix(numbered, row_columns=("_text_hash", "_row")).filter("copies > 0")
+    copies = copies.select(F.col("_row").alias("_mixed"), F.col("copies").alias("_copies"))
+    taken = numbered.join(copies, F.col("_row") == F.col("_mixed"))
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -224,6 +224,30 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "9", "None", "None"]
 
 
+def test_rows_without_or_with_repeated_ids_keep_their_own_verdicts(spark):
+    texts = [prose(400 + i, 60) for i in range(12)]
+    rows = [(None, texts[0], "s"), (None, f"{texts[1]} {texts[9]}", "s"), (7, texts[2], "s"), (7, f"x {texts[9]}", "s"), (7, texts[3], "s"), (8, texts[4], "s")]
+    benchmark = spark.createDataFrame([(1, texts[9])], "item_id bigint, text string")
+    clean = decontaminate.drop_leaks(docs_of(spark, rows), benchmark).collect()
+    assert sorted(r.text for r in clean) == sorted([texts[0], texts[2], texts[3], texts[4]])
+    rows = [(5, texts[0], "s"), (5, texts[1], "s"), (5, texts[1], "s"), (6, texts[1], "s"), (6, texts[2], "s"), (None, texts[1], "s")]
+    for parts in (1, 5):
+        single = simhash.drop_near_copies(docs_of(spark, rows).repartition(parts)).collect()
+        assert Counter((r.doc_id, r.text) for r in single) == Counter([(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, texts[1])])
+
+
+def test_rows_without_an_id_are_mixed_one_by_one(spark):
+    r = random.Random(11)
+    rows = [(None if i % 3 else 7, prose(500 + i, r.choice([1, 5, 20, 80])), r.choice(["a", "b", "c"])) for i in range(400)]
+    docs = docs_of(spark, rows)
+    size = lambda r: len(WORD.findall(r.text))
+    taken = mixing.take_copies(docs).collect()
+    targets = {x.source: x.target for x in mixing.mix(docs).collect()}
+    for source, target in targets.items():
+        assert abs(sum(size(x) for x in taken if x.source == source) - target) <= 0.02 * target
+    assert max(Counter(x.text for x in taken if size(x) > 4).values()) <= 2
+
+
 def shingled(text):
     w = [x.encode().lower() for x in WORD.findall(text or "")]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
