@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import small_batches
+from .common import fresh, small_batches
 
 SAMPLE = 3000
 SAMPLE_BYTES = 1 << 15
@@ -179,8 +179,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, size: int = SAMPLE) -
     return [r.text.encode() for r in rows], np.array([r.label for r in rows], np.float32)
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with ``_score`` (probability of label 1) and ``_predicted`` (1 from the threshold on)."""
+def score_rows(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    threshold: float = THRESHOLD,
+    into: tuple[str, str] = ("_score", "_predicted"),
+) -> DataFrame:
+    """The rows of ``docs`` with two columns more: the probability of label 1, and 1 from the threshold on."""
     texts, marks = sample(docs, labels, label)
     net = fit(texts, marks) if len(texts) else None
     at = docs.columns.index("text")
@@ -190,9 +196,9 @@ def score_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", thres
             for piece in words.pieces(batch, "text", 1 << 18):
                 p = score(net, *words.text_bytes(piece.column(at))) if net else np.full(piece.num_rows, 0.5)
                 columns = [*piece.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, [*piece.schema.names, "_score", "_predicted"])
+                yield pa.RecordBatch.from_arrays(columns, [*piece.schema.names, *into])
 
-    shape = docs.select("*", F.lit(0.0).alias("_score"), F.lit(0).alias("_predicted")).schema
+    shape = docs.select("*", F.lit(0.0).alias(into[0]), F.lit(0).alias(into[1])).schema
     return small_batches(docs).mapInArrow(rows, shape)
 
 
@@ -205,4 +211,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
-    return score_rows(docs, labels).filter("_predicted = 1").select(*docs.columns)
+    into = tuple(fresh(docs.columns, "_score", "_predicted"))
+    return score_rows(docs, labels, into=into).filter(F.col(into[1]) == 1).select(*docs.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many leading underscores as keep it apart from ``taken``, in whatever case."""
+    used, found = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
     """Have Arrow carry few rows at a time to Python, as one row may hold a very long text."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 from . import words
-from .common import small_batches
+from .common import fresh, small_batches
 
 # Places of 10 words that count (1) or are ignored (0): any two of 13 words fall on ignored or outer places of some mask.
 MASKS = ("1101010111", "1100111101", "1110110011", "1010011111")
@@ -214,6 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> D
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows without benchmark text. Each row is judged by its own text, whatever its id or other rows of that id."""
-    texts = docs.select(F.xxhash64("text").alias("_text_hash"), "text")
-    bad = pin(leaks(texts, benchmark, "_text_hash").select("_text_hash"))
-    return docs.join(bad, F.xxhash64("text") == F.col("_text_hash"), "left_anti")
+    texts = docs.select(F.xxhash64("text").alias("row"), "text")
+    (mark,) = fresh(docs.columns, "_text_hash")
+    bad = pin(leaks(texts, benchmark, "row").select(F.col("row").alias(mark)))
+    return docs.join(bad, F.xxhash64("text") == F.col(mark), "left_anti")

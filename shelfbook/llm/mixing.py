@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import number_rows, running_totals
 from ..session import pin
-from .common import WORD
+from .common import WORD, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # words of the mix, as a multiple of the corpus'
@@ -171,8 +171,9 @@ def take_copies(docs: DataFrame) -> DataFrame:
 
     The rows are numbered and pinned, so that both uses see the same numbers.
     """
-    numbered = pin(docs.withColumns({"_text_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}))
-    copies = mix(numbered, row_columns=("_text_hash", "_row")).filter("copies > 0")
-    copies = copies.select(F.col("_row").alias("_mixed"), F.col("copies").alias("_copies"))
-    taken = numbered.join(copies, F.col("_row") == F.col("_mixed"))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    mark, row, mixed, many, copy = fresh(docs.columns, "_text_hash", "_row", "_mixed", "_copies", "_copy")
+    numbered = pin(docs.withColumns({mark: F.xxhash64("text"), row: F.monotonically_increasing_id()}))
+    copies = mix(numbered, row_columns=(mark, row)).filter("copies > 0")
+    copies = copies.select(F.col(row).alias(mixed), F.col("copies").alias(many))
+    taken = numbered.join(copies, F.col(row) == F.col(mixed))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(many))).alias(copy)).drop(copy)

@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 SLOTS = 65537
 MOST_SLOTS = 1 << 20
@@ -68,11 +70,13 @@ def place(
     fallback: Sequence[str] = ("source", "n_chars"),
 ) -> DataFrame:
     """The rows of ``docs`` with ``slot`` and ``shard``, which replace columns of these names."""
-    filled = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots, weights))), "_slot int, _shard string")
-    placed = docs.withColumn("_at", slot_of(id_column, fallback, slots))
-    placed = placed.join(F.broadcast(filled), F.col("_at") == F.col("_slot"))
-    kept = [c for c in docs.columns if c not in ("slot", "shard")]
-    return placed.select(*kept, F.col("_at").alias("slot"), F.col("_shard").alias("shard"))
+    slot, shard, at = fresh(docs.columns, "_slot", "_shard", "_at")
+    filled = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots, weights))), f"{slot} int, {shard} string")
+    held = [c for c in fallback if c in docs.columns]
+    placed = docs.withColumn(at, slot_of(id_column, held, slots))
+    placed = placed.join(F.broadcast(filled), F.col(at) == F.col(slot))
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return placed.select(*kept, F.col(at).alias("slot"), F.col(shard).alias("shard"))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -4,9 +4,10 @@ Trees of all fingerprints have no size bound, so none is sent to every task. Ins
 dealt to shards such that any two within the radius meet in one shard: the 64 bits are cut into
 ``radius + 3`` blocks, two fingerprints that differ in at most ``radius`` bits agree on three blocks, and
 there is one shard for each choice of three blocks and each value of theirs. A shard's tree goes to the one
-task that asks it. A shard of more than ``SHARD`` fingerprints is not built as a tree: its fingerprints
-meet instead at the points of Hamming space that both reach by half the radius, where no more than 65
-can meet. Both ways are exact.
+task that asks it. A shard of more than ``SHARD`` fingerprints is dealt again in the same way by the bits that
+its choice left open, until none is larger: every choice leaves ``radius / (radius + 3)`` of the open bits, and
+fingerprints of a shard differ in open bits only, so at a radius of two no shard holds over 1,024 after two
+deals. Every shard is linked by its tree, whatever its size and the radius.
 
 Rows: every input row has a fingerprint, a null or wordless text the fingerprint zero, which links like any
 other. Repeated rows stay. A null id takes part in links but is no component id; a component without
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from . import bktree, nearcopies, words
-from .common import small_batches
+from . import bktree, words
+from .common import fresh, small_batches
 from .components import components
 
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
-SHARD = 4096  # fingerprints of a tree at most; larger shards are linked the other way
+SHARD = 4096  # fingerprints of a tree at most, while bits are left to deal them by
+AGREED = 3  # blocks that two fingerprints of a shard share
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -58,30 +60,56 @@ def simhash(column: pa.Array) -> np.ndarray:
     return majority_bits(*words.shingles(words.split_words(*words.text_bytes(column)), SHINGLE, SEED))
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp) of every row, fp as a signed 64-bit number."""
+def _printed(plain: DataFrame) -> DataFrame:
+    """Columns of ``plain``, whose last is ``text``, with ``fp`` in place of the text."""
+    kept = [*plain.columns[:-1], "fp"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in words.pieces(batch, "text"):
-                fp = pa.array(simhash(piece.column(1)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column(0), fp], ["id", "fp"])
+                fp = pa.array(simhash(piece.column(len(kept) - 1)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], fp], kept)
+
+    shape = plain.withColumn("fp", F.lit(0).cast("bigint")).drop("text").schema
+    return small_batches(plain).mapInArrow(rows, shape)
 
-    plain = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-    return small_batches(plain).mapInArrow(rows, "id bigint, fp bigint")
+
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, fp) of every row, fp as a signed 64-bit number."""
+    return _printed(docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")))
 
 
-def _shards(prints: DataFrame, radius: int) -> DataFrame:
-    """A row (shard, fp) for each choice of three blocks; the shard is the choice's number and its bits."""
-    edges = [round(64 * i / (radius + 3)) for i in range(radius + 4)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    choices = [sum(three) for three in combinations(masks, 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    keys = [F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]
-    return prints.select(F.explode(F.array(*keys)).alias("s"), "fp").select("s.choice", "s.bits", "fp")
+def narrower(mask: int, radius: int) -> list[int]:
+    """The masks that deal a shard of ``mask`` again: its open bits cut into blocks, three of them more to agree on."""
+    free = [bit for bit in range(64) if not mask >> bit & 1]
+    many = radius + AGREED
+    edges = [round(len(free) * i / many) for i in range(many + 1)]
+    blocks = [sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [mask | sum(three) for three in combinations(blocks, AGREED)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _deal(held: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
+    """(mask, bits, fp) of the fingerprints of ``held`` (mask, fp), dealt by the narrower masks; and these masks.
+
+    The masks depend on the radius alone; fingerprints that come to a mask from several others count once.
+    """
+    ways = [(_signed(m), [_signed(t) for t in narrower(m, radius)]) for m in masks]
+    if len(ways) == 1:
+        dealt = held.select(F.explode(F.array(*[F.lit(t) for t in ways[0][1]])).alias("mask"), "fp")
+    else:
+        table = held.sparkSession.createDataFrame(ways, "mask bigint, ways array<bigint>")
+        dealt = held.join(F.broadcast(table), "mask").select(F.explode("ways").alias("mask"), "fp").distinct()
+    found = sorted({t for m in masks for t in narrower(m, radius)})
+    return dealt.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("bits"), "fp"), found
 
 
 def _tree_links(shards: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that join the fingerprints of each shard within the radius, by the shard's BK-tree."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -95,36 +123,48 @@ def _tree_links(shards: DataFrame, radius: int) -> DataFrame:
         if held is not None:
             yield from links(*held)
 
-    def links(choice: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(mask: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(fp):
             return
-        changes = np.concatenate([[False], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
+        changes = np.concatenate([[False], (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])])
         a, b = bktree.Forest(fp.view(np.uint64), np.cumsum(changes)).stars(radius)
         if len(a):
             a, b = a.view(np.int64), b.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    dealt = shards.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
+    dealt = shards.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
     return dealt.mapInArrow(rows, "a bigint, b bigint")
 
 
-def _ball_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Links of fingerprints that meet at a point one bit (half the radius of two) from each."""
-    if radius > 2:
-        raise ValueError("crowded shards are linked for a radius of 2 at most")
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
-    near = prints.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
-    least = near.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return near.join(least, "point").filter("fp > b").select(F.col("fp").alias("a"), "b").distinct()
-
-
 def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b), a > b, that connect all distinct fingerprints within ``radius`` of each other."""
-    shards = _shards(prints, radius)
-    crowded = shards.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > shard)
-    trees = _tree_links(shards.join(crowded, ["choice", "bits"], "left_anti"), radius)
-    packed = shards.join(crowded, ["choice", "bits"], "left_semi").select("fp").distinct()
-    return trees.union(_ball_links(packed, radius))
+    if not 0 <= radius < 64:
+        raise ValueError("the radius is a number of bits, 0 to 63")
+    shards, masks = _deal(prints.select(F.lit(0).cast("bigint").alias("mask"), "fp"), [0], radius)
+    found = None
+    while True:
+        key, here, open_bits = ["mask", "bits"], shards, 64 - min(m.bit_count() for m in masks)
+        # Few open bits mean a small shard, or too few bits to cut.
+        crowded = shards.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > shard).drop("n")
+        crowded = pin(crowded) if 1 << open_bits > shard and open_bits > max(12, radius + AGREED) else None
+        if crowded is not None and not crowded.isEmpty():
+            here = shards.join(crowded, key, "left_anti")
+        else:
+            crowded = None
+        trees = _tree_links(here, radius)
+        found = trees if found is None else found.union(trees)
+        if crowded is None:
+            return found
+        shards, masks = _deal(shards.join(crowded, key, "left_semi").select("mask", "fp"), masks, radius)
+
+
+def group_least(rows: DataFrame, value: str, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(fp, least): for every fingerprint of ``rows`` the least ``value`` in all of its group; nulls count last."""
+    prints = pin(rows.groupBy("fp").agg(F.min(value).alias("least")))
+    roots = components(links(prints.select("fp"), radius, shard))
+    placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("least"))
+    return placed.drop("least").join(named, "root").select("fp", "least")
 
 
 def near_groups(
@@ -132,11 +172,7 @@ def near_groups(
 ) -> DataFrame:
     """(id column, fp, component_id) per row; the component is named by its smallest id."""
     rows = pin(fingerprints(docs, id_column, text_column))
-    prints = pin(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(prints.select("fp"), radius, shard))
-    placed = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(named, "root").select("fp", "component_id")
+    by_print = group_least(rows, "id", radius, shard).withColumnRenamed("least", "component_id")
     return rows.join(by_print, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
@@ -145,26 +181,27 @@ def fingerprint_text(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Keep one row of each group of near copies (``nearcopies``, not the fingerprints): the smallest id with, among its texts, the smallest hash.
+def drop_near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shard: int = SHARD
+) -> DataFrame:
+    """Keep one row of each group that ``near_groups`` forms: the smallest id with, among its texts, the smallest digest.
 
-    Rows are told apart by id and text, so texts that are no copies of each other stay under one id; rows that repeat both
-    count once. Rows without an id cannot be named as anyone's copy and stay. The rows that go are fewer than
-    those that stay, so they are what the texts are joined with.
+    Rows are told apart by id and text (128 bits of it; null counts as empty). Of rows that repeat both, the one
+    whose columns sort first stays. Rows without an id come last, and one of them stays where a group has
+    no others. The rows that go are fewer than those that stay, so they are what the texts are joined with.
     """
-    rows = pin(nearcopies.signatures(docs, id_column))
-    roots = nearcopies.text_groups(docs, rows)
-    named = rows.filter("id is not null").groupBy("id", "text_hash").agg(F.any_value("key").alias("key"), F.count("*").alias("n"))
-    named = pin(named.join(roots, named.key == roots.node, "left").select("id", "text_hash", F.coalesce("root", "key").alias("root"), "n"))
-    first = named.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    stays = F.struct("id", "text_hash") == F.col("first")
-    judged = named.join(first, "root").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text"), stays.alias("stays"), "n")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit(""))))
+    plain = docs.select(F.col(id_column).cast("bigint").alias("id"), digest.alias("digest"), F.col(text_column).alias("text"))
+    who = F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")
+    rows = pin(_printed(plain)).withColumn("who", who)
+    judged = rows.join(group_least(rows, "who", radius, shard), "fp").select("id", "digest", (F.col("who") == F.col("least")).alias("stays"))
+    the_id, the_digest, whole = fresh(docs.columns, "near_id", "near_digest", "near_whole")
+    judged = judged.groupBy(F.col("id").alias(the_id), F.col("digest").alias(the_digest)).agg(F.every("stays").alias("stays"), F.count("*").alias("n"))
     judged = pin(judged.filter("not stays or n > 1"))
-    here = (F.col(id_column) == F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
-    kept = docs.join(judged.drop("stays", "n"), here, "left_anti")
-    twice = judged.filter("stays")
+    here = F.col(id_column).cast("bigint").eqNullSafe(F.col(the_id)) & (digest == F.col(the_digest))
+    kept = docs.join(judged.select(the_id, the_digest), here, "left_anti")
+    twice = judged.filter("stays").select(the_id, the_digest)
     if twice.isEmpty():
         return kept
-    whole = F.struct(*docs.columns).alias("whole")
-    once = docs.join(twice, here).groupBy("_id", "_text").agg(F.min(whole).alias("whole"))
-    return kept.union(once.select("whole.*"))
+    once = docs.join(twice, here).groupBy(the_id, the_digest).agg(F.min(F.struct(*docs.columns)).alias(whole))
+    return kept.union(once.select(f"{whole}.*"))

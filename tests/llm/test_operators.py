@@ -219,9 +219,79 @@ def test_crowded_shards_are_linked_whole(spark):
 def test_one_document_of_each_group_stays(spark):
     text = prose(5, 50)
     rows = [(4, text, "s"), (2, text, "s"), (2, text, "s"), (9, prose(6, 50), "s"), (None, text, "s"), (None, text, "s")]
+    rows += [(None, prose(7, 50), "s"), (None, prose(7, 50), "t"), (None, None, "s"), (None, "", "s"), (8, " ", None)]
     kept = simhash.drop_near_copies(docs_of(spark, rows))
     assert kept.columns == docs_of(spark, rows).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "9", "None", "None"]
+    found = [(r.doc_id, r.source) for r in kept.collect()]
+    assert sorted(found, key=str) == sorted([(2, "s"), (8, None), (9, "s"), (None, "s")], key=str)
+    assert simhash.drop_near_copies(docs_of(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_any_radius_links_as_brute_force(spark, radius):
+    r = random.Random(radius)
+    points = {r.getrandbits(64) for _ in range(150)}
+    for p in list(points)[:50]:
+        for _ in range(4):
+            for _ in range(r.randint(1, 4)):
+                p ^= 1 << r.randrange(64)
+            points.add(p)
+    points = sorted(points)
+    top = list(range(len(points)))
+    for i, j in combinations(range(len(points)), 2):
+        if (points[i] ^ points[j]).bit_count() <= radius and top[i] != top[j]:
+            top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    groups_of = lambda name: {frozenset(m) for m in name.values() if len(m) > 1}
+    expected, got = defaultdict(set), defaultdict(set)
+    for p, t in zip(points, top, strict=True):
+        expected[t].add(p)
+    prints = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp bigint")
+    for shard in (simhash.SHARD, 3):
+        got.clear()
+        for row in components.components(simhash.links(prints, radius, shard)).collect():
+            got[row.root] |= {row.node % (1 << 64), row.root % (1 << 64)}
+        assert groups_of(got) == groups_of(expected)
+
+
+def test_a_crowded_shard_is_dealt_again(spark):
+    # 10,000 fingerprints that agree on the first 38 bits: one shard of the first deal holds them all.
+    r = random.Random(2)
+    points = sorted({r.getrandbits(26) << 38 | 5 for _ in range(10_000)})
+    near = sum((a ^ b).bit_count() <= 2 for a, b in zip(points, points[1:], strict=False))
+    prints = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp bigint")
+    held = {p: p for p in points}
+    flips = [0] + [1 << b for b in range(64)]
+    pairs = {(p, p ^ a ^ b) for p in points for a, b in combinations(flips, 2) if p ^ a ^ b in held and p ^ a ^ b < p}
+    find = lambda x: x if held[x] == x else find(held[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        held[max(a, b)] = min(a, b)
+    assert near and pairs
+    expected = defaultdict(set)
+    for p in points:
+        expected[find(p)].add(p)
+    got = defaultdict(set)
+    for row in components.components(simhash.links(prints)).collect():
+        got[row.root] |= {row.node % (1 << 64), row.root % (1 << 64)}
+    assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in expected.values() if len(m) > 1)
+
+
+CLASHES = ["_score", "_Predicted", "near_id", "near_digest", "near_whole", "_text_hash", "_row", "_mixed", "_copies", "_copy", "_slot", "_shard", "_at", "SLOT"]
+
+
+def test_pipeline_stages_take_clashing_columns(spark):
+    rows = [(i, prose(i, 30), "s" if i % 2 else None) for i in range(30)] + [(None, None, None), (3, "", "s")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in CLASHES})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, quality int")
+    benchmark = spark.createDataFrame([(1, prose(4, 30))], "item_id bigint, text string")
+    single = simhash.drop_near_copies(docs)
+    clean = decontaminate.drop_leaks(single, benchmark)
+    for kept in (bytenet.keep_good(docs, labels), single, clean, mixing.take_copies(docs), sharding.place(docs)):
+        assert set(docs.columns) - {"shard", "SLOT"} <= set(kept.columns)
+        kept.collect()
+    assert single.count() == 31 and clean.count() == 30
+    assert {r._slot for r in sharding.place(docs).collect()} == {"_slot"}
+    assert sharding.place(docs.select("doc_id", "text")).count() == len(rows)
 
 
 def test_rows_without_or_with_repeated_ids_keep_their_own_verdicts(spark):
@@ -233,7 +303,7 @@ def test_rows_without_or_with_repeated_ids_keep_their_own_verdicts(spark):
     rows = [(5, texts[0], "s"), (5, texts[1], "s"), (5, texts[1], "s"), (6, texts[1], "s"), (6, texts[2], "s"), (None, texts[1], "s")]
     for parts in (1, 5):
         single = simhash.drop_near_copies(docs_of(spark, rows).repartition(parts)).collect()
-        assert Counter((r.doc_id, r.text) for r in single) == Counter([(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, texts[1])])
+        assert Counter((r.doc_id, r.text) for r in single) == Counter([(5, texts[0]), (5, texts[1]), (6, texts[2])])
 
 
 def test_rows_without_an_id_are_mixed_one_by_one(spark):
@@ -248,64 +318,6 @@ def test_rows_without_an_id_are_mixed_one_by_one(spark):
     assert max(Counter(x.text for x in taken if size(x) > 4).values()) <= 2
 
 
-def shingled(text):
-    w = [x.encode().lower() for x in WORD.findall(text or "")]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def alike(texts):
-    """Group of each text, trying every pair for a Jaccard similarity of 0.8."""
-    sets, top = [shingled(t) for t in texts], list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets[:i]):
-            if 10 * len(x & y) >= 8 * len(x | y):
-                old, new = top[i], top[j]
-                top = [new if t == old else t for t in top]
-    return top
-
-
-def test_near_copies_of_the_stage_equal_brute_force(spark):
-    r = random.Random(8)
-    texts = [None, "", "one two", "One  two", "one two three"]
-    for i, n in enumerate([5, 20, 60, 60, 200, 700]):
-        base = prose(100 + i, n).split()
-        texts.append(" ".join(base))
-        for many in range(1, 14):
-            near = list(base)
-            for _ in range(max(1, many * n // 200)):
-                near[r.randrange(n)] = f"x{r.random()}"
-            texts.append(" ".join(near))
-    chain = prose(200, 100).split()
-    texts += [" ".join(chain[i : i + 60]) for i in range(0, 40, 3)]
-    top = alike(texts)
-    assert len(set(top)) < len(texts) - 30
-    kept = simhash.drop_near_copies(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
-    assert sorted(x.doc_id for x in kept.collect()) == sorted(top.index(t) for t in set(top))
-
-
-def test_a_crowd_of_near_copies_is_one_group(spark):
-    r, base, texts = random.Random(9), prose(300, 120).split(), []
-    for _ in range(300):
-        near = list(base)
-        for _ in range(2):
-            near[r.randrange(120)] = f"x{r.random()}"
-        texts.append(" ".join(near))
-    top = alike(texts)
-    kept = simhash.drop_near_copies(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
-    assert sorted(x.doc_id for x in kept.collect()) == sorted(top.index(t) for t in set(top))
-
-
-def test_near_copies_of_the_test_table_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    rows = sorted(docs.select("doc_id", "text").collect())
-    top = alike([x.text for x in rows])
-    first = {}
-    for x, t in zip(rows, top, strict=True):
-        first.setdefault(t, x.doc_id)
-    kept = [x.doc_id for x in simhash.drop_near_copies(docs).select("doc_id").collect()]
-    assert sorted(kept) == sorted(first.values()) and not {145, 177} & set(kept)
-
-
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = components.components(chain)
