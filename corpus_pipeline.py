@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 80 % of their five-word shingles stays, the one with the smallest id."""
+    """One document of each group that the fingerprints link (three-word shingles, two bits) stays, the one with the smallest id."""
     return simhash.drop_near_copies(docs)
 
 
@@ -41,7 +41,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
