@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, decontaminate, hostrules, mixing, secrets, sharding, simhash, tokens, urls, warc
+from . import bytenet, decontaminate, hostrules, mixing, secrets, sharding, simhash, tokenfiles, tokens, urls, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32", "copy")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op11_token_files": op11_token_files,
 }
 
 # Where SQL is missing, the tests hold the query against a brute-force version.
