@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytenet, decontaminate, hostrules, mixing, resample, secrets, sharding, simhash, tokenfiles, tokens, urls, warc
+from . import bytenet, decontaminate, hostrules, interactions, mixing, resample, secrets, sharding, simhash, tokenfiles, tokens, urls, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32", "copy")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,12 +79,14 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_token_files": op11_token_files,
+    "op12_filter_audit": op12_filter_audit,
     "op13_target_resampling": op13_target_resampling,
 }
 
 # Where SQL is missing, the tests hold the query against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
     "op10_warc_round_trip": warc.round_trip_sql(),
+    "op12_filter_audit": interactions.audit_sql(),
     "op13_target_resampling": resample.resample_sql(),
     "op8_host_quality_rules": hostrules.judge_sql(),
     "op2_url_filter": urls.judge_sql(),

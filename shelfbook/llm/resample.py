@@ -78,22 +78,11 @@ class Features:
         self.split.pre_tokenize(cut)
         return [at for _, at, _ in cut.get_splits(offset_referential="original", offset_type="byte")]
 
-    def stretches(self, raw: bytes) -> Iterator[bytes]:
-        """A text in parts of about ``PIECE`` bytes that end behind a blank, or in whole where it has none there."""
-        first = 0
-        while len(raw) - first > PIECE:
-            last = max(raw.rfind(b, first + 1, first + PIECE) for b in (b" ", b"\n"))
-            if last < 0:
-                last = min((x for b in (b" ", b"\n") if (x := raw.find(b, first + PIECE)) >= 0), default=len(raw) - 1)
-            yield raw[first : last + 1]
-            first = last + 1
-        yield raw[first:]
-
     def of(self, raw: bytes) -> tuple[int, np.ndarray]:
         """Number of words of a text in UTF-8, and the bucket of each feature."""
         found, many, carried = [], 0, np.zeros(0, np.uint8)
         tail = np.zeros(0, np.int64)  # lengths of the last words of the stretch before
-        for part in self.stretches(raw.lower()):
+        for part in words.stretches(raw.lower(), PIECE):
             at = np.array(self.offsets(part.decode()), np.int64).reshape(-1, 2)
             if not len(at):
                 continue

@@ -49,6 +49,18 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[
         first = last
 
 
+def stretches(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end behind a space or line feed, in whole where it has neither."""
+    first = 0
+    while len(raw) - first > size:
+        last = max(raw.rfind(b, first + 1, first + size) for b in (b" ", b"\n"))
+        if last < 0:
+            last = min((x for b in (b" ", b"\n") if (x := raw.find(b, first + size)) >= 0), default=len(raw) - 1)
+        yield raw[first : last + 1]
+        first = last + 1
+    yield raw[first:]
+
+
 @dataclass
 class Words:
     """Words of several texts: each text's words joined by single spaces, in one byte array."""

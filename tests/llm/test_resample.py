@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shelfbook.llm import resample
+from shelfbook.llm import resample, words
 
 CUT = re.compile(resample.PATTERN)
 
@@ -59,9 +59,9 @@ def test_features_of_whole_texts(monkeypatch, piece, longest):
     r = random.Random(0)
     for text in [*ODD, *(" ".join(r.choices(ODD + ["w", "Two"], k=12)) for _ in range(30))]:
         n, found = cut.of(text.encode())
-        words, plain = features_of(text, longest)
-        assert n == words and Counter(found.tolist()) == Counter(zlib.crc32(f.encode()) % 997 for f in plain), text
-        assert b"".join(cut.stretches(text.encode())) == text.encode()
+        many, plain = features_of(text, longest)
+        assert n == many and Counter(found.tolist()) == Counter(zlib.crc32(f.encode()) % 997 for f in plain), text
+        assert b"".join(words.stretches(text.encode(), piece)) == text.encode()
 
 
 @pytest.mark.parametrize("longest, buckets", [(1, 10_000), (3, 50)])
