@@ -32,6 +32,8 @@ SELECT o.order_id, o.location_id, CAST(0 AS DECIMAL(10,2)) AS ship_cost, l.state
   TIMESTAMP '2002-01-01 12:00:00' AS order_ts, TIMESTAMP '2002-01-01 12:00:00' AS close_ts
 FROM m_orders o JOIN m_locations l ON o.location_id = l.location_id WHERE o.order_status = 'pos'"""
 FINALS["write_ledger"] = "SELECT trans_id, post_date, ref, ref_id, account, debit, credit FROM m_post"
+FINALS["write_ledger_twice"] = """
+SELECT trans_id, post_date, ref, ref_id, account, debit, credit FROM m_post WHERE trans_ref IN ('invoice', 'customer_payment')"""
 FINALS["write_transactions"] = """
 SELECT trans_id, ref, ref_id, ref_date, description, post_date FROM (
   SELECT t.*, CASE WHEN ref = 'ct_consign' AND trans_id % 10 = 3 THEN 'Initial Balance' WHEN ref = 'ct_consign' THEN 'Misfiled'

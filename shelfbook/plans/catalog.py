@@ -98,6 +98,17 @@ def write_ledger(s: Shop):
     )
 
 
+@query
+def write_ledger_twice(s: Shop):
+    """Invoices, then payments of the same dates, then the invoices again, and payments once more on another date."""
+    path = inputs.scratch(s)
+    invoices, paid = (s.postings.filter(C("trans_ref") == ref) for ref in ("invoice", "customer_payment"))
+    moved = paid.withColumn("post_date", F.date_add("post_date", 1))
+    for postings in (invoices, moved, invoices, paid):
+        files.write_ledger(postings, path)
+    return files.read_ledger(s.spark, path).select("trans_id", "post_date", "ref", "ref_id", "account", "debit", "credit")
+
+
 @query
 def write_transactions(s: Shop):
     path = inputs.scratch(s)

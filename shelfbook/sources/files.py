@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import pin
+from . import swap
+
 # Columns of the gift-card list, the row that ends the data, the NULL mark and the
 # escapes of the tab-separated bulk format.
 GIFT_CARD_COLUMNS = {
@@ -107,28 +111,88 @@ def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str) ->
         conf.set(ADVISORY, before)
 
 
-def write_ledger(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
+NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder of rows without a period
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def _within(period: str, days: list) -> Column:
+    """Rows of the listed periods, as a filter that prunes partitions."""
+    named = [d for d in days if d is not None]
+    wanted = F.col(period).isin(named) if named else F.lit(False)
+    return wanted | F.col(period).isNull() if None in days else wanted
+
+
+def _stored(spark: SparkSession, path: str, period: str) -> DataFrame:
+    """The table with every column its files have; the period is a date even where no folder tells so."""
+    found = spark.read.parquet(path).drop(period).schema
+    return spark.read.schema(found.add(period, "date")).parquet(path)
+
+
+def _upsert(period: str, rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], anywhere: bool) -> None:
+    """Put documents in the place of what is stored of them.
+
+    Only periods that hold or will hold one of the documents are read and written; they are staged and swapped in.
+    """
+    spark = rows.sparkSession
+    staged = swap.stage(spark, path)
+    held = [n for n in swap.Folder(spark, path).names() if n.startswith(f"{period}=")]
+    if not held:
+        _write_by(period, rows, f"{path}/{staged}", "overwrite", *order)
+        return swap.publish(spark, path, staged, [])
+    rows = pin(rows)
+    documents = pin(rows.select(*keys).distinct())
+    stored = _stored(spark, path, period)
+    periods = rows.select(period)
+    if anywhere:
+        periods = periods.union(stored.join(documents, _same(stored, documents, keys), "left_semi").select(period))
+    touched = [row[0] for row in periods.distinct().collect()]  # one per day or month
+    there = stored.filter(_within(period, touched))
+    kept = there.join(documents, _same(there, documents, keys), "left_anti")
+    _write_by(period, kept.unionByName(rows, allowMissingColumns=True), f"{path}/{staged}", "overwrite", *order)
+    names = {f"{period}={NO_PERIOD if d is None else d.isoformat()}" for d in touched}
+    swap.publish(spark, path, staged, [n for n in held if n in names])
+
+
+def _store(period: str, rows: DataFrame, path: str, mode: str, keys: Sequence[str], order: Sequence[str], anywhere: bool) -> None:
+    if mode == "upsert":
+        return _upsert(period, rows, path, keys, order, anywhere)
+    swap.finish(rows.sparkSession, path)
+    _write_by(period, rows, path, mode, *order)
+
+
+def write_ledger(postings: DataFrame, path: str, mode: str = "upsert", anywhere: bool = True) -> None:
     """Store postings by post date.
 
     Within a file postings lie by account and party, so that a balance of one account skips most row
-    groups. Only the dates present in ``postings`` are replaced, so a repeated run leaves the ledger as it is;
-    ``mode='append'`` adds to the dates instead.
+    groups. A document is what (trans_ref, trans_ref_id) name, null ones included, or trans_id where these are no columns. Its postings take the place of
+    those stored of it, on whatever date these are; other documents of a date stay. A run that is repeated, or
+    ended at any step and repeated, leaves each document once, and readers see all of a run or nothing.
+    ``anywhere=False`` looks for stored documents on the dates of ``postings`` only, for documents that never change their date;
+    else the documents' names are read on all dates. ``mode='overwrite'`` replaces whole dates by the postings
+    given, ``mode='append'`` adds without looking.
     """
-    _write_by("post_date", postings, path, mode, "account", "ref", "ref_id")
+    keys = [k for k in ("trans_ref", "trans_ref_id") if k in postings.columns] or ["trans_id"]
+    _store("post_date", postings, path, mode, keys, ["account", "ref", "ref_id"], anywhere)
 
 
-def write_transactions(transactions: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_transactions(transactions: DataFrame, path: str, mode: str = "upsert", anywhere: bool = True) -> None:
     """Store the headers of the ledger beside its postings, by month, as they are few; files lie by document.
 
-    Only the months present in ``transactions`` are replaced.
+    Modes are those of ``write_ledger``; a document is what (ref, ref_id) name, with all of its headers.
     """
-    _write_by("post_month", transactions.withColumn("post_month", F.trunc("post_date", "month")), path, mode, "ref", "ref_id")
+    monthly = transactions.withColumn("post_month", F.trunc("post_date", "month"))
+    _store("post_month", monthly, path, mode, ["ref", "ref_id"], ["ref", "ref_id"], anywhere)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    swap.finish(spark, path)
     return spark.read.schema(f"{TRANSACTIONS}, post_month date").parquet(path).drop("post_month")
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
     """The stored postings. The schema is given, as a folder with open postings only does not tell the date's type."""
+    swap.finish(spark, path)
     return spark.read.schema(schema).parquet(path)
