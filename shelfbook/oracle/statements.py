@@ -398,6 +398,46 @@ FINALS["named_store_credit_orders"] = f"""{NAMED}
 SELECT o.order_id, coalesce(b.customer_id, o.customer_id) AS customer_id FROM m_orders o
   LEFT JOIN m_borne b ON o.order_id = b.order_id AND (b.bears >= b.requested OR b.use_amount IS NOT NULL)"""
 FINALS["named_store_credit_rejected"] = f"{NAMED} SELECT order_id, ct_consign_id, reason FROM m_answer WHERE reason IS NOT NULL"
+
+
+def _spent(requests: str) -> str:
+    """Requests of an account walked through in order; what is left is carried from row to row."""
+    bears = "CASE WHEN q.requested < 0 THEN q.requested WHEN {held} - q.taken < 0 THEN 0 ELSE least({held} - q.taken, q.requested) END"
+    takes = f"""CAST(CASE WHEN {bears} >= q.requested OR q.use_amount IS NULL THEN {bears}
+      WHEN q.cash AND q.use_amount > {bears} THEN {bears} ELSE q.use_amount END AS DECIMAL(20,2))"""
+    return f"""{requests}, m_credit_turn AS (
+  SELECT q.*, row_number() OVER (PARTITION BY q.ct_consign_id ORDER BY q.request_id, q.order_id, q.requested) AS n FROM m_credit_asks q
+), m_drawn AS (
+  SELECT q.*, q.opening AS found, {takes.replace('{held}', 'q.opening')} AS amount FROM m_credit_turn q WHERE q.n = 1
+  UNION ALL
+  SELECT q.*, CAST(d.found - d.amount AS DECIMAL(20,2)), {takes.replace('{held}', '(d.found - d.amount)')}
+  FROM m_drawn d JOIN m_credit_turn q ON q.ct_consign_id = d.ct_consign_id AND q.n = d.n + 1
+)
+SELECT order_id, ct_consign_id, cash, requested, CAST(found - taken AS DECIMAL(20,2)) AS balance, amount,
+  CAST(found - amount AS DECIMAL(20,2)) AS left_balance,
+  requested >= 0 AND (found - taken < 0 AND requested > 0 OR found - taken < requested) AS insufficient,
+  requested >= 0 AND (found - taken < 0 AND requested > 0 OR found - taken < requested) AND NOT cash AS may_overdraw"""
+
+
+SIDES = """c.cash, CAST(coalesce(c.v_held, 0) + coalesce(c.c_held, 0) AS DECIMAL(20,2)) AS opening,
+    CAST(coalesce(s.taken, 0) AS DECIMAL(20,2)) AS taken"""
+FINALS["spend_store_credit"] = _spent(f""", m_credit_asks AS (
+  SELECT 0 AS request_id, d.order_id, c.ct_consign_id, NULL AS use_amount, {SIDES},
+    CAST(CASE WHEN d.order_id % 9 = 0 THEN -d.balance_due ELSE d.balance_due END AS DECIMAL(20,2)) AS requested
+  FROM m_due d JOIN m_orders o ON d.order_id = o.order_id JOIN m_side c ON c.customer_id = o.customer_id
+    LEFT JOIN m_store s ON s.order_id = d.order_id WHERE o.order_status = 'pos'
+)""") + " FROM m_drawn"
+FINALS["spend_named_credit"] = _spent(f""", m_open_asks AS (
+  SELECT d.order_id, CASE d.order_id % 12 WHEN 0 THEN NULL WHEN 11 THEN -1 ELSE d.order_id % 60 + 1 END AS ct_consign_id,
+    CAST(CASE WHEN d.order_id % 9 = 0 THEN -d.balance_due ELSE d.balance_due END AS DECIMAL(20,2)) AS requested,
+    CASE WHEN d.order_id % 2 = 0 THEN CAST(25 AS DECIMAL(20,2)) END AS use_amount
+  FROM m_due d JOIN m_orders o ON d.order_id = o.order_id WHERE o.order_status = 'pos'
+), m_credit_asks AS (
+  SELECT q.request_id, q.order_id, q.ct_consign_id, q.use_amount, {SIDES}, q.requested
+  FROM (SELECT 2 * order_id AS request_id, * FROM m_open_asks
+    UNION ALL SELECT 2 * order_id - 1, order_id, ct_consign_id, 1, use_amount FROM m_open_asks WHERE order_id % 5 = 0) q
+  JOIN m_side c ON c.ct_consign_id = q.ct_consign_id LEFT JOIN m_store s ON s.order_id = q.order_id
+)""") + ", request_id FROM m_drawn"
 FINALS["accumulate_store_credit"] = """
 SELECT min(order_payment_id) AS order_payment_id, order_id, payment_method_id, CAST(sum(amount) AS DECIMAL(20,2)) AS amount
 FROM m_op WHERE payment_method_id = 3 GROUP BY order_id, payment_method_id
@@ -514,6 +554,28 @@ FROM m_orders o JOIN m_consign c ON c.ct_consign_id = o.order_id % 10
   JOIN m_cards g ON g.gift_card_id = o.order_id % 50 * 20
   JOIN m_bal b ON b.ref = 'gift_card' AND b.account = 'gift' AND b.ref_id = g.gift_card_id AND b.posted > 0
 WHERE o.order_status = 'pos' AND NOT EXISTS (SELECT 1 FROM m_lines l WHERE l.order_id = o.order_id)"""
+GIFTS = """, m_gift_asked AS (
+  SELECT o.order_id, c.ct_consign_id, c.customer_id, c.item_id, g.gift_card_id, coalesce(b.posted, 0) AS posted,
+    EXISTS (SELECT 1 FROM m_lines l WHERE l.order_id = o.order_id) AS filled, q.ct AS asked_ct, q.card AS asked_card
+  FROM (SELECT order_id, order_id % 10 AS ct, order_id % 50 * 20 AS card FROM m_orders WHERE order_status = 'pos') q
+    JOIN m_orders o ON o.order_id = q.order_id LEFT JOIN m_consign c ON c.ct_consign_id = q.ct
+    LEFT JOIN m_cards g ON g.gift_card_id = q.card
+    LEFT JOIN m_bal b ON b.ref = 'gift_card' AND b.account = 'gift' AND b.ref_id = g.gift_card_id
+), m_gift_turn AS (
+  SELECT *, NOT filled AND ct_consign_id IS NOT NULL AND gift_card_id IS NOT NULL AND posted > 0 AS able,
+    row_number() OVER (PARTITION BY asked_card, NOT filled AND ct_consign_id IS NOT NULL AND gift_card_id IS NOT NULL AND posted > 0
+      ORDER BY order_id) AS turn
+  FROM m_gift_asked
+)"""
+FINALS["cash_gifts"] = f"""{GIFTS}
+SELECT order_id, customer_id, 'gift_card' AS item_type, CASE WHEN customer_id IS NOT NULL THEN item_id END AS item_id,
+  1 AS qty, posted AS unit_price, CAST(4 AS BIGINT) AS payment_method_id, posted AS payment_amount, gift_card_id
+FROM m_gift_turn WHERE able AND turn = 1"""
+FINALS["cash_gifts_rejected"] = f"""{GIFTS}
+SELECT order_id, asked_ct AS ct_consign_id, asked_card AS gift_card_id,
+  CASE WHEN filled THEN 'order has lines' WHEN ct_consign_id IS NULL THEN 'choose a customer account to apply the balance'
+    WHEN gift_card_id IS NULL THEN 'not a valid gift card number' ELSE 'gift card does not have a balance left' END AS reason
+FROM m_gift_turn WHERE NOT (able AND turn = 1)"""
 FINALS["order_worklist"] = """
 SELECT o.order_id, p.order_balance,
   x.has_lines AND p.order_balance <> 0 AS can_pay,
@@ -728,6 +790,7 @@ FINALS["stream_till_balance"] = FINALS["till_running_balance"]
 
 FINALS["edit_accounts_log"] = FINALS["edit_accounts_log"].replace("{changes}", FINALS["change_log"])
 
-STATEMENTS = {name: PRELUDE + final for name, final in FINALS.items()} | {
+RECURSIVE = PRELUDE.replace("WITH ", "WITH RECURSIVE ", 1)
+STATEMENTS = {name: (RECURSIVE if "m_drawn" in final else PRELUDE) + final for name, final in FINALS.items()} | {
     name: CLOSING + final for name, final in _CLOSING_FINALS.items()
 }

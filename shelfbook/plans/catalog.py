@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import accounts, balances, checks, edits, imports, ledger, payments, payouts, repairs, sales
+from ..operators import accounts, balances, checks, edits, imports, ledger, payments, payouts, repairs, sales, spending
 from ..operators.entries import CONSIGNOR, GIFT, PAYABLE, RECEIVABLE
 from ..session import size_shuffles, tune
 from ..sources import files
@@ -100,11 +100,10 @@ def write_ledger(s: Shop):
 
 @query
 def write_ledger_twice(s: Shop):
-    """Invoices, then payments of the same dates, then the invoices again, and payments once more on another date."""
+    """Invoices, then payments, many of the same dates, then the invoices again."""
     path = inputs.scratch(s)
     invoices, paid = (s.postings.filter(C("trans_ref") == ref) for ref in ("invoice", "customer_payment"))
-    moved = paid.withColumn("post_date", F.date_add("post_date", 1))
-    for postings in (invoices, moved, invoices, paid):
+    for postings in (invoices, paid, invoices):
         files.write_ledger(postings, path)
     return files.read_ledger(s.spark, path).select("trans_id", "post_date", "ref", "ref_id", "account", "debit", "credit")
 
@@ -505,6 +504,20 @@ def named_store_credit_rejected(s: Shop):
     return _named_credit(s).rejected
 
 
+@query
+def spend_store_credit(s: Shop):
+    return spending.spend_store_credit(
+        inputs.credit_requests(s), s.orders, s.consignors, s.postings_of(CONSIGNOR), s.order_payments, s.methods
+    ).drop("request_id")
+
+
+@query
+def spend_named_credit(s: Shop):
+    return spending.spend_store_credit(
+        inputs.named_credit_requests(s), s.orders, s.consignors, s.postings_of(CONSIGNOR), s.order_payments, s.methods
+    )
+
+
 @query
 def accumulate_store_credit(s: Shop):
     return payments.accumulate_store_credit(s.order_payments, s.methods)
@@ -620,6 +633,22 @@ def cash_gift_to_account(s: Shop):
     )
 
 
+def _cashed(s: Shop):
+    return spending.cash_gifts(
+        inputs.card_cash_requests(s), s.orders, s.lines, s.consignors, gift_card_balance(s), gift_method=4
+    )
+
+
+@query
+def cash_gifts(s: Shop):
+    return _cashed(s).gifts
+
+
+@query
+def cash_gifts_rejected(s: Shop):
+    return _cashed(s).rejected
+
+
 @query
 def order_worklist(s: Shop):
     positions = balances.order_credit_position(
