@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.money import is_true, money, or_zero, total
-from ..operators.payments import till_running_balance
+from ..functions.keys import running_totals
+from ..functions.money import is_true, money, total
 from ..operators.repairs import propagate_name_changes
 from ..operators.sales import payment_class
+from ..session import pin
 from ..sources.shop import Shop
+from ..sources.swap import Folder
 
 
 class StreamShop(Shop):
@@ -109,34 +111,79 @@ def name_sync_report(shop: Shop, folder: str) -> DataFrame:
     return latest_rows(shop.spark, folder, ["ref", "ref_id"], NAMES)
 
 
+def _issued(spark: SparkSession, folder: str, number: int, name: str, schema: str) -> DataFrame:
+    """What the batches before ``number`` wrote under ``name``; none if there is nothing yet."""
+    if not Folder(spark, folder).exists(name):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/{name}").filter(F.col("batch") < number)
+
+
+def _newest(rows: DataFrame, *keys: str) -> DataFrame:
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*keys, *[f"_v.{v}" for v in values])
+
+
+TILL_ROWS = f"{TILLS}, cash_amount decimal(20,2), day date"
+CLOSINGS = "location_id bigint, day date, cash_balance decimal(20,2)"
+NO_DAY = "0001-01-01"  # of payments without a time, which come first
+
+
 def till_balance(payments: DataFrame, methods: DataFrame, openings: DataFrame, folder: str) -> StreamingQuery:
-    """Till balance after each till payment, carried from micro-batch to micro-batch.
+    """Till balance after each till payment, in order of time, whatever the order of arrival.
 
-    A batch is one set-based running total, so a busy till is spread over tasks, and its closing
-    balances are kept as the next batch's opening balances.
+    A payment that arrives late gets the balance of its own time, and the payments behind it at its till are issued
+    again with theirs where they changed; the newest batch of a payment counts (``till_rows``). A batch is one set-based running
+    total, so a busy till is spread over tasks. It begins at the earliest new payment of each till: what came before
+    is known from the closing balance of the last day before and from that day's own rows, and days before are not
+    read, as rows are stored by day. Payments of a till without an opening balance are left out.
     """
-    cash_only = methods.filter(is_true("cash")).select("payment_method_id")
+    kinds = methods.filter(is_true("till_method")).select("payment_method_id", "cash")
+    time = F.struct("process_ts", "customer_payment_id")
 
     def carry(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        opening = openings if number == 0 else spark.read.parquet(f"{folder}/state/batch={number - 1}")
-        rows = till_running_balance(batch, methods, opening)
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        added = (
-            batch.join(cash_only, "payment_method_id", "left_semi")
-            .groupBy("location_id")
-            .agg(total("amount").alias("added"))
-        )
-        closing = opening.select("location_id", "opening_balance").join(added, "location_id", "left").select(
-            "location_id",
-            money(F.col("opening_balance") + or_zero("added")).alias("opening_balance"),
-        )
-        closing.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        known = openings.select("location_id")
+        new = pin(
+            batch.join(kinds, "payment_method_id").join(known, "location_id", "left_semi").select(
+                "location_id", "process_ts", "customer_payment_id", "payment_method_id",
+                F.when(is_true("cash"), money("amount")).otherwise(money(0)).alias("cash_amount"),
+                F.coalesce(F.to_date("process_ts"), F.lit(NO_DAY).cast("date")).alias("day"),
+                F.lit(None).cast("decimal(20,2)").alias("issued"),
+            )
+        )
+        starts = new.groupBy("location_id").agg(F.min(time).alias("_from"), F.min("day").alias("_day"))
+        first_day = new.agg(F.min("day")).first()[0]
+        if first_day is None:
+            return
+        rows = _issued(spark, folder, number, "rows", TILL_ROWS).filter(F.col("day") >= F.lit(first_day.isoformat()).cast("date"))
+        near = pin(_newest(rows, "location_id", "customer_payment_id").join(starts, "location_id").filter(F.col("day") >= F.col("_day")))
+        same_day = near.filter((time < F.col("_from")) & (F.col("day") == F.col("_day")))
+        same_day = same_day.groupBy("location_id").agg(F.max_by("cash_balance", time).alias("_today"))
+        closings = _newest(_issued(spark, folder, number, "closings", CLOSINGS), "location_id", "day").join(starts, "location_id")
+        earlier = closings.filter(F.col("day") < F.col("_day")).groupBy("location_id").agg(F.max_by("cash_balance", "day").alias("_earlier"))
+        base = openings.select("location_id", "opening_balance").join(starts, "location_id", "left_semi")
+        base = base.join(same_day, "location_id", "left").join(earlier, "location_id", "left")
+        base = base.select("location_id", F.coalesce("_today", "_earlier", "opening_balance").alias("_base"))
+        behind = near.filter(time > F.col("_from")).withColumn("issued", F.col("cash_balance")).select(*new.columns)
+        summed = running_totals(new.union(behind), ["process_ts", "customer_payment_id"], {"_added": "cash_amount"}, ["location_id"])
+        done = pin(summed.join(base, "location_id").withColumn("cash_balance", money(F.col("_base") + F.col("_added"))))
+        changed = done.filter(F.col("issued").isNull() | (F.col("issued") != F.col("cash_balance"))).drop("issued", "_base", "_added")
+        ends = done.groupBy("location_id", "day").agg(F.max_by("cash_balance", time).alias("cash_balance"))
+        for name, part, by in (("rows", changed, ["day", "batch"]), ("closings", ends, ["batch"])):
+            numbered = part.withColumn("batch", F.lit(number))
+            numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
 
     return run(payments, folder, carry)
 
 
+def till_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest balance of each till payment."""
+    rows = _newest(_issued(spark, folder, 1 << 30, "rows", TILL_ROWS), "location_id", "customer_payment_id")
+    return rows.select(*[c.split()[0] for c in TILLS.split(", ")])
+
+
 def till_balance_report(shop: Shop, folder: str) -> DataFrame:
     source = StreamShop(shop.spark, shop.sf_dir)
     till_balance(source.customer_payments, shop.methods, shop.locations, folder).awaitTermination()
-    return kept_rows(shop.spark, folder, TILLS).drop("batch")
+    return till_rows(shop.spark, folder)

@@ -1,6 +1,7 @@
 """Streams fed in several files and restarted, against their batch meaning."""
 
 import datetime as dt
+import random
 
 import fixtures as fx
 import pytest
@@ -47,6 +48,41 @@ def test_till_balance_is_carried_between_batches(spark, shop, payments, tmp_path
     assert got == (last if last is not None else D("100.00")) + D("5.00")
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_till_balance_follows_time_for_any_arrival(spark, shop, tmp_path, seed):
+    """Payments dealt to files at random: after every batch the newest rows are those of the batch form."""
+    r = random.Random(seed)
+    when = lambda: None if r.random() < 0.03 else dt.datetime(2024, 1, r.randint(1, 6), r.randint(0, 2))
+    rows = [(i, r.choice([0, 0, 0, 1, 2, 777]), r.choice([1, 1, 2, 5]), D(r.randint(-500, 900)) / 100, when()) for i in range(80)]
+    r.shuffle(rows)
+    source, out, arrived = str(tmp_path / "in"), str(tmp_path / "out"), []
+    cuts = sorted(r.sample(range(1, 80), 3))
+    for a, b in zip([0, *cuts], [*cuts, 80], strict=True):
+        arrived += rows[a:b]
+        spark.createDataFrame(rows[a:b], PAYMENTS).coalesce(1).write.mode("append").parquet(source)
+        streams.till_balance(_stream(spark, source, PAYMENTS), shop.methods, shop.locations, out).awaitTermination()
+        expected = till_running_balance(spark.createDataFrame(arrived, PAYMENTS), shop.methods, shop.locations)
+        assert fx.rows(streams.till_rows(spark, out).select(*expected.columns)) == fx.rows(expected)
+
+
+def test_a_late_payment_issues_only_what_it_changes(spark, shop, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda n: dt.datetime(2024, 1, n)
+    files = [
+        [(1, 0, 1, D("5.00"), day(1)), (2, 0, 1, D("5.00"), day(3)), (3, 0, 1, D("5.00"), day(4)), (4, 1, 1, D("1.00"), day(4))],
+        [(5, 0, 1, D("10.00"), day(3)), (6, 0, 1, D("-10.00"), dt.datetime(2024, 1, 3, 12))],  # undone before the next payment
+        [(7, 0, 1, D("2.00"), day(2)), (8, 0, 2, D("9.00"), day(2))],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, PAYMENTS).coalesce(1).write.mode("append").parquet(source)
+        streams.till_balance(_stream(spark, source, PAYMENTS), shop.methods, shop.locations, out).awaitTermination()
+    issued = spark.read.parquet(f"{out}/rows").groupBy("batch").agg(F.sort_array(F.collect_list("customer_payment_id")).alias("ids"))
+    assert {r.batch: r.ids for r in issued.collect()} == {0: [1, 2, 3, 4], 1: [5, 6], 2: [2, 3, 5, 6, 7]}
+    assert fx.rows(streams.till_rows(spark, out), "customer_payment_id", "cash_balance") == [
+        (1, "105.00"), (2, "112.00"), (3, "117.00"), (4, "101.00"), (5, "122.00"), (6, "112.00"), (7, "107.00")
+    ]
+
+
 def test_daily_payments_add_up_over_batches(spark, shop, payments, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     _split(payments, source, F.col("process_ts") >= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
