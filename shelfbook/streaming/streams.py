@@ -6,15 +6,14 @@ restart after a lost executor or driver gives the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.keys import running_totals
 from ..functions.money import is_true, money, total
-from ..operators.repairs import propagate_name_changes
 from ..operators.sales import payment_class
 from ..session import pin
 from ..sources.shop import Shop
@@ -80,29 +79,62 @@ def daily_payments_report(shop: Shop, folder: str) -> DataFrame:
     return latest_rows(shop.spark, folder, ["day", "type"], DAILY)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class NameKeeper(StatefulProcessor):
+    """Of an account: the name it has. Edits of a batch come in any order and one at a time; the last one counts."""
+
+    def __init__(self, edit_order: str | None):
+        self.edit_order = edit_order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.name = handle.getValueState("name", "name string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self.name.update((initialState.name,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        last = None
+        for row in rows:
+            if last is None or not self.edit_order or row[self.edit_order] >= last[self.edit_order]:
+                last = row
+        old = self.name.get()
+        if last["name"] is None:
+            return
+        if old is not None and old[0] is not None and old[0] != last["name"]:
+            yield Row(new_name=last["name"], vendor_id=last["vendor_id"], customer_id=last["customer_id"])
+        self.name.update((last["name"],))
+
+    def close(self) -> None:
+        pass
+
+
 def name_sync(renamed: DataFrame, before: DataFrame, folder: str, edit_order: str | None = None) -> StreamingQuery:
     """Names to write to vendors and customers as account edits arrive.
 
-    Each batch is compared with the names that the batches before it left, carried in the folder. Of several
-    edits of an account in one batch the last by ``edit_order`` (a time or sequence column) counts; without
-    such a column a batch must hold one edit per account.
+    The name of every account is kept in the stream's state store: it begins with ``before``, loaded once, and a batch
+    reads and writes the states of its own accounts alone. Old versions of states are removed by the store. Of several
+    edits of an account in one batch the last by ``edit_order`` (a time or sequence column, no null) counts; without
+    such a column a batch must hold one edit per account. An edit without a name changes nothing, the first name of an
+    account unknown before is kept and gives no row. Edits without an account id are left out.
     """
-
-    def carry(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = before.select("ct_consign_id", "name")
-        if number:
-            known = spark.read.schema(known.schema).parquet(f"{folder}/state/batch={number - 1}")
-        if edit_order:
-            row = F.struct(*[c for c in batch.columns if c != "ct_consign_id"])
-            last = batch.groupBy("ct_consign_id").agg(F.max_by(row, edit_order).alias("_row"))
-            batch = last.select("ct_consign_id", "_row.*")
-        propagate_name_changes(known, batch).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        new = batch.filter(F.col("name").isNotNull()).select("ct_consign_id", F.col("name").alias("_new"))
-        left = known.join(new, "ct_consign_id", "full").select("ct_consign_id", F.coalesce("_new", "name").alias("name"))
-        left.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    return run(renamed, folder, carry)
+    edits = renamed.filter("ct_consign_id is not null")
+    known = before.filter("ct_consign_id is not null").groupBy("ct_consign_id").agg(F.max("name").alias("name"))
+    changed = edits.groupBy("ct_consign_id").transformWithState(
+        NameKeeper(edit_order), "new_name string, vendor_id bigint, customer_id bigint", "Append", "None", known.groupBy("ct_consign_id")
+    )
+    side = lambda kind, key: F.when(F.col(key).isNotNull(), F.struct(F.lit(kind).alias("ref"), F.col(key).alias("ref_id")))
+    sides = F.array_compact(F.array(side("vendor", "vendor_id"), side("customer", "customer_id")))
+    rows = changed.select("new_name", F.explode(sides).alias("_t")).select("_t.ref", "_t.ref_id", "new_name")
+    conf = renamed.sparkSession.conf
+    used = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS)  # read when the stream starts
+    try:
+        return run(rows, folder, keep_batches(folder))
+    finally:
+        conf.set(PROVIDER, used)
 
 
 def name_sync_report(shop: Shop, folder: str) -> DataFrame:

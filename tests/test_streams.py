@@ -132,6 +132,38 @@ def test_names_follow_every_edit_in_order(spark, tmp_path):
     assert got == [("vendor", 101, "A"), ("vendor", 102, "B2")]
 
 
+def test_names_of_many_accounts_equal_a_loop(spark, tmp_path):
+    """Random edits over several batches and restarts, with unknown accounts, missing names and large ids."""
+    r = random.Random(4)
+    schema = "ct_consign_id bigint, name string, vendor_id bigint, customer_id bigint, edit_no int"
+    big = 2**62
+    before = {i: r.choice(["A", "B", None]) for i in range(6)}
+    held, expected, number = dict(before), {}, 0
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    table = spark.createDataFrame(list(before.items()), "ct_consign_id bigint, name string")
+    for _ in range(3):
+        edits = []
+        for _ in range(14):
+            number += 1
+            i = r.choice([*range(8), None])
+            edits.append((i, r.choice(["A", "B", "C", None]), None if r.random() < 0.3 else big + (i or 0), i, number))
+        last = {}
+        for edit in edits:
+            last[edit[0]] = edit
+        for i, (_, name, vendor, customer, _) in last.items():
+            if i is None or name is None:
+                continue
+            if held.get(i) is not None and held[i] != name:
+                expected |= {("customer", customer): name} | ({("vendor", vendor): name} if vendor else {})
+            held[i] = name
+        r.shuffle(edits)
+        spark.createDataFrame(edits, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.name_sync(_stream(spark, source, schema), table, out, "edit_no").awaitTermination()
+    got = streams.latest_rows(spark, out, ["ref", "ref_id"], streams.NAMES).collect()
+    assert {(x.ref, x.ref_id): x.new_name for x in got} == expected
+    assert spark.conf.get(streams.PROVIDER) != streams.ROCKS
+
+
 def test_reports_read_tables_of_many_files_and_none(spark, shop, tmp_path):
     from shelfbook.plans import catalog
     from shelfbook.sources.shop import Shop
