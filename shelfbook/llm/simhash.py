@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from . import bktree, words
+from . import bits, bktree, words
 from .common import fresh, small_batches
 from .components import components
 
@@ -188,7 +188,8 @@ def drop_near_copies(
 
     Rows are told apart by id and text (128 bits of it; null counts as empty). Of rows that repeat both, the one
     whose columns sort first stays. Rows without an id come last, and one of them stays where a group has
-    no others. The rows that go are fewer than those that stay, so they are what the texts are joined with.
+    no others. A Bloom filter of the rows that go clears most others on the spot, so that few texts are shuffled to meet
+    the exact keys.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit(""))))
     plain = docs.select(F.col(id_column).cast("bigint").alias("id"), digest.alias("digest"), F.col(text_column).alias("text"))
@@ -198,10 +199,13 @@ def drop_near_copies(
     the_id, the_digest, whole = fresh(docs.columns, "near_id", "near_digest", "near_whole")
     judged = judged.groupBy(F.col("id").alias(the_id), F.col("digest").alias(the_digest)).agg(F.every("stays").alias("stays"), F.count("*").alias("n"))
     judged = pin(judged.filter("not stays or n > 1"))
-    here = F.col(id_column).cast("bigint").eqNullSafe(F.col(the_id)) & (digest == F.col(the_digest))
-    kept = docs.join(judged.select(the_id, the_digest), here, "left_anti")
+    own = F.col(id_column).cast("bigint")
+    named = bits.counted(judged.select(F.xxhash64(the_id, the_digest).alias("hash")), size := bits.size_for(judged.count(), 16))
+    doubtful = bits.all_set(bits.collect(named, size), F.xxhash64(own, digest), docs.sparkSession)
+    here = own.eqNullSafe(F.col(the_id)) & (digest == F.col(the_digest))
+    kept = docs.filter(~doubtful).union(docs.filter(doubtful).join(judged.select(the_id, the_digest), here, "left_anti"))
     twice = judged.filter("stays").select(the_id, the_digest)
     if twice.isEmpty():
         return kept
-    once = docs.join(twice, here).groupBy(the_id, the_digest).agg(F.min(F.struct(*docs.columns)).alias(whole))
+    once = docs.filter(doubtful).join(twice, here).groupBy(the_id, the_digest).agg(F.min(F.struct(*docs.columns)).alias(whole))
     return kept.union(once.select(f"{whole}.*"))
