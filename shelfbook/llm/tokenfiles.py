@@ -2,7 +2,8 @@
 
 Encoding: the tokenizer file's path is a parameter. Where a vocabulary drops blanks (asked of it by a probe) a text is cut at its ASCII
 blanks and the ids of a word are remembered, ``REMEMBERED`` words at most; any other vocabulary encodes whole
-texts. Each document ends with the id ``end_id``.
+texts. Words of plain letters and marks skip the normalizer and the pattern where the file names those that leave them one piece. Each
+document ends with the id ``end_id``.
 
 Files: rows are dealt to ordered ranges and sorted, so that every task holds a stretch of the order and cuts it into blocks
 of about ``BLOCK`` bytes. A block is one file: ``MAGIC``, a head (``HEAD``: bytes of an id, task, number in the
@@ -22,10 +23,13 @@ ignored. An empty table gives no file and no row. A document's ids must fit a ro
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from ..functions.keys import running_totals
 from ..session import pin, scratch_folder
@@ -43,7 +48,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 16 << 20  # bytes of token ids in a file, beyond which it ends with its document
 KEYS = 1 << 12  # of an index table, on average
-REMEMBERED = 1 << 20  # words whose ids a worker keeps
+REMEMBERED = 1 << 20  # words whose ids a worker keeps, beside those of the batch at hand
 LONGEST_WORD = 40  # bytes of a word that is remembered
 FEW_BLOCKS = 1000  # that ``fetch`` opens by name
 MOST_BYTES = 64 << 20  # of a vocabulary file, which every task gets
@@ -51,6 +56,12 @@ MAGIC, MAGIC_END = b"IDBLOCK1", "IDBLOCK/"
 HEAD = struct.Struct("<IQQQQ")
 BLANKS = " \t\n\v\f\r"
 _MARK = "\x01"
+# Fixed values of a vocabulary whose words of letters are one piece: its normalizer, pattern and pieces.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Letters of Latin-1 in lower case, and marks around them; both are pieces of their own. An apostrophe is none of the marks,
+# nor are those of special tokens.
+LETTERS = re.compile(r"^(?:(?!.*<\|)([!-&(-/:-@\[-`{-~]*)([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -73,43 +84,76 @@ class Encoder:
         self.drops_blanks = all(not one(b) and one(f"ab{b}.c") == one("ab") + one(".c") for b in BLANKS) and len(one(_MARK)) == 1
         self.mark = one(_MARK)[0] if self.drops_blanks else None
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _of_words(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, many in one text with a mark between; words that hold the mark go alone."""
+        self.quick, self.last = None, None
+        said = json.loads(content)
+        suffix = said["model"].get("end_of_word_suffix")
+        cut = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        by_pattern = cut[0].get("pattern") == {"Regex": PATTERN} and cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True
+        by_bytes = len(cut) == 2 and cut[1].get("type") == "ByteLevel" and not cut[1].get("add_prefix_space") and not cut[1].get("use_regex")
+        if self.drops_blanks and suffix and by_pattern and by_bytes and (said.get("normalizer") or {}).get("normalizers") == NORMALIZER:
+            self.quick = Tokenizer(self.tokenizer.model)
+            self.quick.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.size, bool)  # ids that end a word
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str], by: Tokenizer | None = None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, words_: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[bytes, bytes]:
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        if len(starts) != len(words_):
+            raise ValueError("the vocabulary does not keep words apart")
+        return {w: raw[size * a : size * b] for w, a, b in zip(words_, starts.tolist(), ends.tolist(), strict=True)}
+
+    def _by_mark(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of any words, many in one text with a mark between; words that hold the mark go alone."""
         plain = [w for w in missing if _MARK.encode() not in w]
         alone = [w for w in missing if _MARK.encode() in w]
         found = dict(zip(alone, (x.tobytes() for x in self._ids([w.decode() for w in alone])), strict=True))
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         for group, ids in zip(groups, self._ids([f" {_MARK} ".join(w.decode() for w in g) for g in groups]), strict=True):
             cuts = np.flatnonzero(ids == self.mark)
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            if len(starts) != len(group):
-                raise ValueError("the vocabulary does not keep words apart")
-            found |= {w: raw[size * a : size * b] for w, a, b in zip(group, starts, ends, strict=True)}
+            found |= self._cut(group, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+        return found
+
+    def _of_letters(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters in lower case, which are one piece each."""
+        found, groups = {}, [missing[i : i + 512] for i in range(0, len(missing), 512)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups], self.quick), strict=True):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            found |= self._cut(group, ids, np.append(0, ends[:-1]), ends)
+        return found
+
+    def _of_words(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; those of letters with marks around are put together from these pieces."""
+        if not self.quick or not missing:
+            return self._by_mark(missing)
+        pieces = LETTERS.findall(b"\n".join(missing).decode().lower())
+        by_letters = self._of_letters([*{core for _, core, _ in pieces if core}])
+        marks = {m.encode() for before, _, behind in pieces for m in (before, behind) if m}
+        by_mark = self._by_mark([*marks.union(w for w, (_, core, _) in zip(missing, pieces, strict=True) if not core)])
+        found = {w: by_letters[core] if core else by_mark[w] for w, (_, core, _) in zip(missing, pieces, strict=True)}
+        for w, (before, _, behind) in zip(missing, pieces, strict=True):
+            if behind:
+                found[w] += by_mark[behind.encode()]
+            if before:
+                found[w] = by_mark[before.encode()] + found[w]
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.drops_blanks:
             return [x.tobytes() for x in self._ids([t or "" for t in texts])]
         cut = [(t or "").encode().split() for t in texts]
-        missing = set().union(*cut) - self.known.keys()
-        found = self._of_words(sorted(missing))
-        short = {w: ids for w, ids in found.items() if len(w) <= LONGEST_WORD}
-        if len(self.known) + len(short) > REMEMBERED:
-            found |= {w: self.known[w] for w in set().union(*cut) - missing}
-            self.known = {}
-            out = [b"".join([found[w] for w in ws]) for ws in cut]
-            self.known = dict(list(short.items())[:REMEMBERED])
-            return out
-        self.known |= short
-        if len(short) == len(found):
-            return [b"".join([*map(self.known.__getitem__, ws)]) for ws in cut]
-        known = self.known
-        return [b"".join([known[w] if w in known else found[w] for w in ws]) for ws in cut]
+        found = self._of_words([*filterfalse(self.known.__contains__, set().union(*cut))])
+        self.known |= found
+        ids = [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        else:
+            for w in found:
+                if len(w) > LONGEST_WORD:
+                    del self.known[w]
+        return ids
 
 
 @lru_cache(maxsize=2)
