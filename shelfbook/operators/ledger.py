@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, is_true, money, total
+from ..functions.money import MONEY, is_true, money, or_zero, total
 from .entries import CASH, CONSIGNOR, COST, GIFT, PAYABLE, RECEIVABLE, SALES, TAX, credit, debit, emit
 
 BOOKED = {"invoice_id": "invoice_id", "ref_date": "ref_date"}
@@ -244,6 +245,46 @@ def post_all(transactions: DataFrame) -> DataFrame:
     return transactions.withColumn("post_date", F.coalesce("post_date", "ref_date"))
 
 
+class Posted(NamedTuple):
+    """Transactions after a posting run, and those that were refused with both of their sums."""
+
+    transactions: DataFrame
+    refused: DataFrame
+
+
+def _gate(transactions: DataFrame, postings: DataFrame) -> DataFrame:
+    """Transactions with the sums of their postings; without postings both are zero."""
+    sums = postings.groupBy("trans_id").agg(total("debit").alias("_debit"), total("credit").alias("_credit"))
+    return transactions.join(sums, "trans_id", "left").withColumns({c: or_zero(c) for c in ("_debit", "_credit")})
+
+
+def _through(gated: DataFrame, wanted: Column, dates: dict[str, Column], columns: list[str]) -> Posted:
+    """Wanted transactions take their ``dates`` if they balance, else lose their post date and are listed."""
+    fits = F.col("_debit") == F.col("_credit")
+    dates = {c: F.when(wanted, d).otherwise(F.col(c)) for c, d in dates.items()}
+    dates["post_date"] = F.when(wanted & ~fits, F.lit(None)).otherwise(dates["post_date"])
+    refused = gated.filter(wanted & ~fits).select("trans_id", "ref", "ref_id", F.col("_debit").alias("debit"), F.col("_credit").alias("credit"))
+    return Posted(gated.withColumns(dates).select(*columns), refused)
+
+
+def post_balanced(transactions: DataFrame, postings: DataFrame) -> Posted:
+    """Post every open transaction whose debits equal its credits, on its reference date; the others stay open."""
+    gated = _gate(transactions, postings)
+    return _through(gated, F.col("post_date").isNull(), {"post_date": F.col("ref_date")}, transactions.columns)
+
+
+def repost_balanced(transactions: DataFrame, dates: DataFrame, postings: DataFrame) -> Posted:
+    """Unpost the listed transactions, give them a new date and post those again that balance.
+
+    ``dates`` holds (trans_id, new_date); the earliest date wins where a transaction is listed twice. One that does not
+    balance gets the date and stays open. Only listed transactions are summed.
+    """
+    one = dates.groupBy("trans_id").agg(F.min("new_date").alias("_new")).filter(F.col("_new").isNotNull())
+    gated = _gate(transactions.join(one, "trans_id", "left"), postings.join(one, "trans_id", "left_semi"))
+    new = {"ref_date": F.col("_new"), "post_date": F.col("_new")}
+    return _through(gated, F.col("_new").isNotNull(), new, transactions.columns)
+
+
 def count_open(transactions: DataFrame) -> DataFrame:
     """How many transactions a posting run posts."""
     return transactions.agg(F.count_if(F.col("post_date").isNull()).alias("posted"))

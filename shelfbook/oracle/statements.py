@@ -78,6 +78,27 @@ FROM m_trans t LEFT JOIN (
       unnest([invoice_id, customer_payment_id, deposit_id]) AS ref_id FROM m_repair
   ) GROUP BY ref, ref_id
 ) n ON t.ref = n.ref AND t.ref_id = n.ref_id"""
+GATE = """, m_sums AS (
+  SELECT t.trans_id, t.ref, t.ref_id, t.ref_date, t.post_date, CAST(coalesce(p.d, 0) AS DECIMAL(20,2)) AS debit,
+    CAST(coalesce(p.c, 0) AS DECIMAL(20,2)) AS credit
+  FROM m_trans t LEFT JOIN (SELECT trans_id, sum(debit) AS d, sum(credit) AS c FROM m_post GROUP BY trans_id) p ON p.trans_id = t.trans_id
+), m_redated AS (
+  SELECT s.*, n.d AS new_date FROM m_sums s LEFT JOIN (
+    SELECT ref, ref_id, CAST(min(payment_date) AS DATE) AS d FROM (
+      SELECT payment_date, unnest(['invoice', 'customer_payment', 'deposit']) AS ref,
+        unnest([invoice_id, customer_payment_id, deposit_id]) AS ref_id FROM m_repair
+    ) GROUP BY ref, ref_id
+    UNION ALL SELECT DISTINCT 'ct_consign', ref_id, DATE '1999-06-01' FROM m_trans WHERE ref = 'ct_consign'
+  ) n ON s.ref = n.ref AND s.ref_id = n.ref_id
+)"""
+FINALS["post_balanced"] = f"""{GATE}
+SELECT trans_id, ref_date, CASE WHEN post_date IS NULL AND debit = credit THEN ref_date ELSE post_date END AS post_date FROM m_sums"""
+FINALS["post_refused"] = f"{GATE} SELECT trans_id, ref, ref_id, debit, credit FROM m_sums WHERE post_date IS NULL AND debit <> credit"
+FINALS["repost_balanced"] = f"""{GATE}
+SELECT trans_id, coalesce(new_date, ref_date) AS ref_date,
+  CASE WHEN new_date IS NULL THEN post_date WHEN debit = credit THEN new_date END AS post_date FROM m_redated"""
+FINALS["repost_refused"] = f"""{GATE}
+SELECT trans_id, ref, ref_id, debit, credit FROM m_redated WHERE new_date IS NOT NULL AND debit <> credit"""
 FINALS["bill_lines"] = """
 SELECT l.order_id, l.line_number, l.item_type, l.total_price,
   CASE WHEN l.line_number = 7 THEN -1 ELSE i.invoice_id END AS invoice_id,

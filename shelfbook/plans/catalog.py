@@ -173,6 +173,34 @@ def repost_with_new_date(s: Shop):
     return journeys.repair_dates(payment_date_repair_set(s), s.transactions).select("trans_id", "ref_date", "post_date")
 
 
+@query
+def post_balanced(s: Shop):
+    return ledger.post_balanced(s.transactions, s.postings).transactions.select("trans_id", "ref_date", "post_date")
+
+
+@query
+def post_refused(s: Shop):
+    return ledger.post_balanced(s.transactions, s.postings).refused
+
+
+def _reposted(s: Shop) -> ledger.Posted:
+    """Repairs of manual card sales, and of the opening entries, of which many have one side only."""
+    openings = s.transactions.filter(C("ref") == "ct_consign").select("trans_id", F.lit("1999-06-01").cast("date").alias("new_date"))
+    affected = repairs.affected_transactions(payment_date_repair_set(s), s.transactions)
+    dates = affected.select("trans_id", F.to_date("payment_date").alias("new_date")).unionByName(openings)
+    return ledger.repost_balanced(s.transactions, dates, s.postings)
+
+
+@query
+def repost_balanced(s: Shop):
+    return _reposted(s).transactions.select("trans_id", "ref_date", "post_date")
+
+
+@query
+def repost_refused(s: Shop):
+    return _reposted(s).refused
+
+
 @query
 def bill_lines(s: Shop):
     return ledger.bill_lines(inputs.partly_billed_lines(s), s.invoices).select(

@@ -147,3 +147,9 @@ def repair_dates(repairs_needed: DataFrame, transactions: DataFrame) -> DataFram
     affected = repairs.affected_transactions(repairs_needed, transactions)
     dates = affected.select("trans_id", F.to_date("payment_date").alias("new_date"))
     return ledger.repost_with_new_date(transactions, dates)
+
+
+def repair_dates_balanced(repairs_needed: DataFrame, transactions: DataFrame, postings: DataFrame) -> ledger.Posted:
+    """The same, but transactions that do not balance stay open and are listed."""
+    affected = repairs.affected_transactions(repairs_needed, transactions)
+    return ledger.repost_balanced(transactions, affected.select("trans_id", F.to_date("payment_date").alias("new_date")), postings)

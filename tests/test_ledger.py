@@ -170,3 +170,28 @@ def test_accounts_that_need_no_invoice_totals_make_none(shop):
     plan = lambda *accounts: fresh.postings_of(*accounts)._jdf.queryExecution().optimizedPlan().toString()
     assert "tax_amount" not in plan("cc")
     assert "tax_amount" in plan("ar")
+
+
+def test_only_balanced_transactions_are_posted(spark):
+    day = dt.date(2013, 5, 1)
+    kind = "trans_id bigint, ref string, ref_id bigint, ref_date date, post_date date"
+    transactions = spark.createDataFrame(
+        [(1, "a", 1, day, None), (2, "a", 2, day, None), (3, "a", 3, day, day), (4, "a", 4, day, None), (5, "a", 5, day, day), (6, "a", 6, None, None)], kind
+    )
+    book = fx.postings(
+        spark, (1, False, None, None, "x", "1.10", "0"), (1, False, None, None, "y", "0", "1.00"), (1, False, None, None, "y", "0", "0.10"),
+        (2, False, None, None, "x", "1.10", "0"), (2, False, None, None, "y", "0", "1.00"), (3, True, None, None, "x", "5.00", "0"),
+        (5, True, None, None, "x", "2.00", "2.00"), (99, True, None, None, "x", "7.00", "0"),
+    )
+    done = ledger.post_balanced(transactions, book)
+    assert done.transactions.columns == transactions.columns
+    assert fx.rows(done.transactions, "trans_id", "post_date") == [(1, day), (2, None), (3, day), (4, day), (5, day), (6, None)]
+    assert fx.rows(done.refused) == [(2, "a", 2, "1.10", "1.00")]
+    new = dt.date(2013, 7, 7)
+    dates = spark.createDataFrame([(2, new), (3, new), (3, dt.date(2013, 8, 1)), (5, new), (6, None), (77, new)], "trans_id bigint, new_date date")
+    again = ledger.repost_balanced(transactions, dates, book)
+    assert fx.rows(again.transactions, "trans_id", "ref_date", "post_date") == [
+        (1, day, None), (2, new, None), (3, new, None), (4, day, None), (5, new, new), (6, None, None)
+    ]
+    assert fx.rows(again.refused, "trans_id", "debit", "credit") == [(2, "1.10", "1.00"), (3, "5.00", "0.00")]
+    assert ledger.post_balanced(transactions.limit(0), book).transactions.count() == 0
