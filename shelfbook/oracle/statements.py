@@ -164,6 +164,8 @@ FROM m_consign c JOIN m_post p ON p.ref = 'item' AND p.ref_id = c.item_id GROUP
 # Payouts
 
 FINALS["payout_candidates"] = "SELECT * FROM m_payout"
+FINALS["payout_candidates_from_snapshot"] = FINALS["payout_candidates"]
+FINALS["account_list_from_snapshot"] = FINALS["account_list"]
 FINALS["payout_review"] = """
 SELECT p.vendor_id, p.name, b.posted AS ap_amount, p.amount, FALSE AS is_total
 FROM m_payout p LEFT JOIN m_bal b ON b.ref = 'vendor' AND b.account = 'ap' AND b.ref_id = p.vendor_id AND b.posted <> 0

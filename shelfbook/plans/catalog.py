@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,26 @@ def write_ledger_twice(s: Shop):
     return files.read_ledger(s.spark, path).select("trans_id", "post_date", "ref", "ref_id", "account", "debit", "credit")
 
 
+def _closed_ledger(s: Shop) -> str:
+    """A stored ledger of the balance accounts with snapshots, one of them made from another."""
+    path = inputs.scratch(s)
+    files.write_ledger(s.postings_of(CONSIGNOR, PAYABLE), path)
+    for day in (dt.date(1996, 1, 1), dt.date(1998, 7, 1)):
+        files.take_snapshot(s.spark, path, day)
+    return path
+
+
+@query
+def payout_candidates_from_snapshot(s: Shop):
+    kept = files.read_balances(s.spark, _closed_ledger(s), inputs.PAY_DATE)
+    return payouts.payout_candidates(kept, s.vendors, s.consignors, inputs.PAYOUT_MINIMUM, inputs.PAY_DATE)
+
+
+@query
+def account_list_from_snapshot(s: Shop):
+    return balances.account_list(s.consignors, files.read_balances(s.spark, _closed_ledger(s)))
+
+
 @query
 def write_transactions(s: Shop):
     path = inputs.scratch(s)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin
-from . import swap
+from . import snapshots, swap
 
 # Columns of the gift-card list, the row that ends the data, the NULL mark and the
 # escapes of the tab-separated bulk format.
@@ -141,6 +142,7 @@ def _upsert(period: str, rows: DataFrame, path: str, keys: Sequence[str], order:
     held = [n for n in swap.Folder(spark, path).names() if n.startswith(f"{period}=")]
     if not held:
         _write_by(period, rows, f"{path}/{staged}", "overwrite", *order)
+        snapshots.drop_behind(spark, path, dt.date.min)
         return swap.publish(spark, path, staged, [])
     rows = pin(rows)
     documents = pin(rows.select(*keys).distinct())
@@ -153,13 +155,18 @@ def _upsert(period: str, rows: DataFrame, path: str, keys: Sequence[str], order:
     kept = there.join(documents, _same(there, documents, keys), "left_anti")
     _write_by(period, kept.unionByName(rows, allowMissingColumns=True), f"{path}/{staged}", "overwrite", *order)
     names = {f"{period}={NO_PERIOD if d is None else d.isoformat()}" for d in touched}
+    snapshots.drop_behind(spark, path, min((d for d in touched if d is not None), default=None))
     swap.publish(spark, path, staged, [n for n in held if n in names])
 
 
 def _store(period: str, rows: DataFrame, path: str, mode: str, keys: Sequence[str], order: Sequence[str], anywhere: bool) -> None:
     if mode == "upsert":
         return _upsert(period, rows, path, keys, order, anywhere)
-    swap.finish(rows.sparkSession, path)
+    spark = rows.sparkSession
+    swap.finish(spark, path)
+    if snapshots.taken(spark, path):
+        rows = pin(rows)
+        snapshots.drop_behind(spark, path, rows.agg(F.min(period)).first()[0])
     _write_by(period, rows, path, mode, *order)
 
 
@@ -192,6 +199,17 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{TRANSACTIONS}, post_month date").parquet(path).drop("post_month")
 
 
+def take_snapshot(spark: SparkSession, path: str, as_of: dt.date) -> None:
+    """Keep the balances before a date beside the stored ledger (``snapshots``)."""
+    snapshots.take(spark, path, read_ledger(spark, path), as_of)
+
+
+def read_balances(spark: SparkSession, path: str, before: dt.date | None = None) -> DataFrame:
+    """Postings that sum up like the stored ones, all or those before a date, from the newest snapshot and the days behind it."""
+    ledger = read_ledger(spark, path)
+    return snapshots.all_postings(spark, path, ledger) if before is None else snapshots.postings_before(spark, path, ledger, before)
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
     """The stored postings. The schema is given, as a folder with open postings only does not tell the date's type."""
     swap.finish(spark, path)

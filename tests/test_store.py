@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 from fixtures import D
+from pyspark.sql import functions as F
 
-from shelfbook.sources import files, swap
+from shelfbook.sources import files, snapshots, swap
 
 KIND = "trans_id bigint, trans_ref string, trans_ref_id bigint, account string, ref string, ref_id bigint, debit decimal(20,2), credit decimal(20,2), post_date date"
 
@@ -127,3 +128,66 @@ def test_headers_are_replaced_by_document(spark, tmp_path):
         files.write_transactions(make((2, 3, "B"), (3, 4, "C"), (4, 1, "d")), path)
     got = sorted((r.ref_id, r.post_date and r.post_date.day, r.description) for r in files.read_transactions(spark, path).collect())
     assert got == [(1, 1, "a"), (2, 3, "B"), (3, 4, "C"), (4, 1, "d")]
+
+
+def sums(df, before=None):
+    rows = df.collect()
+    out = Counter()
+    for r in rows:
+        if before is None or (r.post_date and r.post_date < before):
+            out[r.ref_id, r.account, r.post_date is None] += r.credit - r.debit
+    return {k: v for k, v in out.items() if v}
+
+
+DAYS = [("invoice", i, d, 10 * i) for i, d in enumerate([1, 1, 3, 5, 5, 8, 12, None], 1)]
+
+
+def test_snapshots_sum_up_like_the_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    files.write_ledger(book(spark, *DAYS), path)
+    ledger = files.read_ledger(spark, path, KIND)
+    for as_of in (None, 5, 9, 5, 30):
+        if as_of:
+            files.take_snapshot(spark, path, day(as_of))
+        for before in (None, 1, 2, 5, 6, 9, 13):
+            got = files.read_balances(spark, path, before and day(before))
+            assert sums(got, before and day(before)) == sums(ledger, before and day(before))
+    assert snapshots.taken(spark, path) == [day(5), day(9), day(30)]
+    near = files.read_balances(spark, path, day(13))
+    read = {r.n.split("/")[-2] for r in near.select(F.input_file_name().alias("n")).distinct().collect()}
+    assert read == {"as_of=2013-01-09", "post_date=2013-01-12"}  # one snapshot and the days behind it
+
+
+def test_a_write_takes_away_the_snapshots_it_would_make_stale(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    files.write_ledger(book(spark, *DAYS), path)
+    for as_of in (2, 4, 9):
+        files.take_snapshot(spark, path, day(as_of))
+    files.write_ledger(book(spark, ("invoice", 50, None, 1)), path)  # an open one is in no snapshot
+    assert snapshots.taken(spark, path) == [day(2), day(4), day(9)]
+    files.write_ledger(book(spark, ("invoice", 51, 20, 1)), path)
+    assert snapshots.taken(spark, path) == [day(2), day(4), day(9)]
+    files.write_ledger(book(spark, ("invoice", 4, 20, 41)), path)  # lay on the fifth
+    assert snapshots.taken(spark, path) == [day(2), day(4)]
+    files.write_ledger(book(spark, ("payment", 1, 3, 2)), path, mode="append")
+    assert snapshots.taken(spark, path) == [day(2)]
+    ledger = files.read_ledger(spark, path, KIND)
+    files.take_snapshot(spark, path, day(15))
+    assert sums(files.read_balances(spark, path, day(21)), day(21)) == sums(ledger, day(21))
+
+
+def test_a_dying_writer_leaves_no_stale_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    files.write_ledger(book(spark, *DAYS), path)
+    files.take_snapshot(spark, path, day(9))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(swap, "publish", die)
+        with pytest.raises(KeyboardInterrupt):
+            files.write_ledger(book(spark, ("invoice", 1, 1, 11)), path)
+    assert snapshots.taken(spark, path) == []
+    files.write_ledger(book(spark, ("invoice", 1, 1, 11)), path)
+    assert sums(files.read_balances(spark, path)) == sums(files.read_ledger(spark, path, KIND))
