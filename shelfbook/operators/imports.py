@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import PRICE
+from ..functions.pairing import theta_join
 
 
 def import_sales_lines(orders: DataFrame, shipping: DataFrame, sales: DataFrame) -> DataFrame:
@@ -29,6 +30,22 @@ def import_sales_lines(orders: DataFrame, shipping: DataFrame, sales: DataFrame)
     )
 
 
+def import_all_sales(orders: DataFrame, shipping: DataFrame, sales: DataFrame) -> DataFrame:
+    """Every non-zero staged sale as a line of every import order, for lists that name no batch.
+
+    ``sales`` (ct_consign_id, amount). Usually one order is being imported; however many there are, orders are counted
+    before they are sent to all tasks, and paired with the sales in a grid if they are too many.
+    """
+    importing = orders.filter((F.col("order_type") == "pos") & (F.col("order_status") == "import"))
+    heads = importing.select("order_id", "location_id").join(shipping.select("order_id", "ship_id"), "order_id")
+    staged = sales.select("ct_consign_id", "amount")
+    return theta_join(staged, heads, F.col("amount") != 0).select(
+        "order_id", F.lit("item").alias("item_type"), "ship_id",
+        F.col("location_id").alias("pt_location_id"), F.lit(1).alias("qty"),
+        F.col("amount").cast(PRICE).alias("unit_price"), F.col("ct_consign_id").alias("item_id"),
+    )
+
+
 def import_order_headers(orders: DataFrame, locations: DataFrame, invoice_ts: str, close_ts: str) -> DataFrame:
     """Shipping address, invoice date and closing state of each import order."""
     made, closed = F.lit(invoice_ts).cast("timestamp_ntz"), F.lit(close_ts).cast("timestamp_ntz")

@@ -26,6 +26,15 @@ SELECT 900000000 + month_key AS order_id, 'item' AS item_type, 900000001 + month
   (month_key % 25) AS pt_location_id, 1 AS qty, CAST(l_extendedprice AS DECIMAL(10,2)) AS unit_price, l_suppkey AS item_id
 FROM (SELECT *, CAST(strftime(l_shipdate, '%Y%m') AS BIGINT) AS month_key FROM lineitem)
 WHERE l_linenumber <> 7 AND l_extendedprice <> 0"""
+FINALS["import_all_sales"] = """, m_heads AS (
+  SELECT CAST(800000000 + r_regionkey AS BIGINT) AS order_id, CAST(3 + r_regionkey AS BIGINT) AS location_id FROM region WHERE r_regionkey <> 4
+), m_shipped AS (
+  SELECT CAST(800000000 + r_regionkey AS BIGINT) AS order_id, CAST(800000050 + r_regionkey AS BIGINT) AS ship_id FROM region
+), m_month AS (
+  SELECT s_suppkey AS ct_consign_id, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_acctbal END AS DECIMAL(10,2)) AS amount FROM supplier
+)
+SELECT o.order_id, 'item' AS item_type, s.ship_id, o.location_id AS pt_location_id, 1 AS qty, t.amount AS unit_price, t.ct_consign_id AS item_id
+FROM m_heads o JOIN m_shipped s ON o.order_id = s.order_id JOIN m_month t ON t.amount <> 0"""
 FINALS["import_order_headers"] = """
 SELECT o.order_id, o.location_id, CAST(0 AS DECIMAL(10,2)) AS ship_cost, l.state, l.zipcode,
   TIMESTAMP '2013-01-02' AS invoice_created_ts, 'order' AS order_type, 'closed' AS order_status,

@@ -83,6 +83,11 @@ def import_sales_lines(s: Shop):
     return imports.import_sales_lines(inputs.batch_orders(s), inputs.batch_shipping(s), inputs.staged_sales(s))
 
 
+@query
+def import_all_sales(s: Shop):
+    return imports.import_all_sales(inputs.region_orders(s), inputs.region_shipping(s), inputs.unbatched_sales(s))
+
+
 @query
 def import_order_headers(s: Shop):
     return imports.import_order_headers(

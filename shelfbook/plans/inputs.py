@@ -83,6 +83,27 @@ def batch_shipping(shop: Shop) -> DataFrame:
     return batch_orders(shop).select("order_id", (C("order_id") + 1).alias("ship_id"))
 
 
+def region_orders(shop: Shop) -> DataFrame:
+    """One order per region; all but the last are being imported."""
+    key = C("r_regionkey").cast("bigint")
+    return shop.table("region").select(
+        (key + 800000000).alias("order_id"), (key + 3).alias("location_id"), F.lit("pos").alias("order_type"),
+        F.when(key == 4, "closed").otherwise("import").alias("order_status"),
+    )
+
+
+def region_shipping(shop: Shop) -> DataFrame:
+    return region_orders(shop).select("order_id", (C("order_id") + 50).alias("ship_id"))
+
+
+def unbatched_sales(shop: Shop) -> DataFrame:
+    """A month's sum per consignor, without a batch; each seventh sold nothing."""
+    key = C("s_suppkey")
+    return shop.table("supplier").select(
+        key.alias("ct_consign_id"), F.when(key % 7 == 0, 0).otherwise(C("s_acctbal")).cast("decimal(10,2)").alias("amount")
+    )
+
+
 def orders_being_imported(shop: Shop) -> DataFrame:
     open_one = C("order_status") == "pos"
     return shop.orders.select(
