@@ -61,7 +61,7 @@ NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"},
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Letters of Latin-1 in lower case, and marks around them; both are pieces of their own. An apostrophe is none of the marks,
 # nor are those of special tokens.
-LETTERS = re.compile(r"^(?:(?!.*<\|)([!-&(-/:-@\[-`{-~]*)([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE)
+LETTERS = re.compile(r"^(?:(?!.*<\|)[!-&(-/:-@\[-`{-~]*([a-z\u00df-\u00f6\u00f8-\u00ff]+)[!-&(-/:-@\[-`{-~]*|.*)$", re.MULTILINE)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -128,16 +128,15 @@ class Encoder:
         """Ids of words; those of letters with marks around are put together from these pieces."""
         if not self.quick or not missing:
             return self._by_mark(missing)
-        pieces = LETTERS.findall(b"\n".join(missing).decode().lower())
-        by_letters = self._of_letters([*{core for _, core, _ in pieces if core}])
-        marks = {m.encode() for before, _, behind in pieces for m in (before, behind) if m}
-        by_mark = self._by_mark([*marks.union(w for w, (_, core, _) in zip(missing, pieces, strict=True) if not core)])
-        found = {w: by_letters[core] if core else by_mark[w] for w, (_, core, _) in zip(missing, pieces, strict=True)}
-        for w, (before, _, behind) in zip(missing, pieces, strict=True):
-            if behind:
-                found[w] += by_mark[behind.encode()]
-            if before:
-                found[w] = by_mark[before.encode()] + found[w]
+        low = b"\n".join(missing).decode().lower()
+        cores, lines = LETTERS.findall(low), low.split("\n")
+        marked = [(w, *line.partition(core)) for w, line, core in zip(missing, lines, cores, strict=True) if core and len(core) != len(line)]
+        by_letters = self._of_letters([*{*cores} - {""}])
+        marks = {m.encode() for _, before, _, behind in marked for m in (before, behind) if m}
+        by_mark = self._by_mark([*marks.union(w for w, core in zip(missing, cores, strict=True) if not core)])
+        found = {w: by_letters[core] if core else by_mark[w] for w, core in zip(missing, cores, strict=True)}
+        for w, before, _, behind in marked:
+            found[w] = (by_mark[before.encode()] if before else b"") + found[w] + (by_mark[behind.encode()] if behind else b"")
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
