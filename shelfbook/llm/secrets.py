@@ -36,7 +36,10 @@ KINDS = ("assign", "access", "hex", "key", "signed")
 # Candidates of the encoded kinds. Encoded lines of a key may be wrapped.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 HEXES = re.compile(r"[0-9A-Fa-f]{64,}")
-DOTTED = re.compile(r"eyJ[A-Za-z0-9_-]{6,}\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
+# A whole dotted run of base64url, begun at its start only, so that a text is read once.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]*+){2,}+")
+# How a JSON object begins in base64url, and the same with blanks in front of it.
+OBJECT, BLANK_OBJECT = "eyJ", re.compile(r"e[w-z]|[ICD]")
 OPENSSH = b"openssh-key-v1\x00"
 SEQUENCE, INTEGER, OCTETS, IDENTIFIER = 0x30, 0x02, 0x04, 0x06
 KEY_BYTES = 16  # a secret shorter than this is no key
@@ -143,12 +146,33 @@ def json_object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def is_signed_token(text: str) -> bool:
-    head, body, mark = text.split(".")
-    header = json_object(head)
+def is_signed_header(part: str) -> str | None:
+    """The algorithm that a token's header names."""
+    header = json_object(part)
     algorithm = header.get("alg") if header else None
-    signed = isinstance(algorithm, str) and (bool(mark) or algorithm.lower() == "none")
-    return signed and json_object(body) is not None
+    return algorithm if isinstance(algorithm, str) else None
+
+
+def signed_tokens(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the signed tokens in a dotted run, each three parts of it.
+
+    A header begins with its part or, where something stands glued in front of it, at the part's first ``eyJ``. No part is
+    decoded more often than twice as a header and once as a body, so a run takes time in proportion to its length.
+    """
+    parts, starts = run.split("."), [0]
+    for part in parts:
+        starts.append(starts[-1] + len(part) + 1)
+    i = 0
+    while i + 2 < len(parts):
+        glued = parts[i].find(OBJECT)
+        begins = [0] if BLANK_OBJECT.match(parts[i]) else []
+        begins += [glued] if glued > 0 else []
+        named = next(((at, found) for at in begins if (found := is_signed_header(parts[i][at:]))), None)
+        if named and (parts[i + 2] or named[1].lower() == "none") and json_object(parts[i + 1]) is not None:
+            yield starts[i] + named[0], starts[i + 3] - 1
+            i += 3
+        else:
+            i += 1
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -162,7 +186,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
     for m in BASE64.finditer(text):
         if size := key_length(from_base64(m[0])):
             found.append((m.start(), 3, m.start() + encoded_end(m[0], size)))
-    found += [(m.start(), 4, m.end()) for m in DOTTED.finditer(text) if is_signed_token(m[0])]
+    found += [(m.start() + a, 4, m.start() + b) for m in DOTTED.finditer(text) for a, b in signed_tokens(m[0])]
     return sorted(found)
 
 
