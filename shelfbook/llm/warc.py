@@ -6,15 +6,15 @@ equal payloads meet at their digest through one aggregated row, so a payload tha
 group. Files are written by Spark's text writer, whose line end is the record end, gzipped, with at most
 ``RECORDS`` records each; they reach any store that Spark reaches.
 
-Reading: each archive file is parsed by the lengths in its heads, payload digests are checked, and its captures,
-sorted by URL key and time, form a run. Runs are dealt to ranges of the key, and each range merges its runs by
+Reading: each archive file is unzipped piece by piece and parsed by the lengths in its heads, so that a record and no more
+is in memory beside the zipped file, payload digests are checked, and its captures, sorted by URL key and time, form a run. Runs are dealt to ranges of the key, and each range merges its runs by
 a loser tree, which replays one path of comparisons per capture. Ranges hold about ``RANGE`` captures, so the
 merge needs bounded memory, and one URL with very many captures is cut into several ranges.
 
 A null payload is empty, a null URL gives an empty target. Rows of one id each give a record; the smallest id
 of a payload is its response, and where rows repeat that id each is a response. A null id is never
 anyone's response and has none: it stays a response itself. Columns other than the id, URL and
-payload are ignored, ``captured`` (a timestamp) is used if named.
+payload are ignored, ``captured`` (a timestamp) is used if named; else the time follows from the id, whatever its size.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ RECORDS = 2000  # of a file
 RANGE = 50_000  # captures that one merge task takes
 END = "\r\n\r\n"  # of a head, and of a record
 EPOCH = "2024-01-01T00:00:00Z"
+SPAN = 1 << 31  # seconds behind EPOCH among which times are derived from ids
+PIECE = 1 << 20  # bytes that are unzipped at once
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = (
     "url_key string, captured string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
@@ -44,7 +46,8 @@ CAPTURE = (
 
 def with_types(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", captured: str | None = None) -> DataFrame:
     """(page_id, url, payload, captured, bytes, digest, first): ``first`` is the response that a revisit refers to."""
-    when = F.col(captured) if captured else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce(F.col(id_column), F.lit(0)))
+    derived = F.pmod(F.coalesce(F.col(id_column).cast("bigint"), F.lit(0)), F.lit(SPAN))
+    when = F.col(captured) if captured else F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + derived)
     plain = pages.select(
         F.col(id_column).cast("bigint").alias("page_id"), F.coalesce(url_column, F.lit("")).alias("url"),
         F.coalesce(payload_column, F.lit("")).alias("payload"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
@@ -91,20 +94,44 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(labels))}){(path or '/').lower()}"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(head, block) of every record of an archive file, whatever its blocks hold."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file of any number of members, in pieces of at most ``PIECE`` bytes."""
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            piece = member.decompress(data, PIECE)
+            if not piece and not member.unconsumed_tail and not member.eof:
+                raise ValueError("an archive is cut short")
+            data = member.unconsumed_tail
+            yield piece
+        data = member.unused_data
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(head, block) of every record of an archive, whatever its blocks hold; one record at a time is in memory."""
+    held = bytearray()
+
+    def fill(size: int) -> bool:
+        while len(held) < size and (piece := next(pieces, None)) is not None:
+            held.extend(piece)
+        return len(held) >= size
+
+    while fill(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            known = len(held)
+            if not fill(known + 1):
+                raise ValueError("a record is cut short")
+            end = held.find(b"\r\n\r\n", max(0, known - 3))
+        version, *lines = held[:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError("no record where one should begin")
         head = dict(line.split(": ", 1) for line in lines)
-        size = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        if len(block) != size or data[at - 4 : at] != b"\r\n\r\n":
+        last = end + 4 + int(head["Content-Length"])
+        if not fill(last + 4) or held[last : last + 4] != b"\r\n\r\n":
             raise ValueError("a record is cut short")
+        block = bytes(held[end + 4 : last])
+        del held[: last + 4]
         yield head, block
 
 
@@ -132,16 +159,13 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = zlib.decompress(content.as_buffer(), wbits=31)
                 name = archive.as_py().rpartition("/")[2]
-                found = [(*capture(*r), name, i) for i, r in enumerate(records(data))]
+                found = [(*capture(*r), name, i) for i, r in enumerate(records(unzipped(content.as_buffer().to_pybytes())))]
                 found.sort(key=sort_key)
                 yield _batch([(*row[:8], i) for i, row in enumerate(found)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file is large; one at a time
-    found = pin(files.mapInArrow(rows, CAPTURE))
-    return found
+    return pin(files.mapInArrow(rows, CAPTURE))
 
 
 _TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32()]
@@ -198,7 +222,6 @@ def histories(captures: DataFrame, rows_of_range: int = RANGE) -> DataFrame:
 
     ranges = max(1, -(-captures.count() // rows_of_range))
     dealt = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "place")
-    captures.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.mapInArrow(merged, CAPTURE)
 
 

@@ -516,6 +516,30 @@ def test_round_trip_of_odd_pages(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_ids_of_any_size_have_a_time(spark, tmp_path):
+    ids = [2**62, 2**63 - 1, -(2**63), -1, 10**13, 0, None]
+    pages = spark.createDataFrame([(i, f"http://x.org/{i}", f"page {i}") for i in ids], "page_id bigint, url string, html string")
+    got = warc.round_trip(pages, str(tmp_path / "large")).collect()
+    assert Counter(r.page_id for r in got) == Counter(ids)
+    assert all(re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.captured) for r in got)
+
+
+def test_archives_are_read_piece_by_piece(monkeypatch):
+    import gzip
+
+    heads = [({"WARC-Type": "response", "n": str(i)}, (b"\r\n\r\nWARC/1.1 " * i)) for i in range(40)]
+    plain = [b"WARC/1.1\r\nWARC-Type: response\r\nn: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b) for i, (_, b) in enumerate(heads)]
+    zipped = gzip.compress(b"".join(plain[:7])) + gzip.compress(b"".join(plain[7:]))
+    for size in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", size)
+        got = [(h["n"], b) for h, b in warc.records(warc.unzipped(zipped))]
+        assert got == [(h["n"], b) for h, b in heads]
+        assert all(len(p) <= size for p in warc.unzipped(zipped))
+    for bad in (zipped[:-30], gzip.compress(b"".join(plain)[:-1]), gzip.compress(b"x" + plain[0])):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.unzipped(bad)))
+
+
 def test_histories_keep_order_over_many_ranges(spark, tmp_path):
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("id") % 3).alias("url"), F.lit("p").alias("html"))
     warc.write_archives(pages.repartition(7), str(tmp_path / "a"))
