@@ -5,15 +5,16 @@ words differ. Windows of benchmark items and of documents are joined on (mask, h
 verified on the words around it: it counts if some ``OVERLAP`` aligned words (or a whole item that has
 fewer) hold at least ``MATCH`` percent equal words. The masks leave out every pair of places of a window of
 ``OVERLAP`` words at some shift, and items with fewer words have masks of their own that leave out as many places as
-may differ there, so no pattern of changes that counts can hide a hit. Items under ``FEWEST`` words are
-too short to tell a leak from common speech and are left out.
+may differ there, so no pattern of changes that counts can hide a hit. Items under ``FEWEST`` words are looked for
+as wholes, word by word; those under ``fewest`` words (a parameter, ``WHOLE`` unless given) are left out, as common speech
+would hold them.
 
 Few document windows share a hash with the benchmark, so a Bloom filter of the benchmark's hashes, of
 bounded size however large the benchmark is, goes to all tasks and lets the others drop out before the join.
 What passes by chance fails the join; nothing is lost. Words around each hit travel along, 4 bytes each.
 
 Words are runs of letters and digits in lower case, so neither case nor marks around words hide a leak; any
-character beyond ASCII counts as a letter.
+character beyond ASCII counts as a letter. In scripts that put no blanks between words every character is a word.
 
 A null text has no words. A null id is an id like any other: its rows share one result row. Repeated rows
 count once. Columns other than the id and the text are ignored.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -46,6 +47,9 @@ SHORT = {
 OVERLAP = 13
 MATCH = 80  # percent
 FEWEST = 8
+WHOLE = 4
+# Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+UNBLANKED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 AROUND = SPAN + 2 * (OVERLAP - 1)  # words that travel with a hit
 LEAST_BITS, MOST_BITS = 20, 28  # of the filter: 128 KB to 32 MB
 _WORD_SEED = 11
@@ -72,7 +76,18 @@ def _starts(first: np.ndarray, span: int) -> np.ndarray:
 
 def _needed(size: int) -> int:
     """Equal words that an item of ``size`` words asks for."""
-    return -(-min(size, OVERLAP) * MATCH // 100)
+    return size if size < FEWEST else -(-min(size, OVERLAP) * MATCH // 100)
+
+
+def _masks(size: int) -> tuple[str, ...]:
+    """The masks of items of ``size`` words."""
+    return ("1" * size,) if size < FEWEST else SHORT.get(size, MASKS)
+
+
+def _spaced(text_column: str) -> Column:
+    """The text in lower case, with blanks around the characters that are words."""
+    low = F.lower(text_column)
+    return F.when(low.rlike(UNBLANKED), F.regexp_replace(low, UNBLANKED, " $1 ")).otherwise(low)
 
 
 def _around(word: np.ndarray, first: np.ndarray, text: np.ndarray, start: np.ndarray, outside: int) -> np.ndarray:
@@ -88,7 +103,7 @@ def _rows(marks: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * AROUND), len(marks), [None, pa.py_buffer(np.ascontiguousarray(marks))]).cast(pa.binary())
 
 
-def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", fewest: int = WHOLE) -> DataFrame:
     """(hash, item, needed, around) of every window; alike windows count once, under the smallest item."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +112,8 @@ def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_col
                 found = words.split_words(*words.text_bytes(piece.column(1)), words.MARKS)
                 word = words.xxh64(found.data, found.start, found.end, _WORD_SEED)
                 sizes = np.diff(found.first)
-                for n in np.unique(sizes[sizes >= FEWEST]):
-                    for mask in SHORT.get(int(n), MASKS):
+                for n in np.unique(sizes[sizes >= max(1, fewest)]):
+                    for mask in _masks(int(n)):
                         start = _starts(found.first, len(mask))
                         text = np.searchsorted(found.first, start, "right") - 1
                         start, text = start[sizes[text] == n], text[sizes[text] == n]
@@ -113,7 +128,7 @@ def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_col
                             ["hash", "item", "needed", "around"],
                         )
 
-    plain = benchmark.select(F.col(id_column).cast("bigint").alias("id"), F.lower(text_column).alias("text"))
+    plain = benchmark.select(F.col(id_column).cast("bigint").alias("id"), _spaced(text_column).alias("text"))
     windows = plain.mapInArrow(rows, "hash bigint, item bigint, needed int, around binary")
     return windows.groupBy("hash", "needed", "around").agg(F.min("item").alias("item"))
 
@@ -170,7 +185,7 @@ def candidates(
                         ["hash", "id", "place", "around"],
                     )
 
-    plain = docs.select(F.col(id_column).cast("bigint").alias("id"), F.lower(text_column).alias("text"))
+    plain = docs.select(F.col(id_column).cast("bigint").alias("id"), _spaced(text_column).alias("text"))
     return small_batches(plain).mapInArrow(rows, "hash bigint, id bigint, place bigint, around binary")
 
 
@@ -194,15 +209,15 @@ def verified(hits: DataFrame) -> DataFrame:
     return hits.mapInArrow(rows, "id bigint, item bigint, place bigint, equal int")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", fewest: int = WHOLE) -> DataFrame:
     """One row per contaminated document: its id, the items found in it, the first place and the best overlap.
 
     ``item_id`` is the smallest item found; ``n_items`` counts items that differ where they were found.
     """
-    tests = pin(benchmark_windows(benchmark))
+    tests = pin(benchmark_windows(benchmark, fewest=fewest))
     filled, bits = bloom(tests)
     short = {row.needed for row in tests.select("needed").distinct().collect()}  # OVERLAP values at most
-    masks = sorted({m for n in range(FEWEST, OVERLAP + 1) if _needed(n) in short for m in SHORT.get(n, MASKS)})
+    masks = sorted({m for n in range(max(1, fewest), OVERLAP + 1) if _needed(n) in short for m in _masks(n)})
     hits = candidates(docs, filled, bits, masks, id_column).join(tests.withColumnRenamed("around", "item_around"), "hash")
     found = verified(hits)
     by_item = found.groupBy("id", "item").agg(F.min("place").alias("place"), F.max("equal").alias("equal"))
@@ -212,9 +227,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> D
     return by_doc.withColumnRenamed("id", id_column)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, fewest: int = WHOLE) -> DataFrame:
     """The rows without benchmark text. Each row is judged by its own text, whatever its id or other rows of that id."""
     texts = docs.select(F.xxhash64("text").alias("row"), "text")
     (mark,) = fresh(docs.columns, "_text_hash")
-    bad = pin(leaks(texts, benchmark, "row").select(F.col("row").alias(mark)))
+    bad = pin(leaks(texts, benchmark, "row", fewest).select(F.col("row").alias(mark)))
     return docs.join(bad, F.xxhash64("text") == F.col(mark), "left_anti")

@@ -122,6 +122,23 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_items_and_unblanked_scripts_are_found(spark):
+    chinese = "".join(chr(0x4E00 + 37 * i) for i in range(24))
+    changed = chinese[:5] + "水火" + chinese[7:]
+    items = {1: "one two three four five", 2: chinese, 3: "alpha beta gamma", 4: "ภาษา" * 5, 5: "a b c d e f g"}
+    texts = {
+        10: "say One, two; three FOUR five now", 11: "one two three four", 12: "one two three x five six", 13: f"前{chinese}。end", 14: changed,
+        15: chinese[::-1], 16: "alpha beta gamma", 17: f"x{items[4]}y", 18: "a b c d e f g", 19: "a b c x e f g a b c d e f", 20: None,
+    }
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    benchmark = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    found = lambda **more: {r.doc_id: r.item_id for r in decontaminate.leaks(docs, benchmark, **more).collect()}
+    assert found() == {10: 1, 13: 2, 14: 2, 17: 4, 18: 5}
+    assert found(fewest=1) == {10: 1, 13: 2, 14: 2, 16: 3, 17: 4, 18: 5}
+    assert set(found(fewest=8)) == {13, 14, 17}
+    assert decontaminate.drop_leaks(docs, benchmark).count() == len(texts) - 5
+
+
 def test_two_changed_words_in_twenty_never_hide_a_leak():
     span = decontaminate.SPAN
     for a in range(20):
