@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import is_true
@@ -240,6 +240,22 @@ def account_activity(logs: DataFrame, notes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, entries).orderBy("ct_consign_id", "kind", F.desc("created_ts"))
 
 
+def recent_activity(logs: DataFrame, notes: DataFrame, most: int) -> DataFrame:
+    """The newest ``most`` entries of each account and kind, numbered from the newest; entries of one instant by id.
+
+    Every task keeps ``most`` entries of an account before anything is shuffled, so a busy account is no bottleneck.
+    """
+    entries = [
+        df.filter(F.col("ref") == "ct_consign").select(
+            F.col("ref_id").alias("ct_consign_id"), F.lit(kind).alias("kind"), "entry_id", "created_ts", "message"
+        )
+        for kind, df in (("log", logs), ("note", notes))
+    ]
+    newest = Window.partitionBy("ct_consign_id", "kind").orderBy(F.desc("created_ts"), F.desc("entry_id"))
+    every = reduce(DataFrame.unionByName, entries).withColumn("place", F.row_number().over(newest))
+    return every.filter(F.col("place") <= most)
+
+
 def reject_invalid_discounts(requests: DataFrame, orders: DataFrame) -> DataFrame:
     """Discount requests (request_id, order_id, percent as text) that must be refused, with the reason."""
     heads = orders.select("order_id", "close_ts", "discount")

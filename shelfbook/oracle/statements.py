@@ -725,6 +725,14 @@ FINALS["account_activity"] = """
 SELECT CASE WHEN event_type = 'error' THEN 'note' ELSE 'log' END AS kind, user_id % 100 AS ct_consign_id, ts AS created_ts,
   props AS message FROM events WHERE event_id % 4 <> 0"""
 
+FINALS["recent_activity"] = """
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY ct_consign_id, kind ORDER BY created_ts DESC, entry_id DESC) AS INTEGER) AS place FROM (
+    SELECT user_id % 100 AS ct_consign_id, CASE WHEN event_type = 'error' THEN 'note' ELSE 'log' END AS kind, event_id AS entry_id,
+      ts AS created_ts, props AS message
+    FROM events WHERE event_id % 4 <> 0)
+) WHERE place <= 10"""
+
 # Text, keys, validation
 
 FINALS["search_consignors"] = """

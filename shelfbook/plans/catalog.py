@@ -889,6 +889,11 @@ def account_activity(s: Shop):
     return repairs.account_activity(s.logs, s.notes)
 
 
+@query
+def recent_activity(s: Shop):
+    return repairs.recent_activity(s.logs, s.notes, most=10)
+
+
 # Text, keys, validation
 
 

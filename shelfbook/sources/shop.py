@@ -384,6 +384,7 @@ class Shop:
         return self.table("events").filter(wanted).select(
             F.when(C("event_id") % 4 == 0, "check").otherwise("ct_consign").alias("ref"),
             (C("user_id") % 100).alias("ref_id"), C("ts").alias("created_ts"), C("props").alias("message"),
+            C("event_id").alias("entry_id"),
         )
 
 

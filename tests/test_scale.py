@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfbook.functions.keys import next_ids, number_rows, running_totals
 from shelfbook.functions.pairing import theta_join
-from shelfbook.operators import ledger, payments, sales
+from shelfbook.operators import ledger, payments, repairs, sales
 from shelfbook.plans.catalog import QUERIES
 
 
@@ -175,3 +175,18 @@ def test_theta_joins_pair_every_row_once(spark, few, cell):
     assert ("NestedLoop" in text) == (few >= 23) and "CartesianProduct" not in text
     assert theta_join(left, right.limit(0), F.col("a") < F.col("b"), few, cell).count() == 0
     assert theta_join(left.limit(0), right, F.col("a") < F.col("b"), few, cell).count() == 0
+
+
+def test_newest_entries_are_cut_before_the_shuffle(spark):
+    rows = [("ct_consign", 7 if i % 3 else i % 40, dt.datetime(2024, 1, 1 + i % 5), f"m{i}", i) for i in range(900)] + [("check", 7, dt.datetime(2025, 1, 1), "x", -1)]
+    logs = spark.createDataFrame(rows, "ref string, ref_id bigint, created_ts timestamp_ntz, message string, entry_id bigint").repartition(6)
+    got = repairs.recent_activity(logs, logs.limit(0), most=4)
+    expected = {}
+    for ref, key, at, _, entry in rows:
+        if ref == "ct_consign":
+            expected.setdefault(key, []).append((at, entry))
+    assert {(r.ct_consign_id, r.place): r.entry_id for r in got.collect()} == {
+        (k, n): e for k, v in expected.items() for n, (_, e) in enumerate(sorted(v, reverse=True)[:4], 1)
+    }
+    text = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "WindowGroupLimit" in text.split("Exchange hashpartitioning")[-1]  # below the shuffle
