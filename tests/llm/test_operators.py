@@ -485,6 +485,57 @@ def test_scores_do_not_depend_on_what_stands_around():
     assert bytenet.score(net, raw, rows) == pytest.approx(alone, abs=1e-6)
 
 
+def plain_score(net, text):
+    """The network's probability by loops over chunks, places, filters and bytes."""
+    steps = max(-(-len(text) // bytenet.STRIDE), 1)
+    symbols = [*text] + [bytenet.NO_BYTE] * (steps * bytenet.STRIDE + bytenet.KERNEL)
+    hop, reach = (bytenet.CHUNK - bytenet.OVERLAP) // bytenet.STRIDE, bytenet.CHUNK // bytenet.STRIDE
+    firsts = [0]
+    while firsts[-1] + reach < steps:
+        firsts.append(firsts[-1] + hop)
+    tops = []
+    for first in firsts:
+        best = [-math.inf] * bytenet.FILTERS
+        for place in range(first, min(first + reach, steps)):
+            window = symbols[place * bytenet.STRIDE :][: bytenet.KERNEL]
+            seen = [float(x) for b in window for x in net.embed[b]]
+            for f in range(bytenet.FILTERS):
+                best[f] = max(best[f], sum(a * float(net.filters[i, f]) for i, a in enumerate(seen)))
+        tops.append([max(b + float(net.bias[f]), 0) for f, b in enumerate(best)])
+    found = [sum(t[f] for t in tops) / len(tops) for f in range(bytenet.FILTERS)] + [max(t[f] for t in tops) for f in range(bytenet.FILTERS)]
+    return 1 / (1 + math.exp(-sum(a * float(b) for a, b in zip(found, net.out, strict=True)) - float(net.level[0])))
+
+
+def test_scores_equal_plain_loops():
+    net = bytenet.new_net(3)
+    net.bias[:] = np.linspace(-1, 1, bytenet.FILTERS)
+    net.level[0] = 0.3
+    r = random.Random(1)
+    for size in (0, 1, 3, 4, 5, 8, 9, 960, 1024, 1025, 2100):
+        text = bytes(r.randrange(256) for _ in range(size))
+        got = bytenet.score(net, np.frombuffer(text, np.uint8), np.array([0, size]))[0]
+        assert got == pytest.approx(plain_score(net, text), abs=1e-5), size
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else i, f"text {i}", "s") for i in range(300)] + [(None, None, "s"), (7, "text 0", "s")]
+    placed = sharding.place(docs_of(spark, rows), fallback=("source",))
+    sharding.write_shards(placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards")).select(*placed.columns)
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, placed.collect()))
+    hot = {r.shard for r in placed.filter("doc_id = 7").collect()}
+    assert len(hot) == 1 and (tmp_path / "shards" / f"shard={hot.pop()}").is_dir()
+
+
+def test_placement_of_the_test_table_equals_the_table(spark):
+    table = sharding.lookup_table(sharding.SHARDS)
+    ids = [r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    slots = {i: signed(xxhash.xxh64_intdigest(str(i).encode(), 42)) % sharding.SLOTS for i in ids}
+    got = queries.op6_sharding(spark, SF_DIR).collect()
+    assert Counter((r.doc_id, r.slot, r.shard) for r in got) == Counter((i, slots[i], table[slots[i]]) for i in ids)
+
+
 def test_held_out_accuracy_and_edge_rows(spark):
     r = random.Random(4)
     rows = [(i, prose(i, 80) if i % 2 else prose(i, 80).upper().replace(" ", "!! ")) for i in range(300)]
