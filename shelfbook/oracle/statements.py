@@ -825,6 +825,7 @@ FROM m_orders""",
 FINALS["stream_daily_payments"] = """
 SELECT CAST(process_ts AS DATE) AS day, CASE WHEN payment_method_id IN (3, 4) THEN 'Credit/Gift' ELSE 'Cash/Check/CC' END AS type,
   CAST(sum(amount) AS DECIMAL(20,2)) AS total FROM m_cp GROUP BY 1, 2"""
+FINALS["stream_daily_sums"] = FINALS["stream_daily_payments"]
 FINALS["stream_name_sync"] = FINALS["propagate_name_changes"]
 FINALS["stream_till_balance"] = FINALS["till_running_balance"]
 

@@ -1011,6 +1011,11 @@ def stream_daily_payments(s: Shop):
     return streams.daily_payments_report(s, inputs.scratch(s))
 
 
+@query
+def stream_daily_sums(s: Shop):
+    return streams.daily_sums_report(s, inputs.scratch(s))
+
+
 @query
 def stream_name_sync(s: Shop):
     return streams.name_sync_report(s, inputs.scratch(s))

@@ -17,7 +17,7 @@ from ..functions.money import is_true, money, total
 from ..operators.sales import payment_class
 from ..session import pin
 from ..sources.shop import Shop
-from ..sources.swap import Folder
+from ..sources.swap import STAGED, Folder
 
 
 class StreamShop(Shop):
@@ -79,6 +79,65 @@ def daily_payments_report(shop: Shop, folder: str) -> DataFrame:
     return latest_rows(shop.spark, folder, ["day", "type"], DAILY)
 
 
+SUMS = "day date, type string, total decimal(20,2)"
+FOLD = 50  # batches after which the sums of days are put together
+
+
+def _day_sums(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The sums that are in force, a row or more a day and class, and the last batch that was put together."""
+    place = Folder(spark, folder)
+    base = max((int(n.partition("=")[2]) for n in place.names("base") if n.startswith("upto=")), default=-1)
+    parts = [f"base/upto={base}"] if base >= 0 else []
+    parts += [f"days/{n}" for n in place.names("days") if n.startswith("batch=") and int(n.partition("=")[2]) > base]
+    if not parts:
+        return spark.createDataFrame([], SUMS), base
+    return spark.read.schema(SUMS).parquet(*[f"{folder}/{p}" for p in parts]), base
+
+
+def _added_up(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("day", "type").agg(total("total").alias("total"))
+
+
+def _fold(spark: SparkSession, folder: str, number: int) -> None:
+    """Put the sums up to a batch together; older parts go when the new one is in place."""
+    place = Folder(spark, folder)
+    if not place.exists(f"base/upto={number}"):
+        staged = f"base/{STAGED}{number}"
+        _added_up(_day_sums(spark, folder)[0]).write.mode("overwrite").parquet(f"{folder}/{staged}")
+        place.move(staged, f"base/upto={number}")
+    for kind, name in (("base", "upto="), ("days", "batch=")):
+        for n in place.names(kind):
+            if n.startswith(name) and int(n.partition("=")[2]) < number + (kind == "days"):
+                place.delete(f"{kind}/{n}")
+
+
+def daily_sums(payments: DataFrame, methods: DataFrame, folder: str, fold: int = FOLD) -> StreamingQuery:
+    """Payments per day and class without any state in the stream: a batch adds its own sums, late money to its own day.
+
+    Every ``fold`` batches the sums are put together, so what is kept and read is a row per day and class and a few
+    batches' rows, however long the stream runs.
+    """
+
+    def carry(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number > _day_sums(spark, folder)[1]:  # else a repeat of a batch that is in the base already
+            daily_payments(batch, methods).write.mode("overwrite").parquet(f"{folder}/days/batch={number}")
+        if number % fold == fold - 1:
+            _fold(spark, folder, number)
+
+    return run(payments, folder, carry)
+
+
+def daily_sums_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _added_up(_day_sums(spark, folder)[0])
+
+
+def daily_sums_report(shop: Shop, folder: str) -> DataFrame:
+    source = StreamShop(shop.spark, shop.sf_dir)
+    daily_sums(source.customer_payments, shop.methods, folder).awaitTermination()
+    return daily_sums_rows(shop.spark, folder)
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 

@@ -108,6 +108,26 @@ def test_late_payments_count(spark, shop, tmp_path):
     assert got == [(dt.date(2024, 1, 10), "2.00"), (dt.date(2024, 1, 20), "1.00")]
 
 
+def test_daily_sums_keep_no_state_and_count_late_money(spark, shop, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    r, arrived = random.Random(5), []
+    place = streams.Folder(spark, out)
+    for i in range(7):
+        rows = [(10 * i + k, 0, r.choice([1, 2, 3, 4]), D(r.randint(-300, 900)) / 100, dt.datetime(2024, 1, r.randint(1, 4))) for k in range(6)]
+        arrived += rows
+        spark.createDataFrame(rows, PAYMENTS).coalesce(1).write.mode("append").parquet(source)
+        if i == 2:  # the third batch is put together, then dies before it counts as done
+            with monkeypatch.context() as patch:
+                patch.setattr(streams.Folder, "delete", lambda *_: 1 / 0)
+                with pytest.raises(Exception):  # noqa: B017
+                    streams.daily_sums(_stream(spark, source, PAYMENTS), shop.methods, out, fold=3).awaitTermination()
+        streams.daily_sums(_stream(spark, source, PAYMENTS), shop.methods, out, fold=3).awaitTermination()
+        whole = streams.daily_payments(spark.createDataFrame(arrived, PAYMENTS), shop.methods)
+        assert fx.rows(streams.daily_sums_rows(spark, out)) == fx.rows(whole)
+        assert len(place.names("base")) <= 1 and len([n for n in place.names("days") if n.startswith("batch=")]) <= 2
+    assert streams.daily_sums_rows(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_name_sync_keeps_the_latest_name(spark, tmp_path):
     schema = "ct_consign_id bigint, name string, vendor_id bigint, customer_id bigint"
     before = spark.createDataFrame([(1, "A", 101, 11), (2, "B", None, 12)], schema)
