@@ -33,6 +33,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,10 @@ END_ID = 2
 BLOCK = 16 << 20  # bytes of token ids in a file, beyond which it ends with its document
 KEYS = 1 << 12  # of an index table, on average
 REMEMBERED = 1 << 20  # words whose ids a worker keeps, beside those of the batch at hand
+MOST_MARKS = 1 << 14  # runs of marks whose ids a worker keeps
 LONGEST_WORD = 40  # bytes of a word that is remembered
+PIECE = 4 << 20  # bytes of texts that are encoded together
+LONG_TEXT = 16 << 20  # bytes of a text that is encoded in parts
 FEW_BLOCKS = 1000  # that ``fetch`` opens by name
 MOST_BYTES = 64 << 20  # of a vocabulary file, which every task gets
 MAGIC, MAGIC_END = b"IDBLOCK1", "IDBLOCK/"
@@ -84,6 +88,7 @@ class Encoder:
         self.drops_blanks = all(not one(b) and one(f"ab{b}.c") == one("ab") + one(".c") for b in BLANKS) and len(one(_MARK)) == 1
         self.mark = one(_MARK)[0] if self.drops_blanks else None
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.quick, self.last = None, None
         said = json.loads(content)
         suffix = said["model"].get("end_of_word_suffix")
@@ -124,35 +129,79 @@ class Encoder:
             found |= self._cut(group, ids, np.append(0, ends[:-1]), ends)
         return found
 
+    def _of_marks(self, marks: str) -> bytes:
+        """Ids of a run of marks; there are few, so each is encoded when it first comes up."""
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) >= MOST_MARKS:
+                self.marks.clear()
+            ids = self.marks[marks] = self._ids([marks])[0].tobytes()
+        return ids
+
     def _of_words(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words; those of letters with marks around are put together from these pieces."""
         if not self.quick or not missing:
             return self._by_mark(missing)
         low = b"\n".join(missing).decode().lower()
-        cores, lines = LETTERS.findall(low), low.split("\n")
-        marked = [(w, *line.partition(core)) for w, line, core in zip(missing, lines, cores, strict=True) if core and len(core) != len(line)]
+        cores = LETTERS.findall(low)
         by_letters = self._of_letters([*{*cores} - {""}])
-        marks = {m.encode() for _, before, _, behind in marked for m in (before, behind) if m}
-        by_mark = self._by_mark([*marks.union(w for w, core in zip(missing, cores, strict=True) if not core)])
-        found = {w: by_letters[core] if core else by_mark[w] for w, core in zip(missing, cores, strict=True)}
-        for w, before, _, behind in marked:
-            found[w] = (by_mark[before.encode()] if before else b"") + found[w] + (by_mark[behind.encode()] if behind else b"")
-        return found
+        found, odd = {}, []
+        for word, line, core in zip(missing, low.split("\n"), cores, strict=True):
+            if not core:
+                odd.append(word)
+                continue
+            ids = by_letters[core]
+            if len(line) != len(core):
+                before, _, behind = line.partition(core)
+                if before:
+                    ids = self._of_marks(before) + ids
+                if behind:
+                    ids += self._of_marks(behind)
+            found[word] = ids
+        return found | self._by_mark(odd)
+
+    def _of_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of a text column's words, and where those of each text begin and end.
+
+        Distinct words are found by Arrow, looked up once each, and their ids put in the words' places by whole arrays.
+        """
+        lists = pc.ascii_split_whitespace(column)
+        cut = lists.flatten().dictionary_encode()
+        distinct = cut.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.known.get, distinct)]
+        missing = [w for w, known in zip(distinct, ids, strict=True) if known is None]
+        if missing:
+            found = self._of_words(missing)
+            ids = [found[w] if known is None else known for w, known in zip(distinct, ids, strict=True)]
+            if len(self.known) + len(found) > REMEMBERED:
+                self.known.clear()
+            self.known |= {w: found[w] for w in missing if len(w) <= LONGEST_WORD}
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        word = cut.indices.to_numpy()
+        many = size[word]
+        ends = np.cumsum(many)
+        place = np.repeat(first[word] - (ends - many), many) + np.arange(many.sum())
+        offsets = lists.offsets.to_numpy()
+        return np.frombuffer(b"".join(ids), self.dtype)[place], np.append(0, ends)[offsets - offsets[0]]
+
+    def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of a text column, one text behind the other, and where each text's begin and the last's end."""
+        column = column.cast(pa.string()).fill_null("")
+        if not len(column):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        if not self.drops_blanks:
+            found = self._ids(column.to_pylist())
+            return np.concatenate(found), np.cumsum([0, *map(len, found)])
+        if len(column) > 1 or pc.binary_length(column[0]).as_py() <= LONG_TEXT:
+            return self._of_column(column)
+        parts = [self._of_column(pa.array([part], pa.string()))[0] for part in words.stretches(column[0].as_py().encode(), LONG_TEXT)]
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.drops_blanks:
-            return [x.tobytes() for x in self._ids([t or "" for t in texts])]
-        cut = [(t or "").encode().split() for t in texts]
-        found = self._of_words([*filterfalse(self.known.__contains__, set().union(*cut))])
-        self.known |= found
-        ids = [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        else:
-            for w in found:
-                if len(w) > LONGEST_WORD:
-                    del self.known[w]
-        return ids
+        """Token ids of each text as bytes."""
+        found, at = self.tokens(pa.array(texts, pa.string()))
+        return [found[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -219,15 +268,15 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([pack(dtype, task, number, ids, tokens)], pa.binary())], ["value"])
 
         for batch in batches:
-            for piece in words.pieces(batch, "text"):
-                for key, found in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
-                    if dtype != coder.dtype:
-                        found = np.frombuffer(found, coder.dtype).astype(dtype).tobytes()
-                    if ids and held + len(found) > block:
+            for piece in words.pieces(batch, "text", PIECE):
+                found, at = coder.tokens(piece.column(1))
+                found = found.astype(dtype, copy=False)
+                for key, first, last in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if ids and held + (last - first) * dtype.itemsize > block:
                         yield full()
                         ids, tokens, held, number = [], [], 0, number + 1
                     ids.append(key)
-                    tokens.append(found + end)
+                    tokens.append(found[first:last].tobytes() + end)
                     held += len(tokens[-1])
         if ids:
             yield full()
@@ -236,7 +285,7 @@ def write_ids(
     # Rows of one id, and copies of one text among them, may fall into several ranges.
     order = [F.col("id").isNull(), F.col("id"), F.xxhash64("text"), F.col("spread")]
     dealt = plain.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = small_batches(dealt.select("id", "text")).mapInArrow(rows, "value binary")
+    blocks = small_batches(dealt.select("id", "text"), 2000).mapInArrow(rows, "value binary")
     blocks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", MAGIC_END).option("maxRecordsPerFile", 1).text(
         f"{path}/ids"
     )
