@@ -747,6 +747,9 @@ FROM m_requests"""
 FINALS["next_ids"] = """
 SELECT order_payment_id, CAST((SELECT max(order_id) FROM m_orders) + row_number() OVER (ORDER BY order_payment_id) AS BIGINT)
   AS order_id FROM m_op"""
+FINALS["reserved_ids"] = """
+SELECT order_payment_id, CAST((SELECT max(order_id) FROM m_orders) + 1000 + row_number() OVER (ORDER BY order_payment_id) AS BIGINT)
+  AS order_id FROM m_op"""
 FINALS["validate_new_accounts"] = "SELECT request_id, name, cash, consign_percent, consign_fee, missing FROM m_valid"
 FINALS["reject_invalid_discounts"] = """
 SELECT * FROM (

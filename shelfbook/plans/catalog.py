@@ -12,7 +12,7 @@ from ..functions import keys, text
 from ..operators import accounts, balances, checks, edits, imports, ledger, payments, payouts, repairs, sales, spending
 from ..operators.entries import CONSIGNOR, GIFT, PAYABLE, RECEIVABLE
 from ..session import size_shuffles, tune
-from ..sources import files
+from ..sources import files, ranges
 from ..sources.shop import MANUAL_SALE, Shop
 from ..streaming import streams
 from . import inputs, journeys
@@ -924,6 +924,17 @@ def next_ids(s: Shop):
     return keys.next_ids(s.orders, "order_id", new, ["order_payment_id"], "order_id")
 
 
+@query
+def reserved_ids(s: Shop):
+    """Behind the range of another run; the second call of the run gets the ids of the first."""
+    path, new = inputs.scratch(s), s.order_payments.select("order_payment_id")
+    ranges.reserve(s.spark, path, "another run", 1000, s.orders, "order_id")
+    first, again = (
+        ranges.reserved_ids(path, "this run", s.orders, "order_id", new, ["order_payment_id"], "order_id") for _ in range(2)
+    )
+    return first.intersectAll(again)
+
+
 @query
 def validate_new_accounts(s: Shop):
     return accounts.validate_new_accounts(inputs.account_requests(s)).select(

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 STAGED, JOURNAL = ".staged-", "_swap.json"  # names that Spark's readers pass over
@@ -21,7 +22,7 @@ class Folder:
     """A folder of a store that Spark reaches."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path
+        self.jvm, self.path, self.gateway = spark._jvm, path, spark.sparkContext._gateway
         self.fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, path: str):
@@ -50,13 +51,30 @@ class Folder:
 
     def write(self, name: str, text: str) -> None:
         """A file that is there whole or not at all."""
+        self.move(self._part(text), name)
+
+    def write_new(self, name: str, text: str) -> bool:
+        """The same, unless there is such a file already; then it stays and the answer is no."""
+        part = self._part(text)
+        names = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+        options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            names.rename(self._at(f"{self.path}/{part}"), self._at(f"{self.path}/{name}"), options)
+        except Py4JJavaError:
+            self.delete(part)
+            if self.exists(name):
+                return False
+            raise
+        return True
+
+    def _part(self, text: str) -> str:
         part = f"{STAGED}{uuid.uuid4().hex}.json"
         stream = self.fs.create(self._at(f"{self.path}/{part}"), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.move(part, name)
+        return part
 
 
 def finish(spark: SparkSession, path: str) -> None:
