@@ -7,25 +7,21 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 
-FEW = 10_000  # rows of a side that every task may get
-CELL = 100_000  # rows of a side that meet in one cell of the grid
+CELL = 10_000  # rows of a side that meet in one cell of the grid
 
 
 def _one_of(df: DataFrame, parts: int, out: str) -> DataFrame:
     return df.withColumn(out, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
 
 
-def theta_join(left: DataFrame, right: DataFrame, condition: Column, few: int = FEW, cell: int = CELL) -> DataFrame:
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, cell: int = CELL) -> DataFrame:
     """All pairs of a row of ``left`` and one of ``right`` that meet the condition; column names must differ.
 
-    A right side of ``few`` rows or less, counted first, goes to every task. Otherwise the pairs form a grid: each side is dealt
-    to strips of about ``cell`` rows, a row goes to all cells of its strip, and a task compares the rows of one
-    cell, so no task holds more than a strip of each side and no side is sent whole to a task.
+    The pairs form a grid: each side is counted and dealt to strips of about ``cell`` rows, a row goes to all cells of its
+    strip, and the rows of a cell are compared with each other. A small right side is a single strip, which Spark broadcasts if
+    its measured size allows that; no task holds more than a strip of each side.
     """
-    right = pin(right)
-    if right.limit(few + 1).count() <= few:
-        return left.join(F.broadcast(right), condition)
-    left = pin(left)
+    left, right = pin(left), pin(right)
     high, wide = (max(1, -(-side.count() // cell)) for side in (left, right))
     rows = _one_of(left, high, "_high").withColumn("_wide", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
     columns = _one_of(right, wide, "_wide").withColumn("_high", F.explode(F.sequence(F.lit(0), F.lit(high - 1))))

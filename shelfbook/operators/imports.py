@@ -33,8 +33,8 @@ def import_sales_lines(orders: DataFrame, shipping: DataFrame, sales: DataFrame)
 def import_all_sales(orders: DataFrame, shipping: DataFrame, sales: DataFrame) -> DataFrame:
     """Every non-zero staged sale as a line of every import order, for lists that name no batch.
 
-    ``sales`` (ct_consign_id, amount). Usually one order is being imported; however many there are, orders are counted
-    before they are sent to all tasks, and paired with the sales in a grid if they are too many.
+    ``sales`` (ct_consign_id, amount). Usually one order is being imported; however many there are, both sides are counted
+    and paired in a grid whose cells are of a bounded size.
     """
     importing = orders.filter((F.col("order_type") == "pos") & (F.col("order_status") == "import"))
     heads = importing.select("order_id", "location_id").join(shipping.select("order_id", "ship_id"), "order_id")

@@ -164,17 +164,15 @@ def test_payment_day_filter_reaches_the_scan(shop):
     assert "props" not in scan
 
 
-@pytest.mark.parametrize(("few", "cell"), [(100, 50), (5, 7), (0, 1000)])
-def test_theta_joins_pair_every_row_once(spark, few, cell):
+@pytest.mark.parametrize("cell", [7, 1000])
+def test_theta_joins_pair_every_row_once(spark, cell):
     left = spark.range(40).select(F.col("id").alias("a")).union(spark.range(3).select(F.lit(None).cast("bigint")))
     right = spark.range(23).select((F.col("id") * 2).alias("b"))
-    joined = theta_join(left, right, F.col("a") < F.col("b"), few, cell)
+    joined = theta_join(left, right, F.col("a") < F.col("b"), cell)
     got = sorted((r.a, r.b) for r in joined.collect())
     assert got == sorted((a, b) for a in range(40) for b in range(0, 46, 2) if a < b)
-    text = spark._jvm.PythonSQLUtils.explainString(joined._jdf.queryExecution(), "simple")
-    assert ("NestedLoop" in text) == (few >= 23) and "CartesianProduct" not in text
-    assert theta_join(left, right.limit(0), F.col("a") < F.col("b"), few, cell).count() == 0
-    assert theta_join(left.limit(0), right, F.col("a") < F.col("b"), few, cell).count() == 0
+    assert theta_join(left, right.limit(0), F.col("a") < F.col("b"), cell).count() == 0
+    assert theta_join(left.limit(0), right, F.col("a") < F.col("b"), cell).count() == 0
 
 
 def test_newest_entries_are_cut_before_the_shuffle(spark):
