@@ -49,7 +49,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 16 << 20  # bytes of token ids in a file, beyond which it ends with its document
 KEYS = 1 << 12  # of an index table, on average
-REMEMBERED = 1 << 20  # words whose ids a worker keeps, beside those of the batch at hand
+REMEMBERED = 1 << 19  # words whose ids a worker keeps, beside those of the batch at hand
 MOST_MARKS = 1 << 14  # runs of marks whose ids a worker keeps
 LONGEST_WORD = 40  # bytes of a word that is remembered
 PIECE = 4 << 20  # bytes of texts that are encoded together
