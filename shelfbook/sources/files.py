@@ -90,12 +90,15 @@ LEDGER = (
 TRANSACTIONS = "trans_id bigint, ref string, ref_id bigint, ref_date date, description string, post_date date"
 
 # Shuffled bytes that go to one file of a stored table.
-FILE_BYTES = 256 << 20
+FILE_BYTES = 32 << 20
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
-def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str) -> None:
-    """Store by a period of posting; busy periods are split and small ones packed, and files are sorted."""
+def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str, commit: int = 1) -> None:
+    """Store by a period of posting; busy periods are split and small ones packed, and files are sorted.
+
+    ``commit=2`` lets every task put its own files in place, for folders that nobody reads before the job has ended.
+    """
     conf = df.sparkSession.conf
     before = conf.get(ADVISORY)
     conf.set(ADVISORY, str(FILE_BYTES))
@@ -105,6 +108,7 @@ def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str) ->
             .sortWithinPartitions(period, *order)
             .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
+            .option("mapreduce.fileoutputcommitter.algorithm.version", str(commit))
             .partitionBy(period)
             .parquet(path)
         )
@@ -126,6 +130,16 @@ def _within(period: str, days: list) -> Column:
     return wanted | F.col(period).isNull() if None in days else wanted
 
 
+def _between(documents: DataFrame, keys: Sequence[str]) -> Column:
+    """Rows that may be of one of the documents, by the first and last value of each key; a null key goes with null ones."""
+    ends = documents.agg(*[F.struct(F.min(k).alias("a"), F.max(k).alias("z"), F.count_if(F.col(k).isNull()).alias("n")).alias(k) for k in keys]).first()
+    wanted = F.lit(True)
+    for k in keys:
+        within = F.lit(False) if ends[k].a is None else F.col(k).between(ends[k].a, ends[k].z)
+        wanted = wanted & (within | F.col(k).isNull() if ends[k].n else within)
+    return wanted
+
+
 def _stored(spark: SparkSession, path: str, period: str) -> DataFrame:
     """The table with every column its files have; the period is a date even where no folder tells so."""
     found = spark.read.parquet(path).drop(period).schema
@@ -141,19 +155,22 @@ def _upsert(period: str, rows: DataFrame, path: str, keys: Sequence[str], order:
     staged = swap.stage(spark, path)
     held = [n for n in swap.Folder(spark, path).names() if n.startswith(f"{period}=")]
     if not held:
-        _write_by(period, rows, f"{path}/{staged}", "overwrite", *order)
+        _write_by(period, rows, f"{path}/{staged}", "append", *order, commit=2)
         snapshots.drop_behind(spark, path, dt.date.min)
         return swap.publish(spark, path, staged, [])
     rows = pin(rows)
     documents = pin(rows.select(*keys).distinct())
     stored = _stored(spark, path, period)
-    periods = rows.select(period)
+    touched = [row[0] for row in rows.select(period).distinct().collect()]  # one per day or month
     if anywhere:
-        periods = periods.union(stored.join(documents, _same(stored, documents, keys), "left_semi").select(period))
-    touched = [row[0] for row in periods.distinct().collect()]  # one per day or month
+        # Periods that get rows are read anyway; files that hold no name between the first and the last are passed over.
+        other = stored.filter(~F.coalesce(_within(period, touched), F.lit(False)) & _between(documents, keys))
+        found = other.join(documents, _same(other, documents, keys), "left_semi").select(period)
+        touched += [row[0] for row in found.distinct().collect()]
     there = stored.filter(_within(period, touched))
     kept = there.join(documents, _same(there, documents, keys), "left_anti")
-    _write_by(period, kept.unionByName(rows, allowMissingColumns=True), f"{path}/{staged}", "overwrite", *order)
+    whole = kept.unionByName(rows, allowMissingColumns=True)
+    _write_by(period, whole, f"{path}/{staged}", "append", *order, commit=2)
     names = {f"{period}={NO_PERIOD if d is None else d.isoformat()}" for d in touched}
     snapshots.drop_behind(spark, path, min((d for d in touched if d is not None), default=None))
     swap.publish(spark, path, staged, [n for n in held if n in names])

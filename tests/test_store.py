@@ -191,3 +191,20 @@ def test_a_dying_writer_leaves_no_stale_snapshot(spark, tmp_path, monkeypatch):
     assert snapshots.taken(spark, path) == []
     files.write_ledger(book(spark, ("invoice", 1, 1, 11)), path)
     assert sums(files.read_balances(spark, path)) == sums(files.read_ledger(spark, path, KIND))
+
+
+def test_names_between_the_ends_may_be_of_a_document(spark):
+    kind = "trans_ref string, trans_ref_id bigint"
+    stored = spark.createDataFrame([("a", 1), ("b", 5), ("b", None), (None, 5), ("c", 5)], kind)
+    wanted = [("a", 5), ("b", 4)], [("b", 5), ("b", None)], [(None, None)]
+    keys = ["trans_ref", "trans_ref_id"]
+    found = [stored.filter(files._between(spark.createDataFrame(w, kind), keys)).collect() for w in wanted]
+    assert [sorted(map(tuple, f), key=str) for f in found] == [[("b", 5)], [("b", 5), ("b", None)], []]
+
+
+def test_a_document_moves_between_a_date_and_none(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    for day in (5, None, 6, None):
+        files.write_ledger(book(spark, ("invoice", 2, day, 20), ("invoice", 3, 5, 1)), path)
+        days = [r.post_date and r.post_date.day for r in files.read_ledger(spark, path).filter("trans_ref_id = 2").collect()]
+        assert set(days) == {day}
