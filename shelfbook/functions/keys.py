@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..session import pin
 from .money import MONEY
 
+# Rows of a slice. Counted, since the rows' compressed size tells little of the memory a sort of them takes.
+SLICE_ROWS = 250_000
+
 
 def running_totals(
     df: DataFrame,
@@ -23,10 +26,14 @@ def running_totals(
     A window partitioned by the group alone would put a busy group into one task. Here the rows are
     cut into ordered slices of even size that may divide a group, each slice is summed once, and
     every row adds the sum of its group's earlier slices to its running sum inside the slice.
-    ``order_by`` must be unique within a group. The slices are pinned because they are read twice.
+    ``order_by`` must be unique within a group. The rows are pinned because they are counted, sampled and cut, the slices
+    because they are read twice. Up to ``SLICE_ROWS`` rows are cut as Spark sees fit, more into slices of that many.
     """
     group_by, order_by = list(group_by), list(order_by)
-    cut = pin(df.repartitionByRange(*group_by, *order_by).withColumn("_slice", F.spark_partition_id()))
+    df = pin(df)
+    rows = df.count()
+    number = [max(-(-rows // SLICE_ROWS), df.sparkSession.sparkContext.defaultParallelism)] if rows > SLICE_ROWS else []
+    cut = pin(df.repartitionByRange(*number, *group_by, *order_by).withColumn("_slice", F.spark_partition_id()))
     # One row per slice and group: at most (number of slices + number of groups) rows.
     slices = cut.groupBy("_slice", *group_by).agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
     before = Window.partitionBy(*group_by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,9 +48,11 @@ def running_totals(
     inside = (
         Window.partitionBy("_slice", *group_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return cut.join(starts, same).select(
-        *df.columns,
-        *[(F.col(f"_b_{o}") + F.sum(c).over(inside)).cast(kind).alias(o) for o, c in sums.items()],
+    if number:
+        cut = cut.repartition(*number, "_slice")  # a fixed number of tasks, which AQE doesn't pack
+    summed = cut.withColumns({f"_t_{o}": F.sum(c).over(inside) for o, c in sums.items()})
+    return summed.join(starts, same).select(
+        *df.columns, *[(F.col(f"_b_{o}") + F.col(f"_t_{o}")).cast(kind).alias(o) for o in sums]
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import next_ids
 from ..functions.money import is_true
 from ..operators import ledger, payments, payouts, repairs, sales
+from ..session import pin
 
 # Fixed value: why an order is refused.
 MUST_BALANCE = "Need to balance till first"
@@ -63,12 +64,13 @@ def close_sales(
     balance are refused as a whole (``rejected``).
     """
     asked = orders.join(ready.select("order_id"), "order_id", "left_semi")
-    merged = payments.payments_after_merge(
+    # What several steps read is pinned, so that it is made once and no task holds the sorts of all steps before it.
+    merged = pin(payments.payments_after_merge(
         order_payments.join(ready.select("order_id"), "order_id", "left_semi"), methods
-    )
-    rejected = unbalanced_orders(payments.payments_to_process(merged, methods), asked, tills)
+    ))
+    rejected = pin(unbalanced_orders(payments.payments_to_process(merged, methods), asked, tills))
     ready = ready.select("order_id").join(rejected, "order_id", "left_anti")
-    closing = asked.join(rejected, "order_id", "left_anti")
+    closing = pin(asked.join(rejected, "order_id", "left_anti"))
     invoices = next_ids(
         taken_invoices, "invoice_id", closing.select("order_id", "customer_id"), ["order_id"], "invoice_id"
     ).withColumn("created_ts", at)

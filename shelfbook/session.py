@@ -19,16 +19,28 @@ SETTINGS = {
 }
 
 
+# Bytes of shuffled rows that AQE packs into a task or leaves in one, at most. They are compressed: ids that
+# follow one another take a fortieth of their room in memory, so Spark's own 64 and 256 MB may be gigabytes in a sort.
+AT_MOST = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 4 << 20,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 32 << 20,
+}
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made by someone else."""
+    """Apply the runtime settings to a session made by someone else; sizes are lowered, never raised."""
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in AT_MOST.items():
+        if in_bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
-# Input bytes per shuffle partition before AQE packs small ones.
-BYTES_PER_PARTITION = 1 << 28
+# Input bytes per shuffle partition before AQE packs small ones: few, as long as that gives no more than so many partitions.
+BYTES_PER_PARTITION, MANY, MOST_BYTES = 8 << 20, 8000, 256 << 20
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -44,7 +56,7 @@ def size_shuffles(spark: SparkSession, folder: str) -> None:
     spark.conf.set(done, "true")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     size = listing.agg(F.sum("length")).first()[0] or 0
-    wanted = -(-size // BYTES_PER_PARTITION)
+    wanted = max(min(-(-size // BYTES_PER_PARTITION), MANY), -(-size // MOST_BYTES))
     in_force = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL, None) or 0))
     if wanted > in_force:
         spark.conf.set(INITIAL, str(wanted))

@@ -9,10 +9,12 @@ import pytest
 from fixtures import D
 from pyspark.sql import functions as F
 
+from shelfbook.functions import keys
 from shelfbook.functions.keys import next_ids, number_rows, running_totals
 from shelfbook.functions.pairing import theta_join
 from shelfbook.operators import ledger, payments, repairs, sales
 from shelfbook.plans.catalog import QUERIES
+from shelfbook.session import tune
 
 
 @pytest.fixture
@@ -188,3 +190,21 @@ def test_newest_entries_are_cut_before_the_shuffle(spark):
     }
     text = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
     assert "WindowGroupLimit" in text.split("Exchange hashpartitioning")[-1]  # below the shuffle
+
+
+def test_slices_are_cut_by_rows_not_by_compressed_bytes(spark, monkeypatch):
+    pinned = []
+    monkeypatch.setattr(keys, "SLICE_ROWS", 1000, raising=False)
+    monkeypatch.setattr(keys, "pin", lambda df, pin=keys.pin: pinned.append(pin(df)) or pinned[-1])
+    got = number_rows(spark.range(20000, 0, -1), ["id"], "n")
+    assert got.filter("n = id").count() == got.count() == 20000
+    sizes = [r["count"] for r in pinned[-1].groupBy("_slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000
+
+
+def test_packed_tasks_are_bounded_and_smaller_settings_stay(spark, settings):
+    name = "spark__sql__adaptive__advisoryPartitionSizeInBytes"
+    settings(**{name: "64MB", "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "4000"})
+    tune(spark)
+    assert int(spark.conf.get(name.replace("__", "."))) <= 16 << 20
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes") == "4000"
