@@ -32,7 +32,9 @@ def fresh(taken: Sequence[str], *names: str) -> list[str]:
     return found
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """Have Arrow carry few rows at a time to Python, as one row may hold a very long text."""
+def small_batches(df: DataFrame, rows: int = 500, size: int | None = None) -> DataFrame:
+    """Have Arrow carry few rows at a time to Python, as one row may hold a very long text; ``size`` bounds their bytes too."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if size:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df

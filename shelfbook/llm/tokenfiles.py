@@ -3,7 +3,8 @@
 Encoding: the tokenizer file's path is a parameter. Where a vocabulary drops blanks (asked of it by a probe) a text is cut at its ASCII
 blanks and the ids of a word are remembered, ``REMEMBERED`` words at most; any other vocabulary encodes whole
 texts. Words of plain letters and marks skip the normalizer and the pattern where the file names those that leave them one piece. Each
-document ends with the id ``end_id``.
+document ends with the id ``end_id``. A task encodes on its own thread, and holds ``PIECE`` of texts with their words, one block and the
+remembered words.
 
 Files: rows are dealt to ordered ranges and sorted, so that every task holds a stretch of the order and cuts it into blocks
 of about ``BLOCK`` bytes. A block is one file: ``MAGIC``, a head (``HEAD``: bytes of an id, task, number in the
@@ -24,6 +25,7 @@ ignored. An empty table gives no file and no row. A document's ids must fit a ro
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -52,8 +54,9 @@ KEYS = 1 << 12  # of an index table, on average
 REMEMBERED = 1 << 19  # words whose ids a worker keeps, beside those of the batch at hand
 MOST_MARKS = 1 << 14  # runs of marks whose ids a worker keeps
 LONGEST_WORD = 40  # bytes of a word that is remembered
-PIECE = 4 << 20  # bytes of texts that are encoded together
-LONG_TEXT = 16 << 20  # bytes of a text that is encoded in parts
+PIECE = 1 << 20  # bytes of texts that are encoded together
+LONG_TEXT = 1 << 20  # bytes of a text that is encoded in parts
+CARRIED = 2 << 20  # bytes of rows that Arrow carries to a worker at a time, beyond which a batch ends with its row
 FEW_BLOCKS = 1000  # that ``fetch`` opens by name
 MOST_BYTES = 64 << 20  # of a vocabulary file, which every task gets
 MAGIC, MAGIC_END = b"IDBLOCK1", "IDBLOCK/"
@@ -241,6 +244,35 @@ def unpack(data: memoryview) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarr
     return task, number, nulls, ids, lengths, np.frombuffer(data[first + 17 * docs : end], f"<u{width}")
 
 
+def packed_blocks(batches: Iterator[pa.RecordBatch], coder: Encoder, task: int = 0, end_id: int = END_ID, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The documents of (id, text) batches as packed blocks, one in a batch. While a reader has a block, nothing else holds its ids."""
+    dtype = coder.dtype if end_id < 1 << 16 else np.dtype("<u4")
+    end = np.array([end_id], dtype).tobytes()
+    ids: list[int | None] = []
+    tokens: list[bytes] = []
+    held, number = 0, 0
+
+    def full() -> pa.RecordBatch:
+        nonlocal ids, tokens, held, number
+        data = pack(dtype, task, number, ids, tokens)
+        ids, tokens, held, number = [], [], 0, number + 1
+        ends = pa.py_buffer(np.array([0, len(data)], "<i4"))
+        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(data)])], ["value"])
+
+    for batch in batches:
+        for piece in words.pieces(batch, "text", PIECE):
+            found, at = coder.tokens(piece.column(1))
+            found = found.astype(dtype, copy=False)
+            for key, first, last in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if ids and held + (last - first) * dtype.itemsize > block:
+                    yield full()
+                ids.append(key)
+                tokens.append(found[first:last].tobytes() + end)
+                held += len(tokens[-1])
+    if ids:
+        yield full()
+
+
 def write_ids(
     docs: DataFrame,
     path: str,
@@ -256,37 +288,16 @@ def write_ids(
         raise ValueError("the end id must be a token id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(shared.value)
-        dtype = coder.dtype if end_id < 1 << 16 else np.dtype("<u4")
-        end = np.array([end_id], dtype).tobytes()
-        task, number = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        tokens: list[bytes] = []
-        held = 0
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pack(dtype, task, number, ids, tokens)], pa.binary())], ["value"])
-
-        for batch in batches:
-            for piece in words.pieces(batch, "text", PIECE):
-                found, at = coder.tokens(piece.column(1))
-                found = found.astype(dtype, copy=False)
-                for key, first, last in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if ids and held + (last - first) * dtype.itemsize > block:
-                        yield full()
-                        ids, tokens, held, number = [], [], 0, number + 1
-                    ids.append(key)
-                    tokens.append(found[first:last].tobytes() + end)
-                    held += len(tokens[-1])
-        if ids:
-            yield full()
+        # The tokenizer's own threads would be as many as the machine has cores, in every task, each with memory of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        yield from packed_blocks(batches, encoder(shared.value), TaskContext.get().partitionId(), end_id, block)
 
     plain = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     # Rows of one id, and copies of one text among them, may fall into several ranges.
     order = [F.col("id").isNull(), F.col("id"), F.xxhash64("text"), F.col("spread")]
     dealt = plain.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = small_batches(dealt.select("id", "text"), 2000).mapInArrow(rows, "value binary")
-    blocks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", MAGIC_END).option("maxRecordsPerFile", 1).text(
+    packed = small_batches(dealt.select("id", "text"), 2000, CARRIED).mapInArrow(rows, "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", MAGIC_END).option("maxRecordsPerFile", 1).text(
         f"{path}/ids"
     )
 
@@ -299,6 +310,11 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 DOCUMENT = "file string, task bigint, number bigint, id bigint, copy bigint, offset bigint, n_tokens bigint, ids_crc32 bigint, first boolean, last boolean"
 
 
+def checksums(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """CRC-32 of each document's ids as four-byte numbers, widened a document at a time."""
+    return [zlib.crc32(tokens[a : a + n].astype("<u4")) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A row per document of the files: place, length, and CRC-32 of its ids as four-byte numbers.
 
@@ -314,8 +330,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 task, number, nulls, ids, lengths, tokens = unpack(data)
                 offsets = np.cumsum(lengths) - lengths
-                raw = memoryview(tokens.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets.tolist(), (offsets + lengths).tolist(), strict=True)]
+                crc = checksums(tokens, offsets, lengths)
                 fresh = np.ones(len(ids), bool)
                 fresh[1:] = (ids[1:] != ids[:-1]) | (nulls[1:] != nulls[:-1])
                 heads = np.flatnonzero(fresh)
@@ -330,7 +345,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     names,
                 )
 
-    return _files(spark, f"{path}/ids").mapInArrow(rows, DOCUMENT)
+    return small_batches(_files(spark, f"{path}/ids"), 2000, CARRIED).mapInArrow(rows, DOCUMENT)
 
 
 def place_documents(documents: DataFrame, path: str) -> DataFrame:

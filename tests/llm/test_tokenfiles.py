@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfbook.llm import mph, queries, tokenfiles
+from shelfbook.llm.common import small_batches
 
 SF_DIR = "/root/testdata/sf0.001"
 WHOLE = Tokenizer.from_file(tokenfiles.vocabulary_path())
@@ -155,3 +158,68 @@ def test_an_index_of_other_files_is_an_error(spark, tmp_path):
     tokenfiles.write_index(placed.withColumn("offset", F.col("offset") + 1), path)
     located = tokenfiles.locate(spark, path, placed.select("id", "copy", "offset"))
     assert located.filter("at = offset + 1").count() == 40
+
+
+class Plain:
+    """An encoder whose ids are as many as the bytes of a text."""
+
+    dtype = np.dtype("<u2")
+
+    def tokens(self, column):
+        size = [len(t) for t in column.to_pylist()]
+        return np.ones(sum(size), self.dtype), np.cumsum([0, *size])
+
+
+def peak_of(call):
+    """(what the call returns, most bytes that Python and numpy held beside what was there before)"""
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_is_held_once_while_it_is_written():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(128), pa.int64()), pa.array(["x" * (1 << 16)] * 128)], ["id", "text"])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for n, found in enumerate(tokenfiles.packed_blocks(iter([batch]), Plain(), task=3, block=8 << 20)):
+            held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+            assert found.num_rows == 1 and held < 1.5 * (8 << 20)
+            task, number, nulls, ids, lengths, tokens = tokenfiles.unpack(memoryview(found.column(0)[0].as_py() + tokenfiles.MAGIC_END.encode()))
+            assert (task, number, ids[0], set(lengths)) == (3, n, 63 * n, {(1 << 16) + 1}) and len(tokens) == sum(lengths)
+            del nulls, ids, lengths, tokens
+    finally:
+        tracemalloc.stop()
+    assert n == 2
+
+
+def test_encoding_holds_a_small_part_of_the_texts():
+    CODER.encode(["one two three"])
+    text = "one two three " * 600_000  # 8 MB
+    for column in (pa.array([text]), pa.array([text[:14_000]] * 600)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(column)), pa.int64()), column], ["id", "text"])
+        found, most = peak_of(lambda: sum(b.nbytes for b in tokenfiles.packed_blocks(iter([batch]), CODER)))  # noqa: B023
+        assert found > 3_600_000 and most < 24 << 20
+
+
+def test_checksums_widen_a_document_at_a_time():
+    tokens = np.arange(1 << 21).astype("<u2")
+    lengths = np.full(1 << 11, 1 << 10)
+    found, most = peak_of(lambda: tokenfiles.checksums(tokens, np.cumsum(lengths) - lengths, lengths))
+    assert found == [zlib.crc32(tokens[i << 10 : (i + 1) << 10].astype("<u4").tobytes()) for i in range(1 << 11)] and most < 1 << 20
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["size", "n"])
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        docs = spark.range(0, 100, 1, 1).select("id", F.repeat(F.lit("word "), 20_000).alias("text"))
+        found = small_batches(docs, 2000, tokenfiles.CARRIED).mapInArrow(sizes, "size bigint, n bigint").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", kept)
+    assert sum(r.n for r in found) == 100 and max(r.size for r in found) < tokenfiles.CARRIED + 200_000
