@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 from collections.abc import Sequence
+from contextlib import ExitStack
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import FREED, pin, pinned, settings
 from . import snapshots, swap
 
 # Columns of the gift-card list, the row that ends the data, the NULL mark and the
@@ -92,6 +94,8 @@ TRANSACTIONS = "trans_id bigint, ref string, ref_id bigint, ref_date date, descr
 # Shuffled bytes that go to one file of a stored table.
 FILE_BYTES = 32 << 20
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+# Rows that are shuffled at a time on their way to the files. Every portion reads the pinned rows anew, so few are better.
+PORTION_ROWS = 250_000_000
 
 
 def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str, commit: int = 1) -> None:
@@ -99,10 +103,7 @@ def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str, com
 
     ``commit=2`` lets every task put its own files in place, for folders that nobody reads before the job has ended.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(ADVISORY)
-    conf.set(ADVISORY, str(FILE_BYTES))
-    try:
+    with settings(df.sparkSession, {ADVISORY: str(FILE_BYTES)} | FREED):
         (
             df.hint("rebalance", period)
             .sortWithinPartitions(period, *order)
@@ -112,8 +113,6 @@ def _write_by(period: str, df: DataFrame, path: str, mode: str, *order: str, com
             .partitionBy(period)
             .parquet(path)
         )
-    finally:
-        conf.set(ADVISORY, before)
 
 
 NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder of rows without a period
@@ -146,31 +145,62 @@ def _stored(spark: SparkSession, path: str, period: str) -> DataFrame:
     return spark.read.schema(found.add(period, "date")).parquet(path)
 
 
+def _counted(df: DataFrame, period: str) -> Counter:
+    """Rows of each period; the driver holds one number per day or month."""
+    return Counter({row[0]: row[1] for row in df.groupBy(period).count().collect()})
+
+
+def _portions(rows: Counter, period: str, keys: Sequence[str]) -> list[Column]:
+    """Filters that deal out the counted periods in portions of ``PORTION_ROWS``: small periods packed, busy ones split by document."""
+    portions, pack, size = [], [], 0
+    for day in sorted(rows, key=lambda d: (d is None, d or dt.date.min)):
+        parts = -(-rows[day] // PORTION_ROWS)
+        if parts > 1:
+            turn = F.pmod(F.xxhash64(*keys), F.lit(parts))
+            portions += [_within(period, [day]) & (turn == i) for i in range(parts)]
+            continue
+        if pack and size + rows[day] > PORTION_ROWS:
+            portions.append(_within(period, pack))
+            pack, size = [], 0
+        pack.append(day)
+        size += rows[day]
+    return [*portions, _within(period, pack)] if pack else portions
+
+
 def _upsert(period: str, rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], anywhere: bool) -> None:
     """Put documents in the place of what is stored of them.
 
-    Only periods that hold or will hold one of the documents are read and written; they are staged and swapped in.
+    Only periods that hold or will hold one of the documents are read and written; they are staged and swapped in. The rows are
+    pinned first and go to their files in portions, so that the disk holds what making them shuffles, or one portion's
+    shuffles, beside the rows, the table and its new periods.
     """
     spark = rows.sparkSession
     staged = swap.stage(spark, path)
     held = [n for n in swap.Folder(spark, path).names() if n.startswith(f"{period}=")]
+    with settings(spark, FREED), ExitStack() as pins:
+        rows = pins.enter_context(pinned(rows))
+        counts = _counted(rows, period)
+        if held:
+            documents = pins.enter_context(pinned(rows.select(*keys).distinct()))
+            stored = _stored(spark, path, period)
+            touched = [*counts]
+            if anywhere:
+                # Periods that get rows are read anyway; files that hold no name between the first and the last are passed over.
+                other = stored.filter(~F.coalesce(_within(period, touched), F.lit(False)) & _between(documents, keys))
+                found = other.join(documents, _same(other, documents, keys), "left_semi").select(period)
+                touched += [row[0] for row in found.distinct().collect()]
+            there = stored.filter(_within(period, touched))
+            counts += _counted(there, period)
+        for portion in _portions(counts, period, keys):
+            whole = rows.filter(portion)
+            if held:
+                near = there.filter(portion)
+                kept = near.join(documents, _same(near, documents, keys), "left_anti")
+                whole = kept.unionByName(whole, allowMissingColumns=True)
+            _write_by(period, whole, f"{path}/{staged}", "append", *order, commit=2)
     if not held:
-        _write_by(period, rows, f"{path}/{staged}", "append", *order, commit=2)
         snapshots.drop_behind(spark, path, dt.date.min)
         return swap.publish(spark, path, staged, [])
-    rows = pin(rows)
-    documents = pin(rows.select(*keys).distinct())
-    stored = _stored(spark, path, period)
-    touched = [row[0] for row in rows.select(period).distinct().collect()]  # one per day or month
-    if anywhere:
-        # Periods that get rows are read anyway; files that hold no name between the first and the last are passed over.
-        other = stored.filter(~F.coalesce(_within(period, touched), F.lit(False)) & _between(documents, keys))
-        found = other.join(documents, _same(other, documents, keys), "left_semi").select(period)
-        touched += [row[0] for row in found.distinct().collect()]
-    there = stored.filter(_within(period, touched))
-    kept = there.join(documents, _same(there, documents, keys), "left_anti")
-    whole = kept.unionByName(rows, allowMissingColumns=True)
-    _write_by(period, whole, f"{path}/{staged}", "append", *order, commit=2)
     names = {f"{period}={NO_PERIOD if d is None else d.isoformat()}" for d in touched}
     snapshots.drop_behind(spark, path, min((d for d in touched if d is not None), default=None))
     swap.publish(spark, path, staged, [n for n in held if n in names])

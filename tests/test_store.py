@@ -1,12 +1,15 @@
 """The stored ledger under repeated, moved and interrupted writes."""
 
 import datetime as dt
+import re
+import time
 from collections import Counter
 
 import pytest
 from fixtures import D
 from pyspark.sql import functions as F
 
+from shelfbook import session
 from shelfbook.sources import files, snapshots, swap
 
 KIND = "trans_id bigint, trans_ref string, trans_ref_id bigint, account string, ref string, ref_id bigint, debit decimal(20,2), credit decimal(20,2), post_date date"
@@ -208,3 +211,32 @@ def test_a_document_moves_between_a_date_and_none(spark, tmp_path):
         files.write_ledger(book(spark, ("invoice", 2, day, 20), ("invoice", 3, 5, 1)), path)
         days = [r.post_date and r.post_date.day for r in files.read_ledger(spark, path).filter("trans_ref_id = 2").collect()]
         assert set(days) == {day}
+
+
+def test_a_write_goes_in_portions_and_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    """Busy dates are split by document, small ones packed; neither pinned rows nor shuffled ones stay when a write has ended."""
+    shared, path = tmp_path / "shared", str(tmp_path / "ledger")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(shared))
+    monkeypatch.setattr(files, "PORTION_ROWS", 100, raising=False)
+    sizes, plain = [], files._write_by
+
+    def counted(period, df, *args, **more):
+        with session.settings(spark, session.FREED):
+            sizes.append(df.count())
+        plain(period, df, *args, **more)
+
+    monkeypatch.setattr(files, "_write_by", counted)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllBlocks().mkString(" ")))
+    old = [("invoice", i, None if i % 11 == 0 else 5 if i < 100 else 6 + i % 9, i) for i in range(150)]
+    paid = [("payment", i, 5 + i % 3, i) for i in range(30)]
+    new = [(k, i, 20 if i % 10 == 3 else d, x + 1) for k, i, d, x in old]
+    for rows in (old, paid, new):
+        before, until = shuffled(), time.monotonic() + 20
+        files.write_ledger(book(spark, *rows), path)
+        while (left := shuffled() - before) and time.monotonic() < until:
+            time.sleep(0.2)
+        assert not left
+    assert held(spark, path) == sorted(new + paid, key=str)
+    assert not shared.exists() or not list(shared.iterdir())
+    assert len(sizes) > 6 and max(sizes) <= 200
