@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -15,6 +15,7 @@ from .keys import running_totals
 from .money import MONEY
 
 SLICE = 512  # requests that one fold takes
+RUN = 64  # slices of a key that one task walks through in order
 Step = Callable[[Column, Column], Column]
 
 
@@ -29,51 +30,64 @@ def in_turn(
 
     A key's requests are numbered and cut into slices of ``rows``, which are folded each by itself. The first slice of
     a key knows its opening. The others begin with a guess, that every earlier request took the ``asked`` column as long as something
-    was left; then each slice is given what the slice before it really left, and folded again where that is new, until no
-    slice changes. Guesses are right unless requests take less or more than asked, so a second round is rare; every
-    round settles at least one slice more of each key.
+    was left. Where guesses were wrong, a task walks through ``RUN`` slices of a key one after the other, folding those again that
+    do not begin with what the one before them left: runs of all keys at a time, those of a key one after the other. Guesses are
+    right unless requests take less or more than asked; at worst every request is folded once more, in as many
+    rounds as a key has runs.
     """
     found, taken = out
     numbered = running_totals(requests.withColumn("_one", F.lit(1)), order_by, {"_n": "_one", "_upto": asked}, [key])
     slices = numbered.withColumn("_slice", F.floor((F.col("_n") - 1) / rows).cast("bigint")).groupBy(key, "_slice")
     item = F.struct("_n", *requests.columns)
-    cut = pin(
-        slices.agg(
-            F.sort_array(F.collect_list(item)).alias("_items"), F.any_value(opening).alias("_opening"),
-            F.min_by(F.col("_upto") - F.col(asked), "_n").alias("_before"),
-        )
-    )
+    cut = slices.agg(
+        F.sort_array(F.collect_list(item)).alias("_items"), F.any_value(opening).alias("_opening"),
+        F.min_by(F.col("_upto") - F.col(asked), "_n").alias("_before"),
+    ).withColumn("_run", F.floor(F.col("_slice") / RUN).cast("bigint"))
+    cut = pin(cut.hint("rebalance", "_run"), "_run")  # a round reads its run only
     left = F.col("_opening") - F.col("_before")
     guess = F.when((F.col("_opening") < 0) | (F.col("_slice") == 0), F.col("_opening")).otherwise(F.greatest(left, F.lit(0)))
     cut = cut.withColumn("_start", guess.cast(MONEY)).drop("_opening", "_before")
 
-    def folded(df: DataFrame) -> Column:
-        shape = f"struct<left:{MONEY},rows:array<struct<found:{MONEY},taken:{MONEY}>>>"
-        begin = F.struct(F.col("_start").alias("left"), F.array().cast(f"array<struct<found:{MONEY},taken:{MONEY}>>").alias("rows")).cast(shape)
-
-        def step(state: Column, row: Column) -> Column:
-            takes = amount(state["left"], row).cast(MONEY)
-            entry = F.struct(state["left"].alias("found"), takes.alias("taken"))
-            return F.struct((state["left"] - takes).cast(MONEY).alias("left"), F.concat(state["rows"], F.array(entry)).alias("rows")).cast(shape)
+    def after(balance: Column, row: Column) -> Column:
+        return (balance - amount(balance, row).cast(MONEY)).cast(MONEY)
 
-        return F.aggregate("_items", begin, step)
+    def walk(done: Column, piece: Column) -> Column:
+        real = F.element_at(done, -1)["_end"]
+        end = F.when(real == piece["_start"], piece["_end"]).otherwise(F.aggregate(piece["_items"], real, after))
+        return F.concat(done, F.array(F.struct(piece["_slice"].alias("_slice"), real.alias("_start"), end.alias("_end"))))
 
     many = cut.filter("_slice > 0").select(key).distinct()  # keys of several slices: at most one in ``rows`` requests
-    settled = pin(cut.join(many, key, "left_semi").select(key, "_slice", "_start", folded(cut)["left"].alias("_end")))
+    ends = F.aggregate("_items", F.col("_start"), after).alias("_end")
+    settled = pin(cut.join(many, key, "left_semi").select(key, "_run", "_slice", "_start", ends))
+    in_order = Window.partitionBy(key).orderBy("_slice")
     while True:
-        after = settled.select(F.col(key).alias("_key"), (F.col("_slice") + 1).alias("_next"), F.col("_end").alias("_real"))
-        here = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_next")) & (F.col("_start") != F.col("_real"))
-        wrong = pin(settled.join(after, here).select(key, "_slice", F.col("_real").alias("_start")))
-        if wrong.isEmpty():
+        told = settled.withColumn("_real", F.lag("_end").over(in_order))  # one row a slice
+        wrong = told.filter(F.col("_real") != F.col("_start"))
+        run = wrong.agg(F.min("_run")).first()[0]
+        if run is None:
             break
-        again = cut.drop("_start").join(wrong, [key, "_slice"])
-        again = again.select(key, "_slice", "_start", folded(again)["left"].alias("_end"))
-        settled = pin(settled.join(wrong.select(key, "_slice"), [key, "_slice"], "left_anti").union(again))
+        # All runs before this one are right, so that it begins with what is known.
+        hit = told.join(wrong.filter(F.col("_run") == run).select(key).distinct(), key, "left_semi").filter(F.col("_run") == run)
+        pieces = hit.join(cut.filter(F.col("_run") == run).select(key, "_slice", "_items"), [key, "_slice"])
+        piece = F.struct("_slice", "_start", "_end", "_items")
+        each = pieces.groupBy(key).agg(
+            F.sort_array(F.collect_list(piece)).alias("_pieces"), F.min_by(F.coalesce("_real", "_start"), "_slice").alias("_begin")
+        )
+        none = F.lit(-1).cast("bigint").alias("_slice"), F.lit(None).cast(MONEY).alias("_start"), F.col("_begin").alias("_end")
+        walked = F.aggregate("_pieces", F.array(F.struct(*none)), walk)
+        again = each.select(key, F.explode(F.slice(walked, 2, RUN)).alias("_x")).select(key, F.lit(run).cast("bigint").alias("_run"), "_x.*")
+        settled = pin(settled.join(again.select(key, "_slice"), [key, "_slice"], "left_anti").select(*settled.columns).unionByName(again))
     known = settled.select(key, "_slice", F.col("_start").alias("_known"))
     last = cut.join(known, [key, "_slice"], "left").withColumn("_start", F.coalesce("_known", "_start"))
-    pairs = F.arrays_zip(F.col("_items").alias("row"), folded(last)["rows"].alias("got"))
-    each = last.select(F.explode(pairs).alias("_x"))
-    return each.select(*[F.col(f"_x.row.{c}").alias(c) for c in requests.columns], F.col("_x.got.found").alias(found), F.col("_x.got.taken").alias(taken))
+    # What each request of a slice finds, and at the end what the last one leaves.
+    balances = F.aggregate("_items", F.array("_start"), lambda sofar, row: F.concat(sofar, F.array(after(F.element_at(sofar, -1), row))))
+    each = last.select("_items", balances.alias("_found")).select(
+        F.explode(F.arrays_zip(F.col("_items").alias("row"), F.col("_found").alias("found"), F.slice("_found", 2, 1 << 30).alias("left"))).alias("_x")
+    ).filter(F.col("_x.row").isNotNull())
+    return each.select(
+        *[F.col(f"_x.row.{c}").alias(c) for c in requests.columns], F.col("_x.found").alias(found),
+        (F.col("_x.found") - F.col("_x.left")).cast(MONEY).alias(taken),
+    )
 
 
 def first_claims(claims: DataFrame, things: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -102,13 +102,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, *by: str) -> DataFrame:
     """Write the frame to the shared folder once, as compressed Parquet, so that every use sees the same rows.
 
-    The files survive the loss of executors and are removed when the application ends.
+    The files survive the loss of executors and are removed when the application ends. They lie in folders ``by`` columns.
     """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

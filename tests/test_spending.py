@@ -119,3 +119,23 @@ def test_a_card_pays_once(spark):
          (6, 9, 53, spending.NO_ACCOUNT), (6, None, 53, spending.NO_ACCOUNT), (7, 8, 99, spending.NO_CARD), (8, 8, 53, spending.SPENT)],
         key=str,
     )
+
+
+@pytest.mark.parametrize("run", [3, 64])
+def test_wrong_guesses_are_put_right_a_run_at_a_time(spark, monkeypatch, run):
+    """Overdrafts and refunds make every guess wrong; the rounds are those of a key's runs, not of its slices."""
+    r = random.Random(run)
+    rows = [(i, r.randint(1, 2), Decimal(r.randint(-300, 900))) for i in range(240)]
+    requests = spark.createDataFrame(rows, "id bigint, key bigint, asked decimal(20,2)").withColumn("opening", F.lit(500).cast("decimal(20,2)"))
+    take = lambda found, row: F.when(row["asked"] <= found, row["asked"]).otherwise(F.lit(7).cast("decimal(20,2)"))
+    pins = []
+    monkeypatch.setattr(allocation, "RUN", run, raising=False)
+    monkeypatch.setattr(allocation, "pin", lambda *a, pin=allocation.pin: pins.append(1) or pin(*a))
+    got = allocation.in_turn(requests, "key", ["id"], "opening", take, "asked", ("found", "taken"), rows=10).collect()
+    held, want = {1: Decimal(500), 2: Decimal(500)}, []
+    for i, key, asked in rows:
+        taken = asked if asked <= held[key] else Decimal(7)
+        want.append((i, held[key], taken))
+        held[key] -= taken
+    assert sorted((x.id, x.found, x.taken) for x in got) == want
+    assert len(pins) <= 3 + 15 // run
